@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contained_items
+from .license_scan import scan_licenses
+from .sharding import shard
 from .substring_dedup import substring_dedup
+from .token_counts import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,5 +33,49 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_r
 FROM w LEFT JOIN l USING (doc_id)
 """
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup}
-ORACLES = {"op4_substring_dedup": OP4_SQL}
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_table(spark, sf_dir, "documents"), shards=40).drop("row_number")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+# Items of fewer than five words are one shingle of that many words.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+n AS (SELECT DISTINCT least(5, len(ws)) AS k FROM b WHERE len(ws) > 0),
+bs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + k - 1], ' ') AS g, k
+       FROM (SELECT item_id, ws, least(5, len(ws)) AS k, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + k - 1], ' ') AS g, k
+       FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, n WHERE len(ws) >= k)),
+s AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, n_item::BIGINT AS n_item, count(*)::BIGINT AS n_shared, count(*) / n_item AS containment
+FROM ds JOIN bs USING (g, k) JOIN s USING (item_id) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
+"""
+
+QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op7_license_scan": op7_license_scan,
+    "op9_decontaminate": op9_decontaminate,
+}
+ORACLES = {"op4_substring_dedup": OP4_SQL, "op9_decontaminate": OP9_SQL}

@@ -67,3 +67,11 @@ def stage(df: DataFrame, label: str, by: list[str] | None = None) -> Staged:
     with _removing_shuffles(spark):
         (out.partitionBy(*by) if by else out).parquet(path)
     return Staged(spark, path, spark.read.schema(df.schema).parquet(path))
+
+
+def worker_cache() -> dict:
+    """What one Python worker keeps from task to task; each user bounds its own part."""
+    import sys
+    import types
+
+    return vars(sys.modules.setdefault("_folioweave_worker", types.ModuleType("_folioweave_worker")))

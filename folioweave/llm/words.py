@@ -36,8 +36,8 @@ def byte_codes(lower: bool) -> np.ndarray:
 class Hasher:
     """Word hashes of texts that stand one behind the other in a byte buffer."""
 
-    def __init__(self, lower: bool = False):
-        self.codes, self.power, self.inverse = byte_codes(lower), np.ones(1, U), np.ones(1, U)
+    def __init__(self, lower: bool = False, space: np.ndarray = SPACE):
+        self.codes, self.space, self.power, self.inverse = byte_codes(lower), space, np.ones(1, U), np.ones(1, U)
 
     def _powers(self, n: int) -> None:
         if len(self.power) < n:
@@ -48,7 +48,7 @@ class Hasher:
 
     def bounds(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words; no word crosses a cut."""
-        gap = SPACE[data]
+        gap = self.space[data]
         edge = np.empty(len(data) + 1, bool)
         edge[0] = edge[-1] = True
         np.not_equal(gap[1:], gap[:-1], out=edge[1:-1])
@@ -95,6 +95,9 @@ class Words:
         self.hash = hasher.hashes(self.data, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, self.offsets)
 
+    def word(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.ends[i]].tobytes()
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
