@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contained_items
 from .license_scan import scan_licenses
+from .packing import pack
 from .sharding import shard
 from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
+from .token_files import read_shards, write_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), length=1024, end_id=2)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), shards=40).drop("row_number")
 
@@ -57,6 +63,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_shards(write_shards(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2).df)
+
+
 # Items of fewer than five words are one shingle of that many words.
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -72,10 +82,12 @@ FROM ds JOIN bs USING (g, k) JOIN s USING (item_id) GROUP BY doc_id, item_id, n_
 """
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_license_scan": op7_license_scan,
     "op9_decontaminate": op9_decontaminate,
+    "op10_token_files": op10_token_files,
 }
 ORACLES = {"op4_substring_dedup": OP4_SQL, "op9_decontaminate": OP9_SQL}
