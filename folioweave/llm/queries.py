@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contained_items
+from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .packing import pack
 from .sharding import shard
@@ -67,6 +68,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2).df)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 # Items of fewer than five words are one shingle of that many words.
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -87,6 +92,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_license_scan": op7_license_scan,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
 }
