@@ -9,6 +9,7 @@ from .decontaminate import contained_items
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .packing import pack
+from .quality import accepted
 from .sharding import shard
 from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
@@ -56,6 +57,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = accepted(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", "host", "path", "doc_score", "site_score", "score", F.lit(True).alias("kept"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -91,6 +97,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_quality": op6_quality,
     "op7_license_scan": op7_license_scan,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
