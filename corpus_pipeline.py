@@ -1,2 +1,64 @@
-STAGES=[]
-def run(spark, sf_dir): raise NotImplementedError
+"""From documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
+written as Parquet and read again as the next one's docs. All but the last
+return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioweave.llm.decontaminate import contained_items
+from folioweave.llm.jaccard_join import jaccard_components
+from folioweave.llm.packing import pack
+from folioweave.llm.quality import accepted
+from folioweave.llm.queries import _tokenizer
+from folioweave.llm.store import stage
+from folioweave.llm.substring_dedup import substring_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    kept = accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates, in one row; all documents without an id."""
+    found = jaccard_components(docs)
+    first = docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return first.unionByName(docs.where("doc_id IS NULL"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that also stand in an earlier one."""
+    changed = substring_dedup(docs).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
+    out = docs.join(changed, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text")).withColumn("n_chars", F.coalesce(F.char_length("kept_text").cast("long"), "n_chars"))
+    return out.select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    found = stage(contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "contaminated").df
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens and their places in sequences."""
+    return pack(docs, _tokenizer("byte_bpe_50k.json"), length=1024, end_id=2)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontaminated", decontaminated), ("packed", packed)]
+
+#: The classifier and the linear program can't be said in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}").df
+    return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .decontaminate import contained_items
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
@@ -25,6 +26,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 OP4_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 g AS (SELECT doc_id, i, list_aggregate(ws[i:i + 12], 'string_agg', ' ') AS win
@@ -95,6 +100,7 @@ FROM ds JOIN bs USING (g, k) JOIN s USING (item_id) GROUP BY doc_id, item_id, n_
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op3_nearest": op3_nearest,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
