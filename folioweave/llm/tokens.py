@@ -9,16 +9,18 @@ common signs) and no special strings. Others go through the library whole.
 from __future__ import annotations
 
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
+from .exchange import found
 from .store import worker_cache
 from .words import Hasher, mix
 
 SPACE, LETTER, NUMBER, OTHER, RARE = range(5)
 TOP = 0x2100
-MOST_WORDS = 400_000
+MOST_WORDS = 1_500_000
 U = np.uint64
 
 
@@ -58,7 +60,8 @@ class Encoder:
         return cache["encoder", path]
 
     def clear(self) -> None:
-        self.row: dict[int, int] = {}
+        """Known pretokens: ascending hashes with their rows, and the ids of each row."""
+        self.keys, self.rows = np.zeros(0, U), np.zeros(0, np.int64)
         self.ids, self.starts = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
         self.n_words = self.n_ids = 0
 
@@ -94,25 +97,29 @@ class Encoder:
 
     def _known(self, hashes: np.ndarray, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Rows of distinct pretokens in the table of ids."""
-        keys = hashes.tolist()
-        if self.n_words + len(keys) > MOST_WORDS:
+        if self.n_words + len(hashes) > MOST_WORDS:
             self.clear()
-        new = [i for i, k in enumerate(keys) if k not in self.row]
-        if new:
-            texts = [cp[begin[i] : end[i]].astype("<u4").tobytes().decode("utf-32-le") for i in new]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
+        hit, at = found(hashes, self.keys)
+        new = np.flatnonzero(~hit)
+        if len(new):
+            text = cp.astype("<u4").tobytes().decode("utf-32-le")
+            texts = [text[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)]
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            size = np.fromiter(map(len, encoded), np.int64, len(encoded))
             total = int(size.sum())
             while self.n_ids + total > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while self.n_words + len(new) + 1 > len(self.starts):
                 self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.ids[self.n_ids : self.n_ids + total] = np.fromiter((x for f in found for x in f), np.uint32, total)
+            self.ids[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total)
             self.starts[self.n_words + 1 : self.n_words + 1 + len(new)] = self.n_ids + np.cumsum(size)
-            self.row.update((keys[i], self.n_words + k) for k, i in enumerate(new))
+            spot = np.searchsorted(self.keys, hashes[new])
+            self.keys = np.insert(self.keys, spot, hashes[new])
+            self.rows = np.insert(self.rows, spot, self.n_words + np.arange(len(new)))
             self.n_words += len(new)
             self.n_ids += total
-        return np.fromiter((self.row[k] for k in keys), np.int64, len(keys))
+            at = found(hashes, self.keys)[1]
+        return self.rows[at]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and the n + 1 bounds; null is empty."""
@@ -155,8 +162,8 @@ class Encoder:
             slots = [(0, flat)]
         if whole.any():
             rest = np.flatnonzero(whole)
-            found = self.tokenizer.encode_batch_fast([strings[i] for i in rest], add_special_tokens=False)
-            parts = dict(zip(rest.tolist(), (np.array(e.ids, np.uint32) for e in found), strict=True))
+            whole_ids = self.tokenizer.encode_batch_fast([strings[i] for i in rest], add_special_tokens=False)
+            parts = dict(zip(rest.tolist(), (np.array(e.ids, np.uint32) for e in whole_ids), strict=True))
             flat, at = (slots[0][1] if slots else np.zeros(0, np.uint32)), 0
             for i in range(len(strings)):
                 if i in parts:
