@@ -1 +1 @@
-"""Document-graph analytics on Spark."""
+"""Registered queries."""
