@@ -5,8 +5,9 @@ many documents hold a shingle is counted over the corpus (exchange.census) and
 orders the shingles, rarest first. Two sets of the wanted similarity share a
 shingle among the first n - ceil(t * n) + 1 of each; shingles of one document
 alone can't be that one, so a document with enough of them has no entry at all.
-Pairs that meet at a shingle pass the length and positional filters, the
-suffix filter on parts of both sets, and one exact verification.
+Pairs that meet at a shingle pass the length and positional filters, suffix
+filters (parity bits of both sets, then parts of the sets), and one exact
+verification.
 
 All pairs of a group are never made. A group's documents are first held
 against its most central member (fewest shingles of its own), which joins
@@ -36,7 +37,9 @@ from .words import Hasher, Words, grams, mix
 U = np.uint64
 SEED = 0x7A77
 FIRST = "kind int, bucket int, grp int, payload binary, doc_id long, n long, k1 long, k2 long"
-SECOND = "doc_id long, n long, alone double, shared binary, h array<long>, pos array<int>"
+SECOND = "doc_id long, n long, alone double, shared binary, h array<long>, pos array<int>, bits array<long>"
+#: Parity bits of a set. Two sets differ in at least as many shingles as their parities differ in bits.
+BITS = 1024
 
 
 def shingle_sets(table: pa.Table, n: int) -> list[np.ndarray]:
@@ -61,6 +64,11 @@ def most_shared(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
     return most_shared(a[:i], b[:j], depth - 1) + most_shared(a[i:], b[j:], depth - 1)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s % U(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def linked(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union; a and b hold all that the sets of sizes na and nb can share."""
     need = -(-percent * (na + nb) // (100 + percent))
@@ -119,7 +127,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
                 continue
             shared = s[hit]
             order = np.lexsort((shared, counts[at[hit]]))[: first_ - alone]
-            rows.append((doc, len(s), alone / len(s), ex.pack(shared), shared[order].view(np.int64), np.arange(alone, first_, dtype=np.int32)))
+            rows.append((doc, len(s), alone / len(s), ex.pack(shared), shared[order].view(np.int64), np.arange(alone, first_, dtype=np.int32), parity(s)))
             held += len(rows[-1][3])
             if held > 4 << 20:
                 yield _batch(rows)
@@ -166,8 +174,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
         if turn == 2:
             pairs = star(rest, F.min(F.when(F.col("component") != F.col("of_leader"), central)), "star")
         else:
-            other = rest.select("h", F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
-            pairs = rest.join(other, "h").where("component < component2").where(near_enough).select(F.col("doc_id").alias("a"), "b").distinct()
+            # The parities tell how many shingles two sets differ in at least, before either set is fetched.
+            k = BITS // 64
+            bits = found.df.select("doc_id", *[F.col("bits")[i].alias(f"p{i}") for i in range(k)])
+            rest = rest.join(bits, "doc_id")
+            other = rest.select("h", F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(k)])
+            apart = " + ".join(f"bit_count(p{i} ^ q{i})" for i in range(k))
+            close = F.expr(f"(100 + {percent}) * ({apart}) <= (100 - {percent}) * (n + n2)")
+            pairs = rest.join(other, "h").where("component < component2").where(near_enough & close).select(F.col("doc_id").alias("a"), "b").distinct()
         done.append(verified(pairs, f"links-{turn}").df)
     links = done[0].unionByName(done[1]).unionByName(done[2])
     own = member.df.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
@@ -177,5 +191,5 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    doc, size, alone, shared, h, pos = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(alone, pa.float64()), pa.array(shared, pa.binary()), pa.array(h, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32()))], [f.split()[0] for f in SECOND.split(", ")])
+    doc, size, alone, shared, h, pos, bits = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(alone, pa.float64()), pa.array(shared, pa.binary()), pa.array(h, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))], [f.split()[0] for f in SECOND.split(", ")])
