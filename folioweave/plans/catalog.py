@@ -1,4 +1,4 @@
 """All queries: importing the modules registers them."""
 
-from . import aggregates, graph, relational, retrieval  # noqa: F401
+from . import aggregates, extract, graph, relational, retrieval  # noqa: F401
 from .registry import IDS, QUERIES, SQL  # noqa: F401
