@@ -115,8 +115,8 @@ def csv_field(text: Column) -> Column:
 
 def card_html(text: Column) -> Column:
     """STR-11: a statement as HTML with TeX delimiters that cards understand."""
-    x = F.regexp_replace(escaped(text), r"(?s)\$\$(.*?)\$\$", r"\\\\[$1\\\\]")
-    x = F.regexp_replace(x, r"(?<!\\)\$([^$\n]+?)(?<!\\)\$", r"\\\\($1\\\\)")
+    x = F.regexp_replace(escaped(text), r"(?s)\$\$(.*?)\$\$", r"\\[$1\\]")
+    x = F.regexp_replace(x, r"(?<!\\)\$([^$\n]+?)(?<!\\)\$", r"\\($1\\)")
     return F.regexp_replace(x, r"\r?\n", "<br>")
 
 
