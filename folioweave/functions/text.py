@@ -8,6 +8,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Abbreviated operators and how they read.
 OPERATORS = {"dim": "dimension", "ker": "kernel", "coker": "cokernel", "im": "image", "det": "determinant", "tr": "trace", "Hom": "space of homomorphisms", "End": "space of endomorphisms"}
@@ -16,7 +17,7 @@ DASHES = "[\u2010\u2011\u2013\u2014]"
 NOTHING = ("null", "undefined", "none", "untitled result")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility normal form, for which Spark has no function."""
     return text.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
@@ -66,7 +67,7 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def substituted(text: pd.Series, pairs: pd.Series) -> pd.Series:
     """STR-09: symbols replaced all at once, longest first, whole ones only. pairs: map of symbol to symbol."""
 
