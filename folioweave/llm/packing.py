@@ -3,7 +3,7 @@
 The program has a variable for each way to fill a bin (a configuration) and a
 row for each piece length: cover the histogram of lengths with as few bins as
 possible. Multiplicative weights solve it: each length's price falls as it is
-covered, and a knapsack dynamic program over the bin finds the configuration of
+covered, and a knapsack dynamic program over the bin finds the configurations of
 the highest price. Amounts are rounded down, what is left is solved again, and
 the last remainder goes best-fit decreasing, group-wise over equal bins. All of
 this sees the histogram alone, which has at most `length` rows whatever the
@@ -30,53 +30,64 @@ from pyspark.sql import functions as F
 from .store import stage, tune
 from .tokens import Encoder
 
-STEPS, SOLVES = 1000, 2
+STEPS, SOLVES = 150, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
-def best_configuration(price: np.ndarray) -> dict[int, int]:
-    """The multiset of lengths of the highest total price that fits a bin (price[l - 1] of length l; -inf: none)."""
+def knapsack(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Highest total price of lengths that fit each capacity, and the length taken last there (0: none). price[l - 1] is that of length l; -inf: there is none."""
     size = len(price)
     best, last, backward = np.zeros(size + 1), np.zeros(size + 1, np.int64), np.ascontiguousarray(price[::-1])
     for cap in range(1, size + 1):
         value = best[:cap] + backward[size - cap :]
-        k = cap - 1 - int(value.argmax())  # of equal ones the longest length
-        if value[cap - 1 - k] > best[cap - 1]:
-            best[cap], last[cap] = value[cap - 1 - k], k + 1
+        at = int(value.argmax())
+        if value[at] > best[cap - 1]:
+            best[cap], last[cap] = value[at], cap - at
         else:
-            best[cap], last[cap] = best[cap - 1], 0
-    out: Counter[int] = Counter()
-    cap = size
+            best[cap] = best[cap - 1]
+    return best, last
+
+
+def filled(last: np.ndarray, cap: int) -> list[int]:
+    """The lengths that the knapsack takes into a capacity."""
+    out = []
     while cap > 0:
         if last[cap]:
-            out[int(last[cap])] += 1
-            cap -= int(last[cap])
+            out.append(int(last[cap]))
+            cap -= out[-1]
         else:
             cap -= 1
-    return dict(out)
-
-
-def fractional(need: np.ndarray, steps: int = STEPS, rate: float = 0.5) -> list[tuple[dict[int, int], float]]:
-    """Amounts of configurations that cover at most the needs, by multiplicative weights."""
-    lengths = np.arange(1, len(need) + 1)
-    there = need > 0
-    weight = np.where(there, lengths / len(need), 0.0)
-    left, amounts = need.astype(float), []
-    for _ in range(steps):
-        open_ = there & (left > 0.002 * need)
-        if not open_.any():
-            break
-        config = best_configuration(np.where(open_, weight, -np.inf))
-        ls, ms = np.array(list(config)), np.array(list(config.values()))
-        amount = float((left[ls - 1] / ms).min()) * rate
-        left[ls - 1] -= amount * ms
-        weight[ls - 1] = ls / len(need) * np.exp(rate * (left[ls - 1] / need[ls - 1] - 1))
-        amounts.append((config, amount))
-    merged: dict[tuple, float] = {}
-    for config, amount in amounts:
-        key = tuple(sorted(config.items()))
-        merged[key] = merged.get(key, 0.0) + amount
-    return sorted(((dict(k), v) for k, v in merged.items()), key=lambda x: -x[1])
+    return out
+
+
+def fractional(need: np.ndarray, steps: int = STEPS, heat: float = 0.02, rate: float = 0.05) -> list[tuple[dict[int, int], float]]:
+    """Amounts of configurations, by multiplicative weights.
+
+    In each step one knapsack over the prices gives, for every length, the best
+    configuration that holds it; the bins of the lower bound are dealt over these
+    by their value. Prices of lengths that get more than they need fall, the
+    others' rise. The amounts are means over the steps.
+    """
+    size, lengths = len(need), np.flatnonzero(need) + 1
+    n = need[lengths - 1].astype(float)
+    bins, price = float((n * lengths).sum() / size), lengths / size
+    place = np.zeros(size + 1, np.int64)
+    place[lengths] = np.arange(len(lengths))
+    amounts: dict[tuple, float] = {}
+    for step in range(steps):
+        full = np.full(size, -np.inf)
+        full[lengths - 1] = price
+        best, last = knapsack(full)
+        value = price + best[size - lengths]
+        share = n * np.exp((value - value.max()) / heat)
+        share *= bins / share.sum()
+        use = np.zeros(len(lengths))
+        for j in np.flatnonzero(share > 1e-9 * bins).tolist():
+            config = sorted([int(lengths[j]), *filled(last, size - int(lengths[j]))])
+            amounts[tuple(config)] = amounts.get(tuple(config), 0.0) + share[j] / steps
+            np.add.at(use, place[config], share[j])
+        price = price * np.exp(rate / np.sqrt(1 + step) * np.clip(1 - use / n, -1, 1))
+    return sorted(((dict(Counter(c)), x) for c, x in amounts.items()), key=lambda x: -x[1])
 
 
 def best_fit(need: np.ndarray) -> list[tuple[dict[int, int], int]]:
@@ -114,7 +125,7 @@ def plan(need: np.ndarray) -> list[tuple[dict[int, int], int]]:
         out.append(({len(need): 1}, full))
         left[-1] = 0
     for _ in range(SOLVES):
-        if left.sum() < 4 * (left > 0).sum():
+        if left.sum() <= 4 * (left > 0).sum():
             break
         before = left.sum()
         for config, amount in fractional(left):
