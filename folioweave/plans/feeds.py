@@ -1,11 +1,10 @@
 """Queries of sources, sinks and feeds."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.graph import saved
+from ..operators.graph import saved, shared_folder
 from ..sources import readers, sinks
 from ..streaming import feeds
 from . import adapters as V
@@ -13,9 +12,8 @@ from .registry import query
 
 
 def _folder(t, name: str) -> str:
-    """A new folder beside the session's checkpoints, or a temporary one for local masters."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="feeds-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("whole_table", "SRC-04", "SELECT * FROM nation")
