@@ -69,7 +69,7 @@ def in_groups(docs: DataFrame, replies: dict[int, DataFrame], groups: int) -> Da
     return rows.repartition(groups, "grp").sortWithinPartitions("grp", "kind", "bucket", "doc_id")
 
 
-def by_group(fn: Callable[[int, dict[int, dict[int, bytes]], pa.Table], Iterator[pa.RecordBatch]], least: int = DOCS):
+def by_group(fn: Callable[[int, dict[int, dict[int, bytes]], pa.Table], Iterator[pa.RecordBatch]]):
     """For mapInArrow over in_groups(): calls fn(group, {kind: {bucket: payload}}, documents) for each group."""
 
     def run(batches):
