@@ -5,11 +5,15 @@ most as many smallest ids are kept as a query can ask for, so any number of
 copies is exact. The graph starts from the nearest nodes in two random blocks.
 Each round of NN-descent joins every node's neighbours and (a sample of) those
 that have it as a neighbour with their vectors, compares them with each other,
-and gives each the nearer ones it learns of; rounds end when few lists change.
+and gives each the nearer ones it learns of; rounds end when the graph has
+converged: hardly a list entry changes, however many rounds that takes.
 
 Queries are rows of the table, so each starts from its own node's list. All
 queries search at once: the nearest nodes that were not expanded join the graph
 and the vectors, round by round, until the `width` nearest known are expanded.
+A sample of the queries is also answered by brute force. While the search finds
+too few of its true neighbours, the width doubles for all queries and the search
+goes on; a width of all nodes that still finds too few gives way to brute force.
 The last ranking takes exact distances of the original vectors, in double.
 
 Defined results: vectors that are null, zero, of another length than most or
@@ -20,6 +24,8 @@ asked for are all returned; null ids take no part; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +33,13 @@ from pyspark.sql import functions as F
 
 from .store import stage, tune
 
-DEGREE, REVERSE, BLOCK, ROUNDS, ENOUGH = 28, 20, 2048, 7, 0.04
+DEGREE, REVERSE, BLOCK, ENOUGH = 28, 20, 2048, 0.001
+#: The width to begin with.
 WIDTH, STEP = 420, 70
+#: Recall that the sample of queries must reach, with two standard errors to spare.
+TARGET, SAMPLE = 0.9, 256
+#: Queries answered by brute force in one pass over the vectors.
+CHUNK = 2048
 LISTS = "u long, ws array<long>, ds array<float>, new array<boolean>"
 
 
@@ -163,7 +174,7 @@ def _merge(k: int):
     return run
 
 
-def neighbour_graph(nodes: DataFrame, count: int, dim: int, degree: int = DEGREE, rounds: int = ROUNDS):
+def neighbour_graph(nodes: DataFrame, count: int, dim: int, degree: int = DEGREE):
     """Lists (u, ws, ds, new) of near nodes. nodes: u, vec (float32 bytes)."""
     parts = max(8, -(-count // (2 * BLOCK)))
 
@@ -175,7 +186,10 @@ def neighbour_graph(nodes: DataFrame, count: int, dim: int, degree: int = DEGREE
         lists = nodes.repartition(max(1, -(-count // BLOCK)), F.xxhash64("u", F.lit(seed))).sortWithinPartitions("u").mapInArrow(_in_block(dim, degree // 2), LISTS)
         begin = lists if begin is None else begin.unionByName(lists)
     graph = merged(begin, "graph-0")
-    for turn in range(1, rounds + 1):
+    turn, changed = 0, count * degree
+    # Lists only get nearer, so the changes come to an end.
+    while changed > ENOUGH * degree * count:
+        turn += 1
         pairs = graph.df.select("u", F.explode(F.arrays_zip("ws", "new")).alias("e")).select("u", F.col("e.ws").alias("w"), F.col("e.new").alias("new"))
         # The sample of reverse neighbours bounds what one node compares; new ones come first.
         back = pairs.withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy(F.desc("new"), F.xxhash64("u", F.lit(turn))))).where(F.col("r") <= REVERSE)
@@ -189,8 +203,6 @@ def neighbour_graph(nodes: DataFrame, count: int, dim: int, degree: int = DEGREE
         graph.drop()
         graph = following
         changed = graph.df.agg(F.sum(F.size(F.filter("new", lambda x: x)))).first()[0] or 0
-        if changed <= ENOUGH * degree * count:
-            break
     return graph
 
 
@@ -234,6 +246,41 @@ def _update(dim: int, width: int, step: int):
     return run
 
 
+def brute_force(nodes: DataFrame, asked: list, dim: int, k: int) -> DataFrame:
+    """q, u, d: the k nearest other nodes of each of at most CHUNK asked rows (q, qvec), with squared distances."""
+    ids = np.array([r["q"] for r in asked], np.int64)
+    x = np.frombuffer(b"".join(r["qvec"] for r in asked), np.float32).reshape(-1, dim)
+
+    def run(batches):
+        us, ds = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0), np.float32)
+        for batch in batches:
+            u, y = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
+            d = np.stack([((y - q) ** 2).sum(1) for q in x])
+            d[ids[:, None] == u[None]] = np.inf
+            us, ds = np.concatenate([us, np.broadcast_to(u, d.shape)], 1), np.concatenate([ds, d], 1)
+            order = np.lexsort((us, ds), axis=1)[:, :k]
+            us, ds = np.take_along_axis(us, order, 1), np.take_along_axis(ds, order, 1)
+        i, j = np.nonzero(ds < np.inf)
+        yield pa.record_batch([pa.array(ids[i]), pa.array(us[i, j]), pa.array(ds[i, j])], ["q", "u", "d"])
+
+    near = nodes.select("u", "vec").mapInArrow(run, "q long, u long, d float")
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "u"))).where(F.col("r") <= k).drop("r")
+
+
+def recalls(nodes: DataFrame, states: DataFrame, dim: int, k: int, sample: int) -> np.ndarray:
+    """Of each of a sample of queries the share of its k nearest nodes that its state holds; equally near ones count alike."""
+    rows = states.orderBy(F.xxhash64("q"), "q").limit(sample).select("q", "qvec", F.slice("ids", 1, k + 1).alias("ids"), F.slice("ds", 1, k + 1).alias("ds")).collect()
+    true: dict[int, list[float]] = {}
+    for r in brute_force(nodes, rows, dim, k).select("q", "d").collect():
+        true.setdefault(r["q"], []).append(r["d"])
+    out = []
+    for r in rows:
+        want = true.get(r["q"], [])
+        hits = sum(d <= max(want) * (1 + 1e-5) for i, d in zip(r["ids"], r["ds"], strict=True) if i != r["q"]) if want else 0
+        out.append(min(hits, len(want)) / len(want) if want else 1.0)
+    return np.array(out)
+
+
 def _vec(v: str):
     """array<double> to float32 bytes, in Arrow."""
 
@@ -269,7 +316,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     state_cols = "q long, qvec binary, ids array<long>, ds array<float>, done array<boolean>, expand array<long>"
     parts = max(8, -(-count // (4 * BLOCK)))
     turn = 0
-    while states.df.where(F.size("expand") > 0).limit(1).count():
+    while True:
+        if not states.df.where(F.size("expand") > 0).limit(1).count():
+            found = recalls(nodes, states.df, dim, k, SAMPLE)
+            # A sample of all queries has no error.
+            error = found.std() / max(len(found), 1) ** 0.5 if len(found) == SAMPLE else 0.0
+            reached = not len(found) or found.mean() - 2 * error >= TARGET
+            if reached or width >= count:
+                break
+            width, step = 2 * width, 2 * step
+            wider = states.df.select("q", "qvec", "ids", "ds", F.transform("ids", lambda _, i: i < F.lit(step)).alias("done"), F.slice("ids", 1, step).alias("expand"))
+            following = stage(wider, f"wider-{width}")
+            states.drop()
+            states = following
         turn += 1
         frontier = states.df.select("q", F.explode("expand").alias("u")).join(lists, "u").select("q", F.explode("ws").alias("w")).distinct()
         fresh = frontier.join(nodes.withColumnRenamed("u", "w"), "w").select("q", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("qvec"), empty.alias("ids"), F.array().cast("array<float>").alias("ds"), F.array().cast("array<boolean>").alias("done"), "w", "vec")
@@ -277,6 +336,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
         following = stage(now.unionByName(fresh).repartition(parts, "q").sortWithinPartitions("q", "kind").mapInArrow(_update(dim, width, step), state_cols), f"search-{turn}")
         states.drop()
         states = following
+    if not reached:
+        # A query's node is in one chunk.
+        chunks = -(-asked.count() // (CHUNK // 2))
+        bucket = F.pmod(F.xxhash64("q", F.lit("chunk")), F.lit(chunks))
+        whole = [stage(brute_force(nodes, states.df.where(bucket == c).select("q", "qvec").collect(), dim, 2 * k + 2), "exact").df for c in range(chunks)]
+        near = reduce(DataFrame.unionByName, whole).groupBy("q").agg(F.collect_list("u").alias("ids"))
+        states = stage(asked.join(near, "q", "left").select("q", F.coalesce("ids", empty).alias("ids")), "search-exact")
     # Nodes to their smallest ids: a query may need k of a node's, beside its own.
     members = node_of.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("vec_id"))).where(F.col("r") <= k + 1).select("u", "vec_id")
     found = states.df.select("q", F.explode(F.slice("ids", 1, 2 * k + 2)).alias("u")).unionByName(states.df.select("q", F.col("q").alias("u"))).distinct()

@@ -216,6 +216,22 @@ def test_nearest_recall_and_defined_results(spark):
     assert [by[1000][k][0] for k in range(1, 11)] == [3, *range(1001, 1010)]
 
 
+def test_nearest_widens_until_a_sample_is_found(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(3000, 96)).astype(np.float32)
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(3000)], "vec_id long, embedding array<float>")
+    d = ((x[::60, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
+    d[np.arange(50), np.arange(0, 3000, 60)] = np.inf
+    want = {(60 * q, int(i)) for q, row in enumerate(np.argsort(d, 1)[:, :10]) for i in row}
+    found = lambda: {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, F.col("vec_id") % 60 == 0, 10, width=11, step=1).collect()}
+    assert len(found() & want) >= 0.9 * len(want)
+    # What no width reaches is found by brute force.
+    monkeypatch.setattr(ann, "TARGET", 2.0)
+    monkeypatch.setattr(ann, "recalls", lambda nodes, states, dim, k, sample: np.zeros(1))
+    monkeypatch.setattr(ann, "CHUNK", 40)
+    monkeypatch.setattr(ann, "neighbour_graph", lambda nodes, count, dim: ann.stage(nodes.limit(0).selectExpr("u", "array(u) AS ws", "array(0f) AS ds", "array(true) AS new"), "no-graph"))
+    assert found() == want
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect())
