@@ -19,10 +19,18 @@ from folioweave.llm.store import stage
 from folioweave.llm.substring_dedup import substring_dedup
 
 
+def _without_id(docs: DataFrame) -> DataFrame:
+    """The documents without an id, each with a number of its own in `row`; written, so that the numbers stay."""
+    return stage(docs.where("doc_id IS NULL").withColumn("row", F.monotonically_increasing_id()), "without-id").df
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    kept = accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """Documents that the classifier accepts; those without an id are judged row by row."""
+    bare = _without_id(docs)
+    rows = docs.where("doc_id IS NOT NULL").withColumn("row", F.lit(None).cast("long")).unionByName(bare)
+    kept = accepted(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col="row").select("doc_id", "row")
+    named = docs.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi").select(docs.columns)
+    return named.unionByName(bare.join(kept.where("doc_id IS NULL"), "row", "left_semi").select(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +48,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = stage(contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "contaminated").df
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents that contain no benchmark item; those without an id are judged row by row."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    named, bare = docs.where("doc_id IS NOT NULL"), _without_id(docs)
+    found = stage(contained_items(named, items).select("doc_id").distinct(), "contaminated").df
+    rows = stage(contained_items(bare, items, id_col="row").select(F.col("doc_id").alias("row")).distinct(), "contaminated-without-id").df
+    return named.join(found, "doc_id", "left_anti").select(docs.columns).unionByName(bare.join(rows, "row", "left_anti").select(docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,18 +151,18 @@ def _strength(groups: DataFrame, rate: Column, prior: Column) -> float:
     return float(min(max(within / max(between, 1e-9) - 1, 1.0), 1e6))
 
 
-def score(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """doc_id, host, path, doc_score, site_score and score (posterior chance of being acceptable) of each row."""
+def score(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, row_col: str | None = None) -> DataFrame:
+    """doc_id, host, path, doc_score, site_score and score (posterior chance of being acceptable) of each row; row_col: a column of numbers that is kept."""
     tune(docs.sparkSession)
     path = F.concat_ws("/", F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.coalesce(F.col(path_col).cast("string"), F.lit("")))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), path.alias("path"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), path.alias("path"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
     model = fit(docs.select("doc_id", "text"), labels, sample)
 
     def run(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(model.acceptable(batch.column(1)))], ["doc_id", "host", "path", "doc_score"])
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(model.acceptable(batch.column(1))), batch.column(4)], ["doc_id", "host", "path", "doc_score", "row"])
 
-    scored = stage(docs.mapInArrow(run, "doc_id long, host string, path string, doc_score double"), "scores").df
+    scored = stage(docs.mapInArrow(run, "doc_id long, host string, path string, doc_score double, row long"), "scores").df
     paths = stage(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("doc_score").alias("good")), "paths").df
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = hosts.agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("good"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -178,7 +178,7 @@ def score(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col
     logit = lambda x: F.log(F.least(F.greatest(x, F.lit(1e-9)), F.lit(1 - 1e-9)) / (1 - F.least(F.greatest(x, F.lit(1e-9)), F.lit(1 - 1e-9))))
     shift = F.least(F.greatest(logit(F.col("site_score")) - float(np.log(mean / (1 - mean))), F.lit(-MOST_SHIFT)), F.lit(MOST_SHIFT))
     out = scored.join(sites, "path").withColumn("site_score", own_path)
-    return out.select("doc_id", "host", "path", "doc_score", "site_score", (1 / (1 + F.exp(-(logit(p) + shift)))).alias("score"))
+    return out.select("doc_id", "host", "path", "doc_score", "site_score", (1 / (1 + F.exp(-(logit(p) + shift)))).alias("score"), *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **columns) -> DataFrame:

@@ -62,3 +62,17 @@ def test_null_rows_stay_or_go_as_defined(spark, monkeypatch):
     assert sorted((r["doc_id"] or -1) for r in got.collect()) == [-1, 1, 3]
     changed = corpus_pipeline.repeated_passages(spark, got, FOLDER).where("doc_id IS NULL").select(F.length("text")).first()
     assert changed[0] == len(t)
+
+
+def test_rows_without_id_are_judged_each(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("length(text) > 60").first()["text"]
+    kept = corpus_pipeline.quality(spark, docs, FOLDER)
+    good, bad = kept.limit(5), docs.join(kept, "doc_id", "left_anti").limit(5)
+    bare = lambda df: df.withColumn("doc_id", F.lit(None).cast("long"))
+    texts = lambda df: {r["text"] for r in df.where("doc_id IS NULL").collect()}
+    mixed = docs.unionByName(bare(good)).unionByName(bare(bad))
+    stays = texts(corpus_pipeline.quality(spark, mixed, FOLDER))
+    assert stays & texts(bare(good)) and not texts(bare(bad)) <= stays
+    rows = spark.createDataFrame([(None, item), (None, "no item here"), (1, item), (2, "none")], "doc_id long, text string")
+    assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminated(spark, rows, FOLDER).collect()} == {(None, "no item here"), (2, "none")}
