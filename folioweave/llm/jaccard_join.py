@@ -24,6 +24,8 @@ id are linked through any of their texts; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +39,7 @@ from .words import Hasher, Words, grams, mix
 U = np.uint64
 SEED = 0x7A77
 FIRST = "kind int, bucket int, grp int, payload binary, doc_id long, n long, k1 long, k2 long"
-SECOND = "doc_id long, n long, alone double, shared binary, h array<long>, pos array<int>, bits array<long>"
+SECOND = "doc_id long, key long, n long, alone double, shared binary, h array<long>, pos array<int>, bits array<long>"
 #: Parity bits of a set. Two sets differ in at least as many shingles as their parities differ in bits.
 BITS = 1024
 
@@ -69,6 +71,14 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The size of each set and, in two rows, sums that tell sets apart."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])
+    total = np.concatenate([np.zeros((2, 1), U), np.cumsum(np.stack([mix(flat + U(1)), mix(flat ^ U(0x5DEECE66D))]), axis=1)], axis=1)
+    return size, (total[:, at[1:]] - total[:, at[:-1]]).view(np.int64)
+
+
 def linked(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union; a and b hold all that the sets of sizes na and nb can share."""
     need = -(-percent * (na + nb) // (100 + percent))
@@ -88,8 +98,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
 
     def count(grp, replies, table):
         sets = shingle_sets(table, n)
-        size = np.array([len(s) for s in sets], np.int64)
-        flat = np.concatenate(sets)
         held = np.concatenate([k[np.concatenate([[True], k[1:] != k[:-1]])] for s in sets if len(s) for k in [ex.prefixed(s, buckets)]] or [np.zeros(0, U)])
         keys, times = np.unique(held, return_counts=True)
         rows = list(ex.census_blocks(grp, keys, times, buckets))
@@ -98,9 +106,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
             m = len(b)
             none = pa.nulls(m, pa.int64())
             yield pa.record_batch([pa.array([0] * m, pa.int32()), pa.array(b, pa.int32()), pa.array([int(grp)] * m, pa.int32()), pa.array(payload, pa.binary()), none, none, none, none], names)
-        total = np.concatenate([np.zeros((2, 1), U), np.cumsum(np.stack([mix(flat + U(1)), mix(flat ^ U(0x5DEECE66D))]), axis=1)], axis=1)
-        at = np.concatenate([[0], np.cumsum(size)])
-        key = (total[:, at[1:]] - total[:, at[:-1]]).view(np.int64)
+        size, key = set_keys(sets)
         m = len(size)
         yield pa.record_batch([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int32()), pa.array([int(grp)] * m, pa.int32()), pa.nulls(m, pa.binary()), table["doc_id"].combine_chunks(), pa.array(size), pa.array(key[0]), pa.array(key[1])], names)
 
@@ -108,27 +114,32 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     df_reply = stage(ex.in_buckets(first.df.where("kind = 0"), buckets).mapInArrow(ex.by_bucket(ex.census), ex.REPLY), "shingle-counts")
     sized = first.df.where("kind = 1").select("grp", "doc_id", "n", "k1", "k2")
     classes = sized.where("doc_id IS NOT NULL AND n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    member = stage(sized.where("doc_id IS NOT NULL AND n > 0").join(classes, ["n", "k1", "k2"]).select("grp", "doc_id", "n", "k1", "rep"), "members")
-    copies = member.df.where("doc_id <> rep").groupBy("grp").agg(F.to_json(F.collect_set("doc_id")).cast("binary").alias("payload")).withColumn("bucket", F.lit(0))
+    member = stage(sized.where("doc_id IS NOT NULL AND n > 0").join(classes, ["n", "k1", "k2"]).select("grp", "doc_id", "n", "k1", "k2", "rep"), "members")
+    copies = member.df.where("doc_id <> rep").groupBy("grp").agg(F.to_json(F.collect_set(F.array("doc_id", "n", "k1", "k2"))).cast("binary").alias("payload")).withColumn("bucket", F.lit(0))
 
     def entries(grp, replies, table):
         import json
 
         keys, counts = ex.shared_keys(replies.get(1))
-        drop = pa.array(json.loads(replies[2][0]) if 2 in replies else [], pa.int64())
-        import pyarrow.compute as pc
-
-        table = table.filter(pc.and_(pc.invert(pc.is_in(table["doc_id"], value_set=drop)), pc.is_valid(table["doc_id"])))
+        drop = {tuple(x) for x in json.loads(replies[2][0])} if 2 in replies else set()
+        # An id that stands once needs no look at its set; of one that repeats only the rows of a copied text leave.
+        copied, ids = {x[0] for x in drop}, table["doc_id"].to_pylist()
+        times = Counter(ids)
+        table = table.filter(pa.array([i is not None and (i not in copied or times[i] > 1) for i in ids], pa.bool_()))
         rows, held = [], 0
-        for doc, s in zip(table["doc_id"].to_pylist(), shingle_sets(table, n) if table.num_rows else [], strict=True):
+        sets = shingle_sets(table, n) if table.num_rows else []
+        size, key = set_keys(sets) if sets else (np.zeros(0, np.int64), np.zeros((2, 0), np.int64))
+        for doc, s, m, k1, k2 in zip(table["doc_id"].to_pylist(), sets, size.tolist(), *key.tolist(), strict=True):
+            if (doc, m, k1, k2) in drop:
+                continue
             hit, at = ex.found(ex.prefixed(s, buckets), keys)
             alone, first_ = len(s) - int(hit.sum()), len(s) - -(-percent * len(s) // 100) + 1
             if alone >= first_ or not len(s):
                 continue
             shared = s[hit]
             order = np.lexsort((shared, counts[at[hit]]))[: first_ - alone]
-            rows.append((doc, len(s), alone / len(s), ex.pack(shared), shared[order].view(np.int64), np.arange(alone, first_, dtype=np.int32), parity(s)))
-            held += len(rows[-1][3])
+            rows.append((doc, k1, len(s), alone / len(s), ex.pack(shared), shared[order].view(np.int64), np.arange(alone, first_, dtype=np.int32), parity(s)))
+            held += len(rows[-1][4])
             if held > 4 << 20:
                 yield _batch(rows)
                 rows, held = [], 0
@@ -138,11 +149,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     found = stage(ex.in_groups(docs, {1: df_reply.df, 2: copies}, groups).mapInArrow(ex.by_group(entries), SECOND), "prefixes")
     df_reply.drop()
     sets = found.df.select("doc_id", "n", "shared")
-    exploded = found.df.select("doc_id", "n", "alone", F.explode(F.arrays_zip("h", "pos")).alias("e")).select(F.col("e.h").alias("h"), F.col("e.pos").alias("pos"), "doc_id", "n", "alone")
-    # Of shingles that the same documents hold one is enough: two 64-bit sums over the documents tell.
-    held = exploded.groupBy("h").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    exploded = found.df.select("doc_id", "key", "n", "alone", F.explode(F.arrays_zip("h", "pos")).alias("e")).select(F.col("e.h").alias("h"), F.col("e.pos").alias("pos"), "doc_id", "key", "n", "alone")
+    # Of shingles that the same documents hold one is enough: two 64-bit sums over the documents, and their texts if ids repeat, tell.
+    held = exploded.groupBy("h").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id", "key")).alias("x"), F.bit_xor(F.xxhash64("doc_id", "key", F.lit(1))).alias("y"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     one = held.where("least <> most").groupBy("c", "x", "y", "least").agg(F.min("h").alias("h")).select("h")
-    met = stage(exploded.join(one, "h"), "met")
+    met = stage(exploded.join(one, "h").drop("key"), "met")
     near_enough = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND (100 + {percent}) * (least(pos, pos2) + 1L + least(n - pos, n2 - pos2) - 1L) >= {percent} * (n + n2)")
 
     def verified(pairs: DataFrame, label: str):
@@ -191,5 +202,5 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    doc, size, alone, shared, h, pos, bits = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(alone, pa.float64()), pa.array(shared, pa.binary()), pa.array(h, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))], [f.split()[0] for f in SECOND.split(", ")])
+    doc, key, size, alone, shared, h, pos, bits = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(alone, pa.float64()), pa.array(shared, pa.binary()), pa.array(h, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))], [f.split()[0] for f in SECOND.split(", ")])

@@ -389,6 +389,18 @@ def test_jaccard_components(spark, docs, rows):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
 
 
+def test_only_copied_texts_of_a_repeated_id_leave(spark):
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    text = lambda w, last: " ".join([*w[:-1], last])
+    # 5 repeats with a copy of 2's text and one of its own, which 8 copies and 9 nearly does; 12's own two texts have near copies apart.
+    data = [(2, text(a, "x")), (5, text(a, "x")), (5, text(b, "x")), (8, text(b, "x")), (9, text(b, "y"))]
+    c, d = [f"c{i}" for i in range(40)], [f"d{i}" for i in range(12)]
+    data += [(12, text(c, "x")), (12, text(d, "x")), (13, text(c, "y")), (14, text(d, "y"))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == {(2, 2), (5, 2), (8, 2), (9, 2), (12, 12), (13, 12), (14, 12)}
+
+
 def test_jaccard_of_odd_rows(spark):
     t = "a b c d e f g h"
     df = spark.createDataFrame([(5, t), (3, t), (3, t), (None, t), (9, None)], "doc_id long, text string")
