@@ -77,7 +77,7 @@ def squeezed(folded: bytes) -> tuple[bytes, np.ndarray]:
 
 
 def fuzzy(folded: bytes, notices, compiled, found: set[str]) -> list[tuple[str, int, int, int, int]]:
-    """Spans (label, start, end, edits, length of the notice) of one text, each with the fewest edits that its stretch needs; found: pieces that occur in the text."""
+    """Spans (label, start, end, edits, length of the notice) of one text, fewest edits first: those of more edits stand in what the better ones leave; found: pieces that occur in the text."""
     spans, text, at = [], b"", None
     for (notice, label, _, pieces), tries in zip(notices, compiled, strict=True):
         if not found.intersection(pieces):
@@ -85,10 +85,21 @@ def fuzzy(folded: bytes, notices, compiled, found: set[str]) -> list[tuple[str,
         if at is None:
             text, at = squeezed(folded)
         for a, b in near(text, [p.encode() for p in pieces], 2 * len(notice)):
+            free, taken = [(a, b)], []
             for edits, pattern in enumerate(tries):
-                if hits := [m.span() for m in pattern.finditer(text, a, b)]:
-                    spans += [(label, int(at[s]), int(at[e - 1]) + 1, edits, len(notice)) for s, e in hits]
-                    break
+                rest = []
+                for c, d in free:
+                    # Any match holds a whole piece.
+                    if not any(text.find(p.encode(), c, d) >= 0 for p in pieces):
+                        continue
+                    for s, e in (m.span() for m in pattern.finditer(text, c, d)):
+                        taken.append((s, e, edits))
+                        # The separator before a span is no part of what is left: a notice must end before it.
+                        rest.append((c, max(c, s - 1)))
+                        c = e
+                    rest.append((c, d))
+                free = rest
+            spans += [(label, int(at[s]), int(at[e - 1]) + 1, edits, len(notice)) for s, e, edits in sorted(taken)]
     return spans
 
 

@@ -358,6 +358,16 @@ def test_license_scan(spark, docs, rows):
     assert license_scan.scan_licenses(empty(spark)).isEmpty()
 
 
+def test_exact_notices_hide_no_misspelt_ones(spark):
+    ok, one, two = "gnu general public license", "gnu generel public license", "gmu generel public license"
+    texts = [f"{ok} {one} {two}", f"the {two}, the {one}; {ok} and {ok} or {one}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_scan.scan_licenses(df).collect():
+        text = texts[r["doc_id"]]
+        want = sorted((m.start(), m.end(), k) for k, n in enumerate((ok, one, two)) for m in regex.finditer(n, text))
+        assert [(s["start"], s["end"], s["edits"]) for s in r["spans"] if s["label"] == "gpl"] == want
+
+
 # 8
 
 
