@@ -10,10 +10,13 @@ the count (which may be negative). States are compiled when first reached; no
 piece goes on past a blank that follows another character, so each stretch of
 blanks and characters starts in the first state.
 
-Stretches are cut into chunks that run side by side. A chunk's state map is
-kept for the entry states that are asked for: a first guess comes from a run-up
-over the characters before it; the scan over the chunks confirms entries and
-asks for others until all are known, and prefix sums compose the counts.
+Stretches are cut into chunks that run side by side. A chunk's map leads from
+entry states to exit states and counts. Its first entry state comes from a run-up
+over the characters before it; all states that the maps of its predecessor leave
+in are added, for all chunks at once, until the maps are closed. A state that is
+handed on unchanged is added to twice as many chunks each time, so rounds grow
+with the logarithm of the chunks. Then a parallel prefix scan composes the maps:
+pointers and counts double their reach each round.
 
 Defined results: null and empty texts have no bytes and no tokens; each row is
 counted by itself; other columns are ignored; special strings inside texts are
@@ -28,8 +31,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import found
 from .store import tune, worker_cache
-from .words import Hasher, buffers
+from .words import Hasher, buffers, secret
 
 BLANK = "▁"
 CHUNK, RUN_UP = 64, 24
@@ -172,9 +176,9 @@ class Transducer:
             if len(missing):
                 pairs = s[missing].astype(np.int64) << 32 | chars[at[going[missing]]]
                 distinct, back = np.unique(pairs, return_inverse=True)
-                found = [self.known(int(p >> 32), chr(p & 0xFFFFFFFF)) for p in distinct.tolist()]
-                to[missing] = np.array([f[0] for f in found])[back]
-                out[missing] = np.array([f[1] for f in found])[back]
+                steps = [self.known(int(p >> 32), chr(p & 0xFFFFFFFF)) for p in distinct.tolist()]
+                to[missing] = np.array([f[0] for f in steps])[back]
+                out[missing] = np.array([f[1] for f in steps])[back]
             state[going] = to
             count[going] += out
             at[going] += 1
@@ -209,23 +213,53 @@ class Transducer:
 
     def _counts(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         pieces = np.maximum(1, -(-(ends - starts) // CHUNK))
+        first = np.cumsum(pieces) - pieces
         owner = np.repeat(np.arange(len(starts)), pieces)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        number = np.arange(len(owner)) - first[owner]
         a = starts[owner] + number * CHUNK
         b = np.minimum(a + CHUNK, ends[owner])
+        last = number == pieces[owner] - 1
         entry = np.full(len(a), self.first, np.int32)
         later = np.flatnonzero(number)
         if len(later):
             entry[later] = self.run(chars, a[later] - RUN_UP, a[later], np.full(len(later), self.first))[0]
-        leave, count = self.run(chars, a, b, entry)
-        while len(wrong := later[leave[later - 1] != entry[later]]):
-            entry[wrong] = leave[wrong - 1]
-            leave[wrong], count[wrong] = self.run(chars, a[wrong], b[wrong], entry[wrong])
-        return np.add.reduceat(count, np.cumsum(pieces) - pieces) if len(starts) else count
+        # Rows of the chunks' maps: (chunk, entry state) to (exit state, count), until each exit is an entry of the next chunk.
+        keys, leave, count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new, age = np.arange(len(a)) << 32 | entry.astype(np.int64), np.zeros(len(a), np.int64)
+        self.closing = 0
+        while len(new):
+            chunk, state = new >> 32, new & 0xFFFFFFFF
+            to, n = self.run(chars, a[chunk], b[chunk], state)
+            to = to.astype(np.int64)
+            spot = np.searchsorted(keys, new)
+            keys, leave, count = np.insert(keys, spot, new), np.insert(leave, spot, to), np.insert(count, spot, n)
+            goes = ~last[chunk]
+            asked, age = (chunk + 1 << 32 | to)[goes], age[goes]
+            missing = ~found(asked, keys)[0]
+            asked, age = asked[missing], age[missing]
+            # A state that is handed on from chunk to chunk is tried in twice as many chunks each time.
+            reach = np.minimum(1 << np.minimum(age, 40), (first + pieces)[owner[asked >> 32]] - (asked >> 32))
+            step = np.arange(int(reach.sum())) - np.repeat(np.cumsum(reach) - reach, reach)
+            new, age = np.repeat(asked, reach) + (step << 32), np.repeat(age + 1, reach)
+            order = np.lexsort((-age, new))
+            new, age = new[order], age[order]
+            fresh = ~found(new, keys)[0]
+            fresh[1:] &= new[1:] != new[:-1]
+            new, age = new[fresh], age[fresh]
+            self.closing += 1
+        # Composition by doubling: each row's count comes to cover twice as many chunks, and points behind them.
+        chunk = keys >> 32
+        follow = np.where(last[chunk], -1, found(chunk + 1 << 32 | leave, keys)[1])
+        self.doublings = 0
+        while len(on := np.flatnonzero(follow >= 0)):
+            count[on], follow[on] = count[on] + count[follow[on]], follow[follow[on]]
+            self.doublings += 1
+        return count[found(first << 32 | self.first, keys)[1]]
 
 
-def batch_counts(texts: pa.Array, t: Transducer, hasher: Hasher) -> np.ndarray:
-    """Tokens of each text. Equal stretches are counted once per batch."""
+def batch_counts(texts: pa.Array, t: Transducer, hasher: Hasher, check: Hasher | None = None) -> np.ndarray:
+    """Tokens of each text. Stretches that are equal by two hashes, the second under a secret key, are counted once per batch."""
+    hashers = hasher, check or Hasher(key=secret())
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("")
@@ -239,7 +273,10 @@ def batch_counts(texts: pa.Array, t: Transducer, hasher: Hasher) -> np.ndarray:
     start[offsets[:-1][offsets[:-1] < len(data)]] = True
     starts = np.flatnonzero(start)
     ends = np.append(starts[1:], len(data))
-    _, first, inverse = np.unique(hasher.hashes(data, starts, ends), return_index=True, return_inverse=True)
+    one, two = (h.hashes(data, starts, ends) for h in hashers)
+    _, first, inverse = np.unique(one, return_index=True, return_inverse=True)
+    if not np.array_equal(two[first][inverse], two):
+        first = inverse = np.arange(len(starts))  # two stretches share a hash: count each
     s, e = starts[first], ends[first]
     flat = np.repeat(s - np.concatenate([[0], np.cumsum(e - s)[:-1]]), e - s) + np.arange(int((e - s).sum())) if len(s) else np.zeros(0, np.int64)
     picked = data[flat]
@@ -262,9 +299,9 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
         cache = worker_cache()
         if ("counts", model_file) not in cache:
             cache["counts", model_file] = Transducer(Merges(model_file))
-        t, hasher = cache["counts", model_file], Hasher(space=ONLY_BLANK)
+        t, hashers = cache["counts", model_file], (Hasher(space=ONLY_BLANK, key=secret()), Hasher(key=secret()))
         for batch in batches:
-            n = batch_counts(batch.column(1), t, hasher)
+            n = batch_counts(batch.column(1), t, *hashers)
             size = np.diff(buffers(batch.column(1))[1])
             yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
