@@ -1,9 +1,12 @@
 """Token ids of whole batches of texts, exactly as the library has them.
 
 The pretokens of a batch are found by character classes, side by side, and only
-distinct ones are encoded; a worker remembers those of earlier batches. This
-holds for texts of plain characters (Latin letters without combining marks and
-common signs) and no special strings. Others go through the library whole.
+distinct ones are encoded; a worker remembers those of earlier batches. Pretokens
+are told apart by two 64-bit hashes under keys that each worker draws for itself,
+so no text can be made to collide; where the first agree and the second do not,
+the batch goes through the library. This holds for texts of plain characters
+(Latin letters without combining marks and common signs) and no special strings.
+Others go through the library whole.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 
 from .exchange import found
 from .store import worker_cache
-from .words import Hasher, mix
+from .words import Hasher, secret
 
 SPACE, LETTER, NUMBER, OTHER, RARE = range(5)
 TOP = 0x2100
@@ -46,9 +49,7 @@ class Encoder:
 
         self.tokenizer, self.words = Tokenizer.from_file(path), words
         self.classes, self.lower = _classes(), _lower()
-        self.hasher = Hasher()
-        codes = mix(np.arange(1, TOP + 1, dtype=U) * U(0xD1342543DE82EF95))
-        self.hasher.codes = codes[self.lower] if words else codes
+        self.hashers = Hasher(key=secret()), Hasher(key=secret())
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
@@ -60,8 +61,8 @@ class Encoder:
         return cache["encoder", path]
 
     def clear(self) -> None:
-        """Known pretokens: ascending hashes with their rows, and the ids of each row."""
-        self.keys, self.rows = np.zeros(0, U), np.zeros(0, np.int64)
+        """Known pretokens: ascending hashes with their second ones and rows, and the ids of each row."""
+        self.keys, self.checks, self.rows = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
         self.ids, self.starts = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
         self.n_words = self.n_ids = 0
 
@@ -95,8 +96,8 @@ class Encoder:
                     start[p + 2] = False
         return start
 
-    def _known(self, hashes: np.ndarray, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Rows of distinct pretokens in the table of ids."""
+    def _known(self, hashes: np.ndarray, checks: np.ndarray, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray | None:
+        """Rows of distinct pretokens in the table of ids; None where second hashes tell apart what the first do not."""
         if self.n_words + len(hashes) > MOST_WORDS:
             self.clear()
         hit, at = found(hashes, self.keys)
@@ -115,11 +116,17 @@ class Encoder:
             self.starts[self.n_words + 1 : self.n_words + 1 + len(new)] = self.n_ids + np.cumsum(size)
             spot = np.searchsorted(self.keys, hashes[new])
             self.keys = np.insert(self.keys, spot, hashes[new])
+            self.checks = np.insert(self.checks, spot, checks[new])
             self.rows = np.insert(self.rows, spot, self.n_words + np.arange(len(new)))
             self.n_words += len(new)
             self.n_ids += total
             at = found(hashes, self.keys)[1]
-        return self.rows[at]
+        return self.rows[at] if np.array_equal(self.checks[at], checks) else None
+
+    def _whole(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same as batch(), by the library alone."""
+        parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and the n + 1 bounds; null is empty."""
@@ -151,9 +158,14 @@ class Encoder:
             if self.words:
                 word = kind[begin] != SPACE
                 begin, end = begin[word], end[word]
-            # All code points are below TOP here.
-            h, first, back = np.unique(self.hasher.hashes(cp, begin, end), return_index=True, return_inverse=True)
-            row = self._known(h, seen, begin[first], end[first])[back]
+            # All code points are below TOP here, so each takes two bytes.
+            short = seen.astype("<u2").view(np.uint8)
+            one, two = (x.hashes(short, 2 * begin, 2 * end) for x in self.hashers)
+            h, first, back = np.unique(one, return_index=True, return_inverse=True)
+            row = self._known(h, two[first], seen, begin[first], end[first]) if np.array_equal(two[first][back], two) else None
+            if row is None:
+                return self._whole(strings)
+            row = row[back]
             n = self.starts[row + 1] - self.starts[row]
             total = np.concatenate([[0], np.cumsum(n)])
             flat = self.ids[np.repeat(self.starts[row] - total[:-1], n) + np.arange(total[-1])]

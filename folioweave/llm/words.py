@@ -1,20 +1,28 @@
 """Words, word hashes and n-gram hashes of whole Arrow batches of texts, without a loop over words.
 
-A word is a run of bytes other than space, tab, LF, VT, FF and CR. Its hash is
-a polynomial of its bytes, taken from prefix sums: with an odd base modulo
-2**64, (C[end] - C[start]) * base**-start does not depend on where it stands.
+A word is a run of bytes other than space, tab, LF, VT, FF and CR. Its hash
+takes eight bytes at a time, each through a full mix of 64 bits, so words that
+are made of the same parts in another order (which agree under a polynomial
+modulo 2**64) differ. Words over LONG bytes are hashed by XXH3. Every hash has
+a key; two keys give two hashes that are independent of each other.
 """
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-BASE = 0x9E3779B97F4A7C15
-STRIP = 1 << 20
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[65:91] = LOWERED[97:123]
+#: Keeps the first k of eight bytes.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,25 +34,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def byte_codes(lower: bool) -> np.ndarray:
-    codes = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
-    if lower:
-        codes[65:91] = codes[97:123]
-    return codes
+def secret() -> int:
+    """A key that no text can have been made for; for hashes that never leave one run."""
+    return int.from_bytes(os.urandom(8), "little")
 
 
 class Hasher:
     """Word hashes of texts that stand one behind the other in a byte buffer."""
 
-    def __init__(self, lower: bool = False, space: np.ndarray = SPACE):
-        self.codes, self.space, self.power, self.inverse = byte_codes(lower), space, np.ones(1, U), np.ones(1, U)
-
-    def _powers(self, n: int) -> None:
-        if len(self.power) < n:
-            n = max(n, STRIP)
-            back = pow(BASE, -1, 1 << 64)
-            self.power = np.cumprod(np.concatenate([np.ones(1, U), np.full(n, BASE, U)]))
-            self.inverse = np.cumprod(np.concatenate([np.ones(1, U), np.full(n, back, U)]))
+    def __init__(self, lower: bool = False, space: np.ndarray = SPACE, key: int = 0):
+        self.lower, self.space, self.key = lower, space, key
+        self.start, self.turn = (mix(np.array([key ^ c], U))[0] for c in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
 
     def bounds(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words; no word crosses a cut."""
@@ -58,18 +58,22 @@ class Hasher:
         return at[:-1][inside], at[1:][inside]
 
     def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """One hash for each word; data is worked through in strips of whole words."""
-        out, i = np.empty(len(starts), U), 0
-        while i < len(starts):
-            base = int(starts[i])
-            j = max(i + 1, int(np.searchsorted(ends, base + STRIP, "right")))
-            part = data[base : int(ends[j - 1])]
-            self._powers(len(part) + 1)
-            total = np.zeros(len(part) + 1, U)
-            np.cumsum(self.codes[part] * self.power[: len(part)], out=total[1:])
-            s, e = starts[i:j] - base, ends[i:j] - base
-            out[i:j] = mix((total[e] - total[s]) * self.inverse[s])
-            i = j
+        """One hash for each word."""
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = LOWERED[data] if self.lower else data
+        eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+        size = ends - starts
+        with np.errstate(over="ignore"):
+            out = mix((eight[starts] & KEEP[np.minimum(size, 8)]) + self.start + (size.astype(U) * self.turn))
+            at = 8
+            live = np.flatnonzero((size > at) & (size <= LONG))
+            while len(live):
+                part = eight[starts[live] + at] & KEEP[np.minimum(size[live] - at, 8)]
+                out[live] = mix((out[live] ^ part) * U(0x9FB21C651E98DF25) + self.turn)
+                at += 8
+                live = live[size[live] > at]
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(padded[starts[i] : ends[i]].tobytes(), int(self.start))
         return out
 
 
@@ -95,6 +99,10 @@ class Words:
         self.hash = hasher.hashes(self.data, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, self.offsets)
 
+    def also(self, hasher: Hasher) -> np.ndarray:
+        """The words' hashes under another key."""
+        return hasher.hashes(self.data, self.starts, self.ends)
+
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
