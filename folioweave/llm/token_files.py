@@ -7,8 +7,8 @@ rank takes one look-up and a count of a block's bits, select a binary search.
 Each plane adds one rank step to the access of a token, to counting an id up to
 a place, and to finding its k-th place; nothing else is decoded.
 
-A file holds rows (part, shard, n_tokens, doc_ids, lengths, wavelet); documents
-stand in ascending id, over parts and shards. Parquet compresses the planes.
+A file holds rows (part, shard, n_tokens, doc_ids, without_id, lengths, wavelet);
+documents stand in ascending id, over parts and shards. Parquet compresses the planes.
 
 Defined results: null text is empty and holds the end id alone, null ids come
 first, rows that repeat are stored each by itself, an empty table has no shards.
@@ -32,8 +32,7 @@ from .tokens import Encoder
 BLOCK = 512
 SHARD_TOKENS = 2_000_000
 PART_BYTES, LEAST_PARTS = 32 << 20, 64
-FILE = "part int, shard int, n_tokens long, doc_ids binary, lengths binary, wavelet binary"
-NO_ID = np.iinfo(np.int64).min
+FILE = "part int, shard int, n_tokens long, doc_ids binary, without_id binary, lengths binary, wavelet binary"
 
 
 class WaveletMatrix:
@@ -140,12 +139,12 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
 
     def run(batches):
         encoder, part, shard = Encoder.of(tokenizer, True), TaskContext.get().partitionId(), 0
-        ids, doc_ids, sizes, held = [], [], [], 0
+        ids, doc_ids, bare, sizes, held = [], [], [], [], 0
 
         def close():
             lengths, names = np.concatenate(sizes), np.concatenate(doc_ids)
             flat = np.concatenate(ids)
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([ex.pack(names.astype(np.int64).view(np.uint64))], pa.binary()), pa.array([ex.pack(lengths.astype(np.uint64), delta=False)], pa.binary()), pa.array([WaveletMatrix.build(flat)], pa.binary())], [f.split()[0] for f in FILE.split(", ")])
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([ex.pack(names.astype(np.int64).view(np.uint64))], pa.binary()), pa.array([np.packbits(np.concatenate(bare)).tobytes()], pa.binary()), pa.array([ex.pack(lengths.astype(np.uint64), delta=False)], pa.binary()), pa.array([WaveletMatrix.build(flat)], pa.binary())], [f.split()[0] for f in FILE.split(", ")])
 
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
@@ -153,11 +152,12 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
                 found, bounds = encoder.batch(some.column(1))
                 ids.append(np.insert(found, bounds[1:], end_id))
                 sizes.append(np.diff(bounds) + 1)
-                doc_ids.append(some.column(0).fill_null(NO_ID).to_numpy())
+                doc_ids.append(some.column(0).fill_null(0).to_numpy())
+                bare.append(some.column(0).is_null().to_numpy(zero_copy_only=False))
                 held += len(ids[-1])
                 if held >= SHARD_TOKENS:
                     yield from close()
-                    ids, doc_ids, sizes, held, shard = [], [], [], 0, shard + 1
+                    ids, doc_ids, bare, sizes, held, shard = [], [], [], [], 0, shard + 1
         if ids:
             yield from close()
 
@@ -170,14 +170,14 @@ def read_shards(files: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                part, shard, _, names, sizes, raw = (c[row].as_py() for c in batch.columns)
+                part, shard, _, names, bare, sizes, raw = (c[row].as_py() for c in batch.columns)
                 flat = memoryview(WaveletMatrix(raw).decode().astype("<u4").tobytes())
                 lengths = ex.unpack(sizes).astype(np.int64)
                 start = np.cumsum(lengths) - lengths
                 crc = [zlib.crc32(flat[4 * a : 4 * (a + n)]) for a, n in zip(start.tolist(), lengths.tolist(), strict=True)]
                 ids = ex.unpack(names).view(np.int64)
                 n = len(ids)
-                yield pa.record_batch([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(start), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(np.full(n, part), pa.int32()), pa.array(np.full(n, shard), pa.int32())], ["doc_id", "at", "n_tokens", "ids_crc32", "part", "shard"])
+                yield pa.record_batch([pa.array(ids, pa.int64(), mask=np.unpackbits(np.frombuffer(bare, np.uint8), count=n).astype(bool)), pa.array(start), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(np.full(n, part), pa.int32()), pa.array(np.full(n, shard), pa.int32())], ["doc_id", "at", "n_tokens", "ids_crc32", "part", "shard"])
 
     rows = files.select(*[f.split()[0] for f in FILE.split(", ")]).mapInArrow(run, "doc_id long, at long, n_tokens long, ids_crc32 long, part int, shard int")
     sizes = files.select("part", "shard", "n_tokens")
