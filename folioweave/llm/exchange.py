@@ -1,8 +1,9 @@
 """Meeting of hashed keys from groups of documents, in compressed blocks instead of rows.
 
-Documents are dealt into groups by a hash of their id. Each group sends each of
-its distinct keys once, whatever the number of documents that hold it, so a key
-that a third of all documents share costs one entry per group. Keys travel as
+Documents are dealt into groups by a hash of their id and text, so rows without an
+id, or of one id, spread. Each group sends each of its distinct keys once,
+whatever the number of documents that hold it, so a key that a third of all
+documents share costs one entry per group. Keys travel as
 sorted, delta-coded blocks, one row for each (group, bucket); a bucket's reducer
 answers each group. Work and traffic are linear in the text.
 """
@@ -59,13 +60,14 @@ def counts_for(total: int) -> tuple[int, int]:
     return groups, 1 << max(5, (groups // 2).bit_length())
 
 
-def in_groups(docs: DataFrame, replies: dict[int, DataFrame], groups: int) -> DataFrame:
-    """Each group's replies (grp, bucket, payload) under their kinds, then its documents (doc_id, text), in one partition and in order."""
+def in_groups(docs: DataFrame, replies: dict[int, DataFrame], groups: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Each group's replies (grp, bucket, payload) under their kinds, then its documents (doc_id, text and the carried columns), in one partition and in order."""
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
     rows = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("grp"), F.lit(DOCS).alias("kind"), F.lit(0).alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("payload")
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("grp"), F.lit(DOCS).alias("kind"), F.lit(0).alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("payload"), *carried
     )
     for kind, reply in replies.items():
-        rows = rows.unionByName(reply.select("grp", F.lit(kind).alias("kind"), "bucket", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "payload"))
+        rows = rows.unionByName(reply.select("grp", F.lit(kind).alias("kind"), "bucket", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "payload", *[F.lit(None).cast(kinds[c]).alias(c) for c in carried]))
     return rows.repartition(groups, "grp").sortWithinPartitions("grp", "kind", "bucket", "doc_id")
 
 
@@ -92,7 +94,7 @@ def by_group(fn: Callable[[int, dict[int, dict[int, bytes]], pa.Table], Iterator
                 for i in range(m):
                     replies.setdefault(int(kinds[i]), {}).setdefault(part.column(2)[i].as_py(), part.column(5)[i].as_py())
                 if m < len(part):
-                    docs.append(part.slice(m).select(["doc_id", "text"]))
+                    docs.append(part.slice(m).select(["doc_id", "text", *part.schema.names[6:]]))
         yield from flush()
 
     return run

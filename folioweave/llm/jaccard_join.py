@@ -14,7 +14,10 @@ against its most central member (fewest shingles of its own), which joins
 nearly all of a group of near copies; after two such rounds only pairs between
 different components of a group remain, and all of these are verified. So every
 link counts for the components, though links inside a component need not be
-listed.
+listed. In that last round a group meets by levels of set size (sets that may
+link stand in one level or two neighbouring ones), and a level of more than
+BLOCK documents in pairs of blocks, each a task's worth. A pair that was
+verified once, linked or not, is not verified again.
 
 Defined results: words are runs without white space, A-Z lower-cased; fewer
 words than a shingle are one shingle; texts without words, and null ones, have
@@ -26,6 +29,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 from . import exchange as ex
 from .components import components
 from .store import stage, tune
-from .words import Hasher, Words, grams, mix
+from .words import Hasher, Words, grams, mix, secret
 
 U = np.uint64
 SEED = 0x7A77
@@ -42,11 +47,13 @@ FIRST = "kind int, bucket int, grp int, payload binary, doc_id long, n long, k1
 SECOND = "doc_id long, key long, n long, alone double, shared binary, h array<long>, pos array<int>, bits array<long>"
 #: Parity bits of a set. Two sets differ in at least as many shingles as their parities differ in bits.
 BITS = 1024
+#: Documents of one shingle and level that meet those of another block in one task.
+BLOCK = 256
 
 
-def shingle_sets(table: pa.Table, n: int) -> list[np.ndarray]:
+def shingle_sets(table: pa.Table, n: int, key: int = 0) -> list[np.ndarray]:
     """The distinct shingle hashes of each document, ascending."""
-    w = Words(table["text"], Hasher(True))
+    w = Words(table["text"], Hasher(True, key=key))
     all_, first, out = grams(w.hash, n, SEED), w.first.tolist(), []
     for a, b in zip(first, first[1:], strict=False):
         if b - a >= n:
@@ -94,10 +101,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     spark = docs.sparkSession
     tune(spark)
     groups, buckets = ex.counts_for(ex.text_bytes(docs, "text"))
-    names = [f.split()[0] for f in FIRST.split(", ")]
+    names, key = [f.split()[0] for f in FIRST.split(", ")], secret()
 
     def count(grp, replies, table):
-        sets = shingle_sets(table, n)
+        sets = shingle_sets(table, n, key)
         held = np.concatenate([k[np.concatenate([[True], k[1:] != k[:-1]])] for s in sets if len(s) for k in [ex.prefixed(s, buckets)]] or [np.zeros(0, U)])
         keys, times = np.unique(held, return_counts=True)
         rows = list(ex.census_blocks(grp, keys, times, buckets))
@@ -106,9 +113,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
             m = len(b)
             none = pa.nulls(m, pa.int64())
             yield pa.record_batch([pa.array([0] * m, pa.int32()), pa.array(b, pa.int32()), pa.array([int(grp)] * m, pa.int32()), pa.array(payload, pa.binary()), none, none, none, none], names)
-        size, key = set_keys(sets)
+        size, sums = set_keys(sets)
         m = len(size)
-        yield pa.record_batch([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int32()), pa.array([int(grp)] * m, pa.int32()), pa.nulls(m, pa.binary()), table["doc_id"].combine_chunks(), pa.array(size), pa.array(key[0]), pa.array(key[1])], names)
+        yield pa.record_batch([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int32()), pa.array([int(grp)] * m, pa.int32()), pa.nulls(m, pa.binary()), table["doc_id"].combine_chunks(), pa.array(size), pa.array(sums[0]), pa.array(sums[1])], names)
 
     first = stage(ex.in_groups(docs, {}, groups).mapInArrow(ex.by_group(count), FIRST), "shingles", ["kind"])
     df_reply = stage(ex.in_buckets(first.df.where("kind = 0"), buckets).mapInArrow(ex.by_bucket(ex.census), ex.REPLY), "shingle-counts")
@@ -126,12 +133,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
         copied, ids = {x[0] for x in drop}, table["doc_id"].to_pylist()
         times = Counter(ids)
         table = table.filter(pa.array([i is not None and (i not in copied or times[i] > 1) for i in ids], pa.bool_()))
-        rows, held = [], 0
-        sets = shingle_sets(table, n) if table.num_rows else []
-        size, key = set_keys(sets) if sets else (np.zeros(0, np.int64), np.zeros((2, 0), np.int64))
-        for doc, s, m, k1, k2 in zip(table["doc_id"].to_pylist(), sets, size.tolist(), *key.tolist(), strict=True):
-            if (doc, m, k1, k2) in drop:
+        rows, held, seen = [], 0, set()
+        sets = shingle_sets(table, n, key) if table.num_rows else []
+        size, sums = set_keys(sets) if sets else (np.zeros(0, np.int64), np.zeros((2, 0), np.int64))
+        for doc, s, m, k1, k2 in zip(table["doc_id"].to_pylist(), sets, size.tolist(), *sums.tolist(), strict=True):
+            if (doc, m, k1, k2) in drop or (doc, m, k1, k2) in seen:
                 continue
+            seen.add((doc, m, k1, k2))
             hit, at = ex.found(ex.prefixed(s, buckets), keys)
             alone, first_ = len(s) - int(hit.sum()), len(s) - -(-percent * len(s) // 100) + 1
             if alone >= first_ or not len(s):
@@ -156,8 +164,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     met = stage(exploded.join(one, "h").drop("key"), "met")
     near_enough = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND (100 + {percent}) * (least(pos, pos2) + 1L + least(n - pos, n2 - pos2) - 1L) >= {percent} * (n + n2)")
 
-    def verified(pairs: DataFrame, label: str):
-        """The pairs (a, b), each once, that are linked."""
+    tried: list[DataFrame] = []
+
+    def verified(pairs: DataFrame, turn: int) -> DataFrame:
+        """The pairs (a, b), each once and none that was tried before, that are linked."""
+        fresh = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        for known in tried:
+            fresh = fresh.join(known, ["a", "b"], "left_anti")
+        fresh = stage(fresh, f"pairs-{turn}").df
+        tried.append(fresh)
         a = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
         b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
 
@@ -166,34 +181,42 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
                 keep = [linked(ex.unpack(sa), na, ex.unpack(sb), nb, percent) for na, sa, nb, sb in zip(*(batch.column(c).to_pylist() for c in ("na", "sa", "nb", "sb")), strict=True)]
                 yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        joined = pairs.join(b, "b").join(a, "a").select("a", "b", "na", "sa", "nb", "sb")
-        return stage(joined.mapInArrow(run, "a long, b long"), label)
+        joined = fresh.join(b, "b").join(a, "a").select("a", "b", "na", "sa", "nb", "sb")
+        return stage(joined.mapInArrow(run, "a long, b long"), f"links-{turn}").df
 
-    def star(rows: DataFrame, best, label: str):
-        """Pairs of each document with its groups' leaders: the best rows by group."""
+    def star(rows: DataFrame, best) -> DataFrame:
+        """Pairs of each document with its groups' leaders: the best rows by group. Leaders are a table of their own, so that a frequent shingle's rows can be split in the join."""
         leader = rows.groupBy("h").agg(best.alias("l")).where("l IS NOT NULL").select("h", F.col("l.doc_id").alias("b"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"))
-        return rows.join(leader, "h").where("doc_id <> b").where(near_enough).select(F.col("doc_id").alias("a"), "b").distinct()
+        return rows.join(stage(leader, "leaders").df, "h").where("doc_id <> b").where(near_enough).select(F.col("doc_id").alias("a"), "b")
 
     central = F.struct("alone", "doc_id", "n", "pos")
-    links = verified(star(met.df, F.min(central), "star"), "links-1").df
-    done = [links]
+    done = [verified(star(met.df, F.min(central)), 1)]
     for turn in (2, 3):
         label = components(done[0] if len(done) == 1 else done[0].unionByName(done[1]))
-        marked = stage(met.df.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), f"marked-{turn}")
-        split = marked.df.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct("alone", "doc_id", "component")).alias("l")).where("least <> most").select("h", F.col("l.component").alias("of_leader"))
-        rest = marked.df.join(split, "h")
+        marked = stage(met.df.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), f"marked-{turn}").df
+        split = marked.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct("alone", "doc_id", "component")).alias("l")).where("least <> most").select("h", F.col("l.component").alias("of_leader"))
+        rest = marked.join(stage(split, f"split-{turn}").df, "h")
         if turn == 2:
-            pairs = star(rest, F.min(F.when(F.col("component") != F.col("of_leader"), central)), "star")
-        else:
-            # The parities tell how many shingles two sets differ in at least, before either set is fetched.
-            k = BITS // 64
-            bits = found.df.select("doc_id", *[F.col("bits")[i].alias(f"p{i}") for i in range(k)])
-            rest = rest.join(bits, "doc_id")
-            other = rest.select("h", F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(k)])
-            apart = " + ".join(f"bit_count(p{i} ^ q{i})" for i in range(k))
-            close = F.expr(f"(100 + {percent}) * ({apart}) <= (100 - {percent}) * (n + n2)")
-            pairs = rest.join(other, "h").where("component < component2").where(near_enough & close).select(F.col("doc_id").alias("a"), "b").distinct()
-        done.append(verified(pairs, f"links-{turn}").df)
+            done.append(verified(star(rest, F.min(F.when(F.col("component") != F.col("of_leader"), central))), turn))
+            continue
+        # The parities tell how many shingles two sets differ in at least, before either set is fetched.
+        k = BITS // 64
+        bits = found.df.select("doc_id", *[F.col("bits")[i].alias(f"p{i}") for i in range(k)])
+        level = F.floor(F.log("n") / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")
+        rest = stage(rest.select("h", "doc_id", "n", "pos", "component", level.cast("long").alias("level")), "apart").df
+        # The larger set meets in its own level, the smaller one in its own and the one above.
+        both = rest.select("h", "level", F.lit(1).alias("large")).unionByName(rest.select("h", F.explode(F.array("level", F.col("level") + 1)).alias("level"), F.lit(0).alias("large")))
+        size = stage(both.groupBy("h", "level").agg(F.sum("large").alias("nl"), F.sum(1 - F.col("large")).alias("ns")).where("nl > 0").select("h", "level", F.ceil(F.col("nl") / BLOCK).cast("int").alias("xs"), F.ceil(F.col("ns") / BLOCK).cast("int").alias("ys")), "blocks").df
+        own = lambda by: F.pmod(F.xxhash64("doc_id", F.lit("block")), by).cast("int")
+        one = rest.join(size, ["h", "level"]).withColumn("x", own(F.col("xs"))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1))).select("h", "level", "x", "y", "doc_id", "n", "pos", "component")
+        two = rest.withColumn("level", F.explode(F.array("level", F.col("level") + 1))).join(size, ["h", "level"]).withColumn("y", own(F.col("ys"))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
+        two = two.select("h", "level", "x", "y", F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
+        one = one.join(bits, "doc_id")
+        two = two.join(bits.select(F.col("doc_id").alias("b"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(k)]), "b")
+        apart = " + ".join(f"bit_count(p{i} ^ q{i})" for i in range(k))
+        close = F.expr(f"(100 + {percent}) * ({apart}) <= (100 - {percent}) * (n + n2)")
+        pairs = one.join(two, ["h", "level", "x", "y"]).where("component <> component2 AND n2 <= n").where(near_enough & close).select(F.col("doc_id").alias("a"), "b")
+        done.append(verified(pairs, turn))
     links = done[0].unionByName(done[1]).unionByName(done[2])
     own = member.df.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     label = stage(components(links.unionByName(own)), "components").df
