@@ -4,8 +4,11 @@ The program has a variable for each way to fill a bin (a configuration) and a
 row for each piece length: cover the histogram of lengths with as few bins as
 possible. Multiplicative weights solve it: each length's price falls as it is
 covered, and a knapsack dynamic program over the bin finds the configurations of
-the highest price. Amounts are rounded down, what is left is solved again, and
-the last remainder goes best-fit decreasing, group-wise over equal bins. All of
+the highest price. Amounts are rounded down. What is left is solved again, with a
+knapsack that takes no length more often than it is left, and rounded to whole
+configurations at the program's prices, those of the longest pieces first; the
+last tenth of the pieces goes best-fit decreasing, group-wise over equal bins. As
+a last comparison, best fit of all pieces replaces a plan of more bins. All of
 this sees the histogram alone, which has at most `length` rows whatever the
 number of documents.
 
@@ -30,7 +33,10 @@ from pyspark.sql import functions as F
 from .store import stage, tune
 from .tokens import Encoder
 
-STEPS, SOLVES = 150, 2
+#: Steps of the program over all pieces and over what is left.
+STEPS, AGAIN = 150, 24
+#: Share of the pieces that may be left for best fit after rounding.
+REST = 0.1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
@@ -117,26 +123,102 @@ def best_fit(need: np.ndarray) -> list[tuple[dict[int, int], int]]:
     return [(dict(content), k) for g in groups.values() for content, k in g.items()]
 
 
-def plan(need: np.ndarray) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how often each is used; they cover the histogram exactly."""
+def bounded(price: np.ndarray, lengths: np.ndarray, left: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each length the best configuration that holds it, no length more often than it is left: values, and counts by row."""
+    weight, worth, owner, many = [], [], [], []
+    for i, (l, n) in enumerate(zip(lengths.tolist(), np.minimum(left, size // lengths).tolist(), strict=True)):
+        k = 1
+        while n:
+            k = min(k, n)
+            weight.append(k * l)
+            worth.append(k * price[i])
+            owner.append(i)
+            many.append(k)
+            n -= k
+            k *= 2
+    best, took = np.zeros(size + 1), np.zeros((len(weight), size + 1), bool)
+    for i, w in enumerate(weight):
+        value = best[: size + 1 - w] + worth[i]
+        better = value > best[w:] + 1e-12
+        took[i, w:] = better
+        best[w:][better] = value[better]
+    cap = size - lengths
+    counts = np.eye(len(lengths), dtype=np.int32)
+    for i in range(len(weight) - 1, -1, -1):
+        taken = took[i, cap]
+        if taken.any():
+            cap = cap - weight[i] * taken
+            counts[:, owner[i]] += many[i] * taken
+    each = np.arange(len(lengths))
+    counts[each, each] = np.minimum(counts[each, each], left)  # the piece itself may be one too many
+    return price + best[size - lengths], counts
+
+
+def priced(left: np.ndarray, steps: int = AGAIN, heat: float = 0.02, rate: float = 0.3) -> np.ndarray:
+    """Prices of the lengths that are left, by multiplicative weights over whole configurations."""
+    size, lengths = len(left), np.flatnonzero(left) + 1
+    n = left[lengths - 1].astype(np.int64)
+    bins, price = float((n * lengths).sum() / size), lengths / size
+    mean = np.zeros(len(lengths))
+    for step in range(steps):
+        value, counts = bounded(price, lengths, n, size)
+        share = n * np.exp((value - value.max()) / heat)
+        share *= bins / share.sum()
+        price = price * np.exp(rate / np.sqrt(1 + step) * np.clip(1 - share @ counts / n, -1, 1))
+        mean += price / steps
+    return mean
+
+
+def whole(left: np.ndarray, price: np.ndarray) -> list[tuple[dict[int, int], int]]:
+    """The best whole configurations for the longest pieces that are left, until one takes what another took."""
+    size, lengths = len(left), np.flatnonzero(left) + 1
+    n = left[lengths - 1].astype(np.int64)
+    _, counts = bounded(price[lengths - 1], lengths, n, size)
+    out, rest = [], n.copy()
+    for j in range(len(lengths) - 1, -1, -1):
+        used = np.flatnonzero(counts[j])
+        times = int((rest[used] // counts[j, used]).min())
+        if not times:
+            if rest[j]:
+                break
+            continue
+        rest[used] -= times * counts[j, used]
+        out.append(({int(lengths[i]): int(counts[j, i]) for i in used.tolist()}, times))
+    return out
+
+
+def rounded(need: np.ndarray) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Whole configurations from the program, solved again over what is left, and the last pieces (at most REST of all)."""
     left, out = need.astype(np.int64).copy(), []
-    full = int(left[-1])
-    if full:
-        out.append(({len(need): 1}, full))
-        left[-1] = 0
-    for _ in range(SOLVES):
-        if left.sum() <= 4 * (left > 0).sum():
-            break
-        before = left.sum()
-        for config, amount in fractional(left):
-            times = min(int(amount), *(int(left[l - 1]) // m for l, m in config.items()))
-            if times > 0 and sum(l * m for l, m in config.items()) == len(need):  # bins with a gap wait for the remainder
+    last, length = int(REST * left.sum()), np.arange(1, len(left) + 1) / len(left)
+
+    def take(configs):
+        for config, times in configs:
+            times = min(times, *(int(left[l - 1]) // m for l, m in config.items()))
+            if times > 0:
                 out.append((config, times))
                 for l, m in config.items():
                     left[l - 1] -= times * m
-        if left.sum() > 0.98 * before:
-            break
-    return out + best_fit(left)
+
+    take([(c, int(x)) for c, x in fractional(left)] if left.any() else [])
+    while left.sum() > last:
+        price, goal = np.zeros(len(left)), max(int(left.sum()) // 2, last)
+        price[np.flatnonzero(left)] = priced(left)
+        # Fullness counts beside the program's prices, and long pieces a little more: short ones fill the last gaps.
+        price = price / 2 + length * (1 + 0.02 * length)
+        while left.sum() > goal:
+            take(whole(left, price))
+    return out, left
+
+
+def plan(need: np.ndarray) -> list[tuple[dict[int, int], int]]:
+    """Configurations and how often each is used; they cover the histogram exactly."""
+    short, out = need.astype(np.int64).copy(), []
+    if short[-1]:
+        out.append(({len(need): 1}, int(short[-1])))
+        short[-1] = 0
+    configs, left = rounded(short)
+    return out + min(configs + best_fit(left), best_fit(short), key=lambda plan: sum(k for _, k in plan))
 
 
 def places(configs: list[tuple[dict[int, int], int]], size: int) -> dict[int, tuple[np.ndarray, ...]]:

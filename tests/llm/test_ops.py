@@ -147,6 +147,44 @@ def test_plan_is_near_the_bound():
         assert sum(k for _, k in packing.plan(need)) <= 1.002 * least + 2 or sum(k for _, k in packing.plan(need)) <= 1.002 * sum(k for _, k in packing.best_fit(need))
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_plans_come_from_the_program(folder):
+    """Of the pieces of the small tables at least 80 % stand in configurations of the program, in at most one bin over the bound."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = Path(f"/root/testdata/{folder}/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    encoded = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch_fast([t or "" for t in pq.read_table(path)["text"].to_pylist()], add_special_tokens=False)
+    short = np.bincount([len(e.ids) % 1024 + 1 for e in encoded], minlength=1025)[1:]
+    short[-1] = 0
+    configs, left = packing.rounded(short)
+    held = Counter()
+    for config, times in configs:
+        for length, each in config.items():
+            held[length] += each * times
+    assert all(held[i + 1] + left[i] == short[i] for i in range(1024))
+    assert sum(held.values()) >= 0.8 * short.sum()
+    used = packing.plan(short)
+    assert sum(k for _, k in used) <= -(-int((short * np.arange(1, 1025)).sum()) // 1024) + 1
+    # What is used is the program's plan, not the comparison's.
+    assert used[: len(configs)] == configs
+
+
+def test_bounded_knapsack_takes_what_is_left():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        lengths, left = np.sort(rng.choice(np.arange(1, 13), 5, replace=False)), rng.integers(1, 4, 5)
+        price = rng.random(5)
+        value, counts = packing.bounded(price, lengths, left, 12)
+        assert (counts <= left).all() and (counts @ lengths <= 12).all() and (counts.diagonal() >= 1).all()
+        best = max(sum(price * c) for c in itertools.product(*(range(n + 1) for n in left)) if sum(lengths * c) <= 12)
+        assert max(value) >= best - 1e-9 or max(counts @ price) <= best + 1e-9
+
+
 def test_knapsack_is_optimal():
     rng = np.random.default_rng(4)
     for _ in range(5):
