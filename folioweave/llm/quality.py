@@ -6,15 +6,26 @@ out. It is fitted on at most `sample` labelled rows (those with the smallest
 hashes of their id). All else covers all documents.
 
 Hosts and paths get posterior rates of acceptable documents: a path's rate is
-shrunk to its host's, a host's to the global one. The prior strengths come from
+shrunk to its host's, a host's to the global one. A path is known by its host
+and its name together. The prior strengths come from
 the spread of the rates over all hosts and paths (method of moments), so sparse
 sites fall back and well-covered ones speak for themselves. A document's own
 vote is taken out of its path's and host's rates. Its odds are the classifier's
 times the site's odds over the global odds.
 
+Parameters that bound the model, none of which leaves a document out: `sample`
+labelled rows; a lexicon of `lexicon` words, each in at least `least_docs` toxic
+documents of the sample and `least_odds` times as likely there. A site moves the
+log odds by at most `most_shift`: its rates come from the same classifier, so
+they are no independent evidence, and a good document of a bad site can stay.
+Rates of 0 and 1 are taken for 1e-9 and 1 - 1e-9, so that odds are finite.
+
 Defined results: null text is empty, null hosts and paths are the empty string,
-rows that repeat are scored each by itself and a kept id is kept in all rows,
-without labels of both kinds a head gives its base rate, other columns are ignored.
+each row is scored and kept or dropped by itself, also where ids repeat or are
+null; a null score (no rows at all) keeps nothing; without labels of both kinds a
+head gives its base rate; labels of one id that differ count as the lower quality
+and as toxic; of a labelled id's rows the smallest text is
+fitted on; other columns are ignored unless they are carried.
 """
 
 from __future__ import annotations
@@ -23,16 +34,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .exchange import found
+from .exchange import found as among
 from .license_scan import APART
 from .store import stage, tune
 from .words import Hasher, Words
 
 SAMPLE, LEXICON = 20_000, 5_000
 LEAST_DOCS, LEAST_ODDS = 3, 8.0
-#: How much a site may shift the log odds.
 MOST_SHIFT = 2.0
+#: Rows of paths that may be broadcast; more are joined by shuffle.
+FEW_PATHS = 100_000
 N_FORM = 9
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "*&%$#@^~<>{}[]\\_=+"]] = True
@@ -56,7 +69,7 @@ def measures(texts: pa.Array, keys: np.ndarray, weights: np.ndarray) -> np.ndarr
     repeats = again[w.first[1:]] - again[edges]
     n = np.maximum(counts, 1)
     log_n = np.log1p(counts)
-    hit, at = found(w.hash, keys)
+    hit, at = among(w.hash, keys)
     weight = np.where(hit, weights[at] if len(weights) else 0.0, 0.0)
     doc = np.repeat(np.arange(len(counts)), counts)
     hits, total, most = np.bincount(doc, hit, len(counts)), np.bincount(doc, weight, len(counts)), np.zeros(len(counts))
@@ -100,11 +113,12 @@ class Model:
         return (1 - self.toxic(x[:, N_FORM:])) * self.good(x[:, :N_FORM])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int = LEXICON, least_docs: int = LEAST_DOCS, least_odds: float = LEAST_ODDS) -> Model:
     """docs (doc_id, text), labels (doc_id, quality, toxic). Of the sample's documents two thirds make the lexicon, the others fit the heads."""
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # At most `sample` rows of three numbers.
-    table = stage(docs.join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) == 0).alias("held")), "labelled")
+    # At most `sample` rows of three numbers; of a repeated id the smallest text is fitted on, so the table keeps that bound.
+    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
+    table = stage(found.select("text", "quality", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) == 0).alias("held")), "labelled")
 
     def words(batches):
         for batch in batches:
@@ -122,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     bad, fine = size["bad"] or 0, (size["n"] or 0) - (size["bad"] or 0)
     odds = (F.col("bad") + 0.5) / (bad + 1) / ((F.col("fine") + 0.5) / (fine + 1))
     counted = fold.select("text", "toxic").mapInArrow(words, "h long, bad long, fine long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
-    top = counted.where(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "h").limit(LEXICON).collect()
+    top = counted.where(F.col("bad") >= least_docs).withColumn("odds", odds).where(F.col("odds") >= least_odds).orderBy(F.desc("odds"), "h").limit(lexicon).collect()
     keys, weights = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([np.log(r["odds"]) for r in top])
     order = np.argsort(keys)
     keys, weights = keys[order], weights[order]
@@ -151,18 +165,27 @@ def _strength(groups: DataFrame, rate: Column, prior: Column) -> float:
     return float(min(max(within / max(between, 1e-9) - 1, 1.0), 1e6))
 
 
-def score(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, row_col: str | None = None) -> DataFrame:
-    """doc_id, host, path, doc_score, site_score and score (posterior chance of being acceptable) of each row; row_col: a column of numbers that is kept."""
+def score(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", carried: str | None = None, most_shift: float = MOST_SHIFT, **bounds) -> DataFrame:
+    """doc_id, host, path, doc_score, site_score and score (posterior chance of being acceptable) of each row; carried: a column that each row keeps; bounds: those of fit()."""
     tune(docs.sparkSession)
-    path = F.concat_ws("/", F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.coalesce(F.col(path_col).cast("string"), F.lit("")))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), path.alias("path"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
-    model = fit(docs.select("doc_id", "text"), labels, sample)
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), plain(host_col).alias("host"), plain(path_col).alias("path"), *([F.col(carried).alias("carried")] if carried else []))
+    model = fit(docs.select("doc_id", "text"), labels, **bounds)
 
     def run(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(model.acceptable(batch.column(1))), batch.column(4)], ["doc_id", "host", "path", "doc_score", "row"])
+            kept = [batch.column(c) for c in ("doc_id", "host", "path")]
+            yield pa.record_batch([*kept, pa.array(model.acceptable(batch.column("text"))), *([batch.column("carried")] if carried else [])], ["doc_id", "host", "path", "doc_score", *["carried"] * bool(carried)])
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("doc_score", T.DoubleType())])
+    if carried:
+        schema = schema.add("carried", docs.schema["carried"].dataType)
+    scored = stage(docs.mapInArrow(run, schema), "scores").df
+    return with_sites(scored, carried, most_shift)
+
 
-    scored = stage(docs.mapInArrow(run, "doc_id long, host string, path string, doc_score double, row long"), "scores").df
+def with_sites(scored: DataFrame, carried: str | None = None, most_shift: float = MOST_SHIFT) -> DataFrame:
+    """scored (doc_id, host, path, doc_score) with the sites' posteriors and the final score."""
     paths = stage(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("doc_score").alias("good")), "paths").df
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = hosts.agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("good"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -171,14 +194,17 @@ def score(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col
     both = paths.join(hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good")), "host")
     rate = (F.col("host_good") + mean * of_host) / (F.col("host_n") + of_host)
     of_path = _strength(both, F.col("good") / F.col("n"), rate)
-    sites = both.select("path", "n", "good", "host_n", "host_good")
+    sites = stage(both.select("host", "path", "n", "good", "host_n", "host_good"), "sites").df
+    # Few paths are broadcast, so a source of a third of all rows is no task of its own; many are joined by shuffle, where AQE splits a large one.
+    sites = F.broadcast(sites) if sites.count() <= FEW_PATHS else sites
     p = F.col("doc_score")
     own_host = (F.col("host_good") - p + mean * of_host) / (F.col("host_n") - 1 + of_host)
     own_path = (F.col("good") - p + own_host * of_path) / (F.col("n") - 1 + of_path)
-    logit = lambda x: F.log(F.least(F.greatest(x, F.lit(1e-9)), F.lit(1 - 1e-9)) / (1 - F.least(F.greatest(x, F.lit(1e-9)), F.lit(1 - 1e-9))))
-    shift = F.least(F.greatest(logit(F.col("site_score")) - float(np.log(mean / (1 - mean))), F.lit(-MOST_SHIFT)), F.lit(MOST_SHIFT))
-    out = scored.join(sites, "path").withColumn("site_score", own_path)
-    return out.select("doc_id", "host", "path", "doc_score", "site_score", (1 / (1 + F.exp(-(logit(p) + shift)))).alias("score"), *([F.col("row").alias(row_col)] if row_col else []))
+    bounded = lambda x: F.least(F.greatest(x, F.lit(1e-9)), F.lit(1 - 1e-9))
+    logit = lambda x: F.log(bounded(x) / (1 - bounded(x)))
+    shift = F.least(F.greatest(logit(F.col("site_score")) - float(np.log(mean / (1 - mean))), F.lit(-most_shift)), F.lit(most_shift))
+    out = scored.join(sites, ["host", "path"]).withColumn("site_score", own_path)
+    return out.select("doc_id", "host", "path", "doc_score", "site_score", (1 / (1 + F.exp(-(logit(p) + shift)))).alias("score"), *([F.col("carried").alias(carried)] if carried else []))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **columns) -> DataFrame:

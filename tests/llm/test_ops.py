@@ -3,6 +3,7 @@ nulls, empty and long texts, ties, repeated rows and columns of clashing names."
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -373,6 +374,64 @@ def test_sparse_sites_shrink(spark):
     assert got[100]["site_score"] == pytest.approx(got[0]["site_score"], abs=0.05)
 
 
+def brute_sites(rows):
+    """rows (host, path, doc score) to (site score, score), by the formulas of hierarchical empirical Bayes, in plain Python."""
+    logit = lambda x: math.log(min(max(x, 1e-9), 1 - 1e-9) / (1 - min(max(x, 1e-9), 1 - 1e-9)))
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for h, p, s in rows:
+        paths[h, p].append(s)
+        hosts[h].append(s)
+    mean = (sum(s for *_, s in rows) + 0.5) / (len(rows) + 1)
+
+    def strength(groups):
+        groups = [(n, g, m) for n, g, m in groups if n > 1]
+        n = sum(g[0] for g in groups)
+        if not n:
+            return 100.0
+        spread = sum(k * (g / k - m) ** 2 for k, g, m in groups)
+        between = max(spread - sum(m * (1 - m) for *_, m in groups), 0) / n
+        return min(max(sum(k * m * (1 - m) for k, _, m in groups) / n / max(between, 1e-9) - 1, 1.0), 1e6)
+
+    of_host = strength([(len(v), sum(v), mean) for v in hosts.values()])
+    prior = {h: (sum(v) + mean * of_host) / (len(v) + of_host) for h, v in hosts.items()}
+    of_path = strength([(len(v), sum(v), prior[h]) for (h, _), v in paths.items()])
+    out = []
+    for h, p, s in rows:
+        host = (sum(hosts[h]) - s + mean * of_host) / (len(hosts[h]) - 1 + of_host)
+        site = (sum(paths[h, p]) - s + host * of_path) / (len(paths[h, p]) - 1 + of_path)
+        shift = min(max(logit(site) - logit(mean), -quality.MOST_SHIFT), quality.MOST_SHIFT)
+        out.append((site, 1 / (1 + math.exp(-(logit(s) + shift)))))
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_posteriors_equal_brute_force(spark, monkeypatch, few):
+    """Also with hosts and paths whose joined names are alike, repeated rows, sites of one row, and scores of 0 and 1."""
+    monkeypatch.setattr(quality, "FEW_PATHS", few)
+    rng = random.Random(11)
+    rows = [(rng.choice(("a", "a/b", "c", "", "d")), rng.choice(("b/c", "c", "", "/")), rng.choice((0.0, 1.0, rng.random(), rng.random()))) for _ in range(300)]
+    rows += [("a/b", "c", 0.5)] * 4 + [("a", "b/c", 0.25)] * 3 + [("lone", "x", 0.9)]
+    df = spark.createDataFrame([(i // 2, h, p, s) for i, (h, p, s) in enumerate(rows)], "doc_id long, host string, path string, doc_score double")
+    want = sorted((h, p, s, *x) for (h, p, s), x in zip(rows, brute_sites(rows), strict=True))
+    got = sorted((r["host"], r["path"], r["doc_score"], r["site_score"], r["score"]) for r in quality.with_sites(df).collect())
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], rel=1e-6, abs=1e-9)
+
+
+def test_rows_are_scored_each(spark):
+    """Clashing paths, null and repeated ids, null texts and columns named like the results."""
+    data = [(i if i % 4 else None, f"word{i % 5} good text", h, p, 0.1, i) for i in range(20) for h, p in (("a/b", "c"), ("a", "b/c"))]
+    data += [(7, None, None, None, 0.1, 99), (7, "", "a", None, 0.1, 100)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, lang string, score double, k int")
+    lab = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.score(df, lab, carried="k").collect()
+    assert sorted((r["doc_id"] or -1, r["host"], r["path"], r["k"]) for r in got) == sorted((i or -1, h or "", p or "", k) for i, _, h, p, _, k in data)
+    want = brute_sites([(r["host"], r["path"], r["doc_score"]) for r in got])
+    assert all((r["site_score"], r["score"]) == pytest.approx(w, rel=1e-6) for r, w in zip(got, want, strict=True))
+    assert quality.accepted(df, lab).count() == sum(r["score"] >= 0.5 for r in got)
+
+
 # 7
 
 
