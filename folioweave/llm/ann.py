@@ -16,6 +16,11 @@ too few of its true neighbours, the width doubles for all queries and the search
 goes on; a width of all nodes that still finds too few gives way to brute force.
 The last ranking takes exact distances of the original vectors, in double.
 
+Graph and search see the vectors scaled by one power of two, so that the largest
+component is about 1: as 32-bit numbers where the longest components of all
+vectors lie within 2**40 of each other, else as 64-bit ones, so no square
+overflows or vanishes.
+
 Defined results: vectors that are null, zero, of another length than most or
 hold null or non-finite components take no part, as queries or candidates; ties
 go to the smaller id; rows that repeat an id are one row; fewer candidates than
@@ -40,7 +45,9 @@ WIDTH, STEP = 420, 70
 TARGET, SAMPLE = 0.9, 256
 #: Queries answered by brute force in one pass over the vectors.
 CHUNK = 2048
-LISTS = "u long, ws array<long>, ds array<float>, new array<boolean>"
+LISTS = "u long, ws array<long>, ds array<double>, new array<boolean>"
+#: Powers of two between the longest components of vectors that 32-bit numbers may hold.
+SPREAD = 40
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -52,8 +59,13 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("v") == (size["n"] if size else 0))
 
 
+def _rows(parts: list[bytes], dim: int) -> np.ndarray:
+    """Vectors from their bytes, which are of 32-bit or of 64-bit numbers."""
+    return np.frombuffer(b"".join(parts), np.float32 if not parts or len(parts[0]) == 4 * dim else np.float64).reshape(-1, dim)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim) if len(column) else np.zeros((0, dim), np.float32)
+    return _rows(column.to_pylist(), dim)
 
 
 def _top(u: np.ndarray, w: np.ndarray, d: np.ndarray, new: np.ndarray, k: int):
@@ -79,11 +91,13 @@ def _lists(u, w, d, new) -> pa.RecordBatch:
     start = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
     offsets = pa.array(np.append(start, len(u)).astype(np.int32))
     wrap = lambda x, t: pa.ListArray.from_arrays(offsets, pa.array(x, t))
-    return pa.record_batch([pa.array(u[start], pa.int64()), wrap(w, pa.int64()), wrap(d.astype(np.float32), pa.float32()), wrap(new, pa.bool_())], ["u", "ws", "ds", "new"])
+    return pa.record_batch([pa.array(u[start], pa.int64()), wrap(w, pa.int64()), wrap(d.astype(np.float64), pa.float64()), wrap(new, pa.bool_())], ["u", "ws", "ds", "new"])
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances, of vectors that were moved to the first one to keep digits."""
+    """Squared distances. 32-bit vectors are moved to the first one to keep digits; those of 64 bits may differ too much in length for that."""
+    if a.dtype == np.float64:
+        return np.stack([((b - x) ** 2).sum(1) for x in a])
     at = a[:1]
     a, b = a - at, b - at
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0)
@@ -106,7 +120,7 @@ def _in_block(dim: int, k: int):
     def run(batches):
         ids, x = np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
         for batch in batches:
-            ids, x = np.concatenate([ids, batch.column(0).to_numpy()]), np.concatenate([x, _matrix(batch.column(1), dim)])
+            ids, x = np.concatenate([ids, batch.column(0).to_numpy()]), np.concatenate([x, _matrix(batch.column(1), dim)]) if len(x) else _matrix(batch.column(1), dim)
             while len(ids) >= 2 * BLOCK:
                 yield from block(ids[:BLOCK], x[:BLOCK])
                 ids, x = ids[BLOCK:], x[BLOCK:]
@@ -194,7 +208,7 @@ def neighbour_graph(nodes: DataFrame, count: int, dim: int, degree: int = DEGREE
         # The sample of reverse neighbours bounds what one node compares; new ones come first.
         back = pairs.withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy(F.desc("new"), F.xxhash64("u", F.lit(turn))))).where(F.col("r") <= REVERSE)
         members = pairs.select(F.col("u").alias("v"), F.col("w").alias("u"), "new").unionByName(back.select(F.col("w").alias("v"), "u", "new"))
-        known = nodes.join(graph.df.select("u", F.when(F.size("ws") >= degree, F.array_max("ds")).otherwise(F.lit(float("inf")).cast("float")).alias("far")), "u")
+        known = nodes.join(graph.df.select("u", F.when(F.size("ws") >= degree, F.array_max("ds")).otherwise(F.lit(float("inf"))).alias("far")), "u")
         joined = members.join(known, "u").select("v", "u", "new", "vec", "far").repartition(parts, "v").sortWithinPartitions("v")
         learned = stage(joined.mapInArrow(_compare(dim, 8), LISTS), "learned")
         old = graph.df.select("u", "ws", "ds", F.transform("ws", lambda _: F.lit(False)).alias("new"))
@@ -208,7 +222,7 @@ def neighbour_graph(nodes: DataFrame, count: int, dim: int, degree: int = DEGREE
 
 def _update(dim: int, width: int, step: int):
     """Rows (q, kind 0 state: qvec, ids, ds, done; kind 1: w, vec) sorted by q, kind: the next states, with what to expand."""
-    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
 
     def state(q, qvec, ids, ds, done, fresh, rows):
         if fresh:
@@ -216,14 +230,14 @@ def _update(dim: int, width: int, step: int):
             w, first = np.unique(w, return_index=True)
             unseen = ~np.isin(w, ids)
             w, first = w[unseen], first[unseen]
-            x = np.frombuffer(b"".join(fresh[i][1] for i in first.tolist()), np.float32).reshape(-1, dim)
-            d = ((x - np.frombuffer(qvec, np.float32)) ** 2).sum(1)
+            x = _rows([fresh[i][1] for i in first.tolist()], dim)
+            d = ((x - _rows([qvec], dim)) ** 2).sum(1)
             ids, ds, done = np.concatenate([ids, w]), np.concatenate([ds, d]), np.concatenate([done, np.zeros(len(w), bool)])
         order = np.lexsort((ids, ds))[:width]
         ids, ds, done = ids[order], ds[order], done[order]
         expand = np.flatnonzero(~done)[:step]
         done[expand] = True
-        rows.append((q, qvec, ids.tolist(), ds.astype(np.float32).tolist(), done.tolist(), ids[expand].tolist()))
+        rows.append((q, qvec, ids.tolist(), ds.tolist(), done.tolist(), ids[expand].tolist()))
 
     def run(batches):
         now, fresh, rows = None, [], []
@@ -249,10 +263,10 @@ def _update(dim: int, width: int, step: int):
 def brute_force(nodes: DataFrame, asked: list, dim: int, k: int) -> DataFrame:
     """q, u, d: the k nearest other nodes of each of at most CHUNK asked rows (q, qvec), with squared distances."""
     ids = np.array([r["q"] for r in asked], np.int64)
-    x = np.frombuffer(b"".join(r["qvec"] for r in asked), np.float32).reshape(-1, dim)
+    x = _rows([bytes(r["qvec"]) for r in asked], dim)
 
     def run(batches):
-        us, ds = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0), np.float32)
+        us, ds = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
         for batch in batches:
             u, y = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
             d = np.stack([((y - q) ** 2).sum(1) for q in x])
@@ -261,9 +275,9 @@ def brute_force(nodes: DataFrame, asked: list, dim: int, k: int) -> DataFrame:
             order = np.lexsort((us, ds), axis=1)[:, :k]
             us, ds = np.take_along_axis(us, order, 1), np.take_along_axis(ds, order, 1)
         i, j = np.nonzero(ds < np.inf)
-        yield pa.record_batch([pa.array(ids[i]), pa.array(us[i, j]), pa.array(ds[i, j])], ["q", "u", "d"])
+        yield pa.record_batch([pa.array(ids[i]), pa.array(us[i, j]), pa.array(ds[i, j], pa.float64())], ["q", "u", "d"])
 
-    near = nodes.select("u", "vec").mapInArrow(run, "q long, u long, d float")
+    near = nodes.select("u", "vec").mapInArrow(run, "q long, u long, d double")
     return near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "u"))).where(F.col("r") <= k).drop("r")
 
 
@@ -281,15 +295,16 @@ def recalls(nodes: DataFrame, states: DataFrame, dim: int, k: int, sample: int)
     return np.array(out)
 
 
-def _vec(v: str):
-    """array<double> to float32 bytes, in Arrow."""
+def _vec(exponent: int, kind):
+    """array<double> to bytes of numbers of a kind, scaled by 2**-exponent."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column(1)
             dim = len(lists[0]) if len(lists) else 1
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32).tobytes()
-            yield pa.record_batch([batch.column(0), pa.array([flat[4 * dim * i : 4 * dim * (i + 1)] for i in range(len(lists))], pa.binary())], ["u", "vec"])
+            flat = np.ldexp(lists.flatten().to_numpy(zero_copy_only=False), -exponent).astype(kind)
+            size, raw = dim * flat.itemsize, flat.tobytes()
+            yield pa.record_batch([batch.column(0), pa.array([raw[size * i : size * (i + 1)] for i in range(len(lists))], pa.binary())], ["u", "vec"])
 
     return run
 
@@ -301,19 +316,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     rows = stage(usable(vectors, id_col, vec_col), "vectors").df
     # -0.0 + 0.0 is 0.0, so equal vectors have equal arrays.
     node_of = stage(rows.join(rows.groupBy("v").agg(F.min("vec_id").alias("u")), "v").select("vec_id", "u"), "nodes-of").df
-    nodes = stage(rows.join(node_of.where("vec_id = u").select("vec_id"), "vec_id").select("vec_id", "v").mapInArrow(_vec("v"), "u long, vec binary"), "nodes").df
+    longest = F.array_max(F.transform("v", F.abs))
+    reach = rows.agg(F.max(longest).alias("most"), F.min(longest).alias("least"), F.max(F.size("v")).alias("dim")).first()
+    if not reach["dim"]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, exponent = reach["dim"], int(np.frexp(reach["most"])[1])
+    kind = np.float32 if exponent - int(np.frexp(reach["least"])[1]) <= SPREAD else np.float64
+    nodes = stage(rows.join(node_of.where("vec_id = u").select("vec_id"), "vec_id").select("vec_id", "v").mapInArrow(_vec(exponent, kind), "u long, vec binary"), "nodes").df
     count = nodes.count()
-    out_schema = "query_id long, rank int, vec_id long, score double"
-    if not count:
-        return spark.createDataFrame([], out_schema)
-    dim = len(nodes.first()["vec"]) // 4
     graph = neighbour_graph(nodes, count, dim)
     lists = graph.df.select("u", "ws", "ds")
     asked = stage(node_of.where(is_query).select(F.col("u").alias("q")).distinct(), "asked").df
     empty = F.array().cast("array<long>")
-    start = asked.join(nodes, F.col("q") == F.col("u")).select("q", F.col("vec").alias("qvec"), F.array("q").alias("ids"), F.array(F.lit(0.0).cast("float")).alias("ds"), F.array(F.lit(True)).alias("done"), F.array("q").alias("expand"))
+    start = asked.join(nodes, F.col("q") == F.col("u")).select("q", F.col("vec").alias("qvec"), F.array("q").alias("ids"), F.array(F.lit(0.0)).alias("ds"), F.array(F.lit(True)).alias("done"), F.array("q").alias("expand"))
     states = stage(start, "search-0")
-    state_cols = "q long, qvec binary, ids array<long>, ds array<float>, done array<boolean>, expand array<long>"
+    state_cols = "q long, qvec binary, ids array<long>, ds array<double>, done array<boolean>, expand array<long>"
     parts = max(8, -(-count // (4 * BLOCK)))
     turn = 0
     while True:
@@ -331,7 +348,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
             states = following
         turn += 1
         frontier = states.df.select("q", F.explode("expand").alias("u")).join(lists, "u").select("q", F.explode("ws").alias("w")).distinct()
-        fresh = frontier.join(nodes.withColumnRenamed("u", "w"), "w").select("q", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("qvec"), empty.alias("ids"), F.array().cast("array<float>").alias("ds"), F.array().cast("array<boolean>").alias("done"), "w", "vec")
+        fresh = frontier.join(nodes.withColumnRenamed("u", "w"), "w").select("q", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("qvec"), empty.alias("ids"), F.array().cast("array<double>").alias("ds"), F.array().cast("array<boolean>").alias("done"), "w", "vec")
         now = states.df.select("q", F.lit(0).alias("kind"), "qvec", "ids", "ds", "done", F.lit(None).cast("long").alias("w"), F.lit(None).cast("binary").alias("vec"))
         following = stage(now.unionByName(fresh).repartition(parts, "q").sortWithinPartitions("q", "kind").mapInArrow(_update(dim, width, step), state_cols), f"search-{turn}")
         states.drop()

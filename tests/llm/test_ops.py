@@ -267,10 +267,24 @@ def test_nearest_widens_until_a_sample_is_found(spark, monkeypatch):
     monkeypatch.setattr(ann, "TARGET", 2.0)
     monkeypatch.setattr(ann, "recalls", lambda nodes, states, dim, k, sample: np.zeros(1))
     monkeypatch.setattr(ann, "CHUNK", 40)
-    monkeypatch.setattr(ann, "neighbour_graph", lambda nodes, count, dim: ann.stage(nodes.limit(0).selectExpr("u", "array(u) AS ws", "array(0f) AS ds", "array(true) AS new"), "no-graph"))
+    monkeypatch.setattr(ann, "neighbour_graph", lambda nodes, count, dim: ann.stage(nodes.limit(0).selectExpr("u", "array(u) AS ws", "array(0d) AS ds", "array(true) AS new"), "no-graph"))
     assert found() == want
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e20, 1e-25, 1e39, 1e150, 1e-150, "mixed"])
+def test_nearest_at_all_magnitudes(spark, scale):
+    x = np.random.default_rng(8).normal(size=(60, 8))
+    x = x * np.repeat([1e20, 1.0, 1e-20], 20)[:, None] if scale == "mixed" else x * scale
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(60)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(ann.nearest(df, F.col("vec_id") % 20 == 0, 10).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append(r["vec_id"])
+    for q in (0, 20, 40):
+        # Sums in the order of the components, as the operator has them.
+        d = [float(np.sqrt(sum((x[q] - x[i]) ** 2))) for i in range(60)]
+        assert got[q] == [i for _, i in sorted((d[i], i) for i in range(60) if i != q)[:10]]
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect())
