@@ -68,7 +68,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+    return scan_licenses(_table(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -479,6 +479,42 @@ def test_exact_notices_hide_no_misspelt_ones(spark):
         assert [(s["start"], s["end"], s["edits"]) for s in r["spans"] if s["label"] == "gpl"] == want
 
 
+def test_spans_and_scores_equal_a_search_of_the_whole_text(spark):
+    """Random texts of notices, misspelt ones and other words, against every pattern over the whole text: no seeds, no neighbourhoods."""
+    rng = random.Random(12)
+    notices = [n for n, *_ in license_scan.NOTICES]
+
+    def misspelt(s):
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(s))
+            s = rng.choice((s[:k] + s[k + 1 :], s[:k] + rng.choice("xyz") + s[k:], s[:k] + rng.choice("xyz") + s[k + 1 :]))
+        return s
+
+    texts = [rng.choice((" ", ". ", "  ")).join(misspelt(rng.choice(notices)) if rng.random() < 0.5 else rng.choice(("license", "public", "the", "zebra", "under", "rights", "\u00e9t\u00e9", "")) for _ in range(rng.randint(1, 25))) for _ in range(120)]
+    texts += [None, "", "mit license"]
+    compiled = license_scan.patterns(license_scan.NOTICES)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    total = 0
+    for r in license_scan.scan_licenses(df).collect():
+        flat, at = license_scan.squeezed((texts[r["doc_id"]] or "").encode().translate(license_scan.FOLD))
+        want = []
+        for (notice, label, _, _), tries in zip(license_scan.NOTICES, compiled, strict=True):
+            free = [(0, len(flat))]
+            for edits, pattern in enumerate(tries):
+                rest = []
+                for c, d in free:
+                    for m in pattern.finditer(flat, c, d):
+                        want.append((label, int(at[m.start()]), int(at[m.end() - 1]) + 1, edits, len(notice)))
+                        rest.append((c, max(c, m.start() - 1)))
+                        c = m.end()
+                    rest.append((c, d))
+                free = rest
+        assert sorted(tuple(s) for s in r["spans"]) == sorted(want), texts[r["doc_id"]]
+        assert r["score"] == (1.0 if r["n_base"] else pytest.approx(max((1 - e / n for *_, e, n in want), default=0.0)))
+        total += len(want)
+    assert total > 300
+
+
 # 8
 
 
