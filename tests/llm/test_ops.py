@@ -579,7 +579,9 @@ def test_filters_lose_no_link(a, b):
 # 9
 
 
-def test_contained_items(spark, rows):
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 0])
+def test_contained_items(spark, rows, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     rng = random.Random(9)
     items, docs_ = [], list(rows)
     for k in range(12):
