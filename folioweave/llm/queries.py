@@ -12,6 +12,7 @@ from .license_scan import scan_licenses
 from .packing import pack
 from .quality import accepted
 from .sharding import shard
+from .store import finished
 from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
 from .token_files import read_shards, write_shards
@@ -97,6 +98,11 @@ SELECT doc_id, item_id, n_item::BIGINT AS n_item, count(*)::BIGINT AS n_shared,
 FROM ds JOIN bs USING (g, k) JOIN s USING (item_id) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
 """
 
+def _finished(name: str, query):
+    """The query with its result written and all else that was staged for it deleted."""
+    return lambda spark, sf_dir: finished(spark, lambda: query(spark, sf_dir), name).df
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -109,4 +115,5 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
 }
+QUERIES = {name: _finished(name, query) for name, query in QUERIES.items()}
 ORACLES = {"op4_substring_dedup": OP4_SQL, "op9_decontaminate": OP9_SQL}

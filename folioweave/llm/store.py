@@ -1,13 +1,16 @@
 """Tables written to the folder that driver and executors share.
 
 Iterative operators cut their lineage here instead of with localCheckpoint: a
-lost executor then costs a task, never a result.
+lost executor then costs a task, never a result. A lazy result may still read
+tables that were staged for it; finished() writes it and deletes those, and
+clear() deletes all that this process staged.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BATCH_BYTES}
+#: Staged tables that are there, the oldest first.
+_there: list[Staged] = []
+
+
 def tune(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
+    """Bound what one Arrow batch holds, whatever the length of the texts; finished() puts the session's own bounds back."""
+    for key, value in BOUNDS.items():
+        spark.conf.set(key, value)
 
 
 @contextmanager
@@ -56,6 +64,8 @@ class Staged:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if self in _there:
+            _there.remove(self)
 
 
 def stage(df: DataFrame, label: str, by: list[str] | None = None) -> Staged:
@@ -66,7 +76,27 @@ def stage(df: DataFrame, label: str, by: list[str] | None = None) -> Staged:
     out = df.write.option("compression", "zstd")
     with _removing_shuffles(spark):
         (out.partitionBy(*by) if by else out).parquet(path)
-    return Staged(spark, path, spark.read.schema(df.schema).parquet(path))
+    _there.append(Staged(spark, path, spark.read.schema(df.schema).parquet(path)))
+    return _there[-1]
+
+
+def finished(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> Staged:
+    """The written result of build(); the tables that were staged on its way are deleted, the session's settings are as before."""
+    before, known = {key: spark.conf.get(key, None) for key in BOUNDS}, list(_there)
+    try:
+        out = stage(build(), label)
+        for table in [t for t in _there if t not in known and t is not out]:
+            table.drop()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    return out
+
+
+def clear() -> None:
+    """Delete all tables that this process staged; results that read them are gone, too."""
+    for table in list(_there):
+        table.drop()
 
 
 def worker_cache() -> dict:

@@ -107,7 +107,7 @@ def _earliest(groups: list[int], blocks: list[bytes]) -> list[bytes | None]:
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", carried: str | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text: the words that no earlier document's equal window covers, joined by a space. carried: a column that each row keeps."""
+    """doc_id, n_words, n_removed and kept_text: the words that no earlier document's equal window covers, joined by a space. carried: a column that each row keeps, with `text` in place of kept_text, which is the row's own where nothing is removed."""
     if window < PERIOD + 1:
         raise ValueError(f"window must be over {PERIOD}")
     kept_columns = [F.col(carried).alias("carried")] if carried else []
@@ -115,7 +115,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     spark = docs.sparkSession
     tune(spark)
     groups, buckets = ex.counts_for(ex.text_bytes(docs, "text"))
-    keys = secret(), secret()
+    keys, names = (secret(), secret()), ["doc_id", "n_words", "n_removed", "text" if carried else "kept_text", *[carried] * bool(carried)]
 
     def count_anchors(grp, replies, table):
         found, n = Passages(table, window, keys).census(buckets)
@@ -152,18 +152,22 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         covered = np.cumsum(gone)[:-1] > 0
         n_removed = np.diff(np.concatenate([[0], np.cumsum(covered)])[p.words.first])
         data, offsets, first, counts = p.words.data.tobytes(), p.words.offsets.tolist(), p.words.first.tolist(), p.words.counts
-        columns, i = [table[c].combine_chunks() for c in ("doc_id", *["carried"] * bool(carried))], 0
+        valid = table["text"].is_valid().to_numpy()
+        columns, i = [table[c].combine_chunks() for c in ("doc_id", "text", *["carried"] * bool(carried))], 0
         while i < len(counts):
             j, kept, size = i, [], 0
             while j < len(counts) and (not kept or size + offsets[j + 1] - offsets[j] <= 8 << 20):
-                found = data[offsets[j] : offsets[j + 1]].split()
+                raw = data[offsets[j] : offsets[j + 1]]
                 if n_removed[j]:
-                    found = [w for w, c in zip(found, covered[first[j] : first[j + 1]].tolist(), strict=True) if not c]
-                kept.append(b" ".join(found))
-                size += offsets[j + 1] - offsets[j]
+                    kept.append(b" ".join(w for w, c in zip(raw.split(), covered[first[j] : first[j + 1]].tolist(), strict=True) if not c))
+                elif carried:
+                    kept.append(raw if valid[j] else None)
+                else:
+                    kept.append(b" ".join(raw.split()))
+                size += len(raw)
                 j += 1
-            ids, *more = (c.slice(i, j - i) for c in columns)
-            yield pa.record_batch([ids, pa.array(counts[i:j], pa.int64()), pa.array(n_removed[i:j], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *more], ["doc_id", "n_words", "n_removed", "kept_text", *[carried] * bool(carried)])
+            ids, _, *more = (c.slice(i, j - i) for c in columns)
+            yield pa.record_batch([ids, pa.array(counts[i:j], pa.int64()), pa.array(n_removed[i:j], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *more], names)
             i = j
 
     texts = docs.select("doc_id", "text")
@@ -173,7 +177,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     sent = stage(ex.in_groups(texts, {1: shared.df}, groups).mapInArrow(ex.by_group(send_windows), BLOCKS), "windows")
     later = stage(ex.in_buckets(sent.df, buckets).mapInArrow(ex.by_bucket(_earliest), ex.REPLY), "later-windows")
     sent.drop()
-    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(names[3], T.StringType())])
     if carried:
         out = out.add(carried, docs.schema["carried"].dataType)
     return ex.in_groups(docs, {1: shared.df, 2: later.df}, groups, ("carried",) * bool(carried)).mapInArrow(ex.by_group(remove), out)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioweave.llm import exchange as ex
-from folioweave.llm import jaccard_join, packing, substring_dedup, token_counts, token_files, tokens
+from folioweave.llm import jaccard_join, packing, store, substring_dedup, token_counts, token_files, tokens
 
 from .test_ops import WORD, brute_components, by_id, check_pieces
 
@@ -120,9 +120,23 @@ def test_rows_without_id_spread(spark):
 
 def test_carried_columns_stay_with_their_rows(spark):
     t = " ".join(map(str, range(20)))
-    df = spark.createDataFrame([(1, t, 10), (1, "other words", 11), (2, t + " end", 20), (None, None, 30)], "doc_id long, text string, k int")
-    got = {(r["k"], r["kept_text"]) for r in substring_dedup.substring_dedup(df, carried="k").collect()}
-    assert got == {(10, t), (11, "other words"), (20, "end"), (30, "")}
+    df = spark.createDataFrame([(1, t, 10), (1, "other  words", 11), (2, t + " end", 20), (None, None, 30)], "doc_id long, text string, k int")
+    got = {(r["k"], r["text"]) for r in substring_dedup.substring_dedup(df, carried="k").collect()}
+    assert got == {(10, t), (11, "other  words"), (20, "end"), (30, None)}
+
+
+def test_finished_results_leave_nothing_else(spark):
+    """Also the session's settings are as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, 777)
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    there = list(store._there)
+    out = store.finished(spark, lambda: jaccard_join.jaccard_components(df), "result")
+    assert [t for t in store._there if t not in there] == [out] and out.df.count() == 2
+    assert spark.conf.get(key) == "777"
+    spark.conf.unset(key)
+    out.drop()
+    assert store._there == there
 
 
 def test_pairs_are_verified_once(spark, monkeypatch):

@@ -76,3 +76,32 @@ def test_rows_without_id_are_judged_each(spark):
     assert stays & texts(bare(good)) and not texts(bare(bad)) <= stays
     rows = spark.createDataFrame([(None, item), (None, "no item here"), (1, item), (2, "none")], "doc_id long, text string")
     assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminated(spark, rows, FOLDER).collect()} == {(None, "no item here"), (2, "none")}
+
+
+def test_rows_of_one_id_keep_their_own_texts(spark, monkeypatch):
+    """An id that repeats with different texts, in all stages."""
+    monkeypatch.setattr(ex, "LEAST_GROUPS", 4)
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    shared = " ".join(f"w{i}" for i in range(20))
+    own = " ".join(f"x{i}" for i in range(40))
+    row = lambda i, t, lang="en": (i, t, lang, "s", len(t or ""))
+    # Unrelated texts of one id are no duplicates; of a copy under two ids the smaller one stays; equal rows are one.
+    docs = spark.createDataFrame([row(2, shared), row(2, own), row(2, own), row(5, shared), row(None, shared), row(3, "")], kinds)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()]
+    assert sorted(got, key=str) == sorted([(2, shared), (2, own), (None, shared), (3, "")], key=str)
+    # Only the row that holds the passage of a smaller id changes.
+    docs = spark.createDataFrame([row(1, shared), row(2, f"{shared} tail", "de"), row(2, f"  {own}"), row(None, shared), row(4, None)], kinds)
+    got = {(r["doc_id"], r["text"], r["lang"], r["n_chars"]) for r in corpus_pipeline.repeated_passages(spark, docs, FOLDER).collect()}
+    assert got == {(1, shared, "en", len(shared)), (2, "tail", "de", 4), (2, f"  {own}", "en", len(own) + 2), (None, shared, "en", len(shared)), (4, None, "en", 0)}
+    # A contaminated row goes, the other of its id stays.
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("length(text) > 60").first()["text"]
+    docs = spark.createDataFrame([row(2, item), row(2, own), row(None, f"a {item} b"), row(None, own)], kinds)
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminated(spark, docs, FOLDER).collect()}
+    assert got == {(2, own), (None, own)}
+    # Each row of an id is judged by itself.
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    kept = corpus_pipeline.quality(spark, docs, FOLDER)
+    good, bad = kept.limit(3), docs.join(kept, "doc_id", "left_anti").limit(3)
+    same = lambda df: df.withColumn("doc_id", F.lit(10**9))
+    stays = {r["text"] for r in corpus_pipeline.quality(spark, docs.unionByName(same(good)).unionByName(same(bad)), FOLDER).where("doc_id = 1000000000").collect()}
+    assert stays & {r["text"] for r in good.collect()} and not {r["text"] for r in bad.collect()} <= stays
