@@ -15,45 +15,47 @@ from folioweave.llm.jaccard_join import jaccard_components
 from folioweave.llm.packing import pack
 from folioweave.llm.quality import accepted
 from folioweave.llm.queries import _tokenizer
-from folioweave.llm.store import stage
+from folioweave.llm.store import finished, stage
 from folioweave.llm.substring_dedup import substring_dedup
 
 
-def _without_id(docs: DataFrame) -> DataFrame:
-    """The documents without an id, each with a number of its own in `row`; written, so that the numbers stay."""
-    return stage(docs.where("doc_id IS NULL").withColumn("row", F.monotonically_increasing_id()), "without-id").df
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents as `doc`, each with a number of its own in `row`; written, so that the numbers stay."""
+    return stage(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows").df
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; those without an id are judged row by row."""
-    bare = _without_id(docs)
-    rows = docs.where("doc_id IS NOT NULL").withColumn("row", F.lit(None).cast("long")).unionByName(bare)
-    kept = accepted(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col="row").select("doc_id", "row")
-    named = docs.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi").select(docs.columns)
-    return named.unionByName(bare.join(kept.where("doc_id IS NULL"), "row", "left_semi").select(docs.columns))
+    """Documents that the classifier accepts. Each row is judged by itself, also where ids repeat or are null."""
+    rows = docs.withColumn("_doc", F.struct(*docs.columns))
+    return accepted(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), carried="_doc").select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates, in one row; all documents without an id."""
-    found = jaccard_components(docs)
-    first = docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id IS NULL"))
+    """One row, of the smallest id, of each group of near duplicates; texts without words and documents without an id stay. Rows that repeat an id are compared each by itself."""
+    rows = _numbered(docs)
+    named = rows.where("doc.doc_id IS NOT NULL")
+    found = jaccard_components(named.select("row", "doc.text"), id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    first = found.join(named.select("row", "doc.doc_id"), "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    stays = stage(first.select("first.row").unionByName(rows.where("doc.doc_id IS NULL").select("row")), "stays").df
+    return rows.join(stays, "row", "left_semi").select("doc.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that also stand in an earlier one."""
-    changed = substring_dedup(docs).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    out = docs.join(changed, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text")).withColumn("n_chars", F.coalesce(F.char_length("kept_text").cast("long"), "n_chars"))
-    return out.select(docs.columns)
+    """All documents, each row without the passages that also stand in a document of a smaller id; those without an id are left as they are."""
+    named = docs.where("doc_id IS NOT NULL").withColumn("_doc", F.struct(*[c for c in docs.columns if c != "text"]))
+    changed = substring_dedup(named, carried="_doc")
+    columns = {c: F.col(f"_doc.{c}") for c in docs.columns if c != "text"} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(columns["n_chars"])
+    return changed.select([columns[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item; those without an id are judged row by row."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    named, bare = docs.where("doc_id IS NOT NULL"), _without_id(docs)
-    found = stage(contained_items(named, items).select("doc_id").distinct(), "contaminated").df
-    rows = stage(contained_items(bare, items, id_col="row").select(F.col("doc_id").alias("row")).distinct(), "contaminated-without-id").df
-    return named.join(found, "doc_id", "left_anti").select(docs.columns).unionByName(bare.join(rows, "row", "left_anti").select(docs.columns))
+    """Documents that contain no benchmark item. Each row is judged by itself, also where ids repeat or are null."""
+    rows = _numbered(docs)
+    found = contained_items(rows.select("row", "doc.text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
+    bad = stage(found.select(F.col("doc_id").alias("row")).distinct(), "contaminated").df
+    return rows.join(bad, "row", "left_anti").select("doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +71,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}").df
+        now = finished(spark, lambda f=function, d=docs: f(spark, d, sf_dir), f"pipeline-{name}")
+        if before:
+            before.drop()
+        docs, before = now.df, now
     return docs
