@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,22 +152,45 @@ def operator_edges(nodes: DataFrame) -> DataFrame:
     return last.groupBy("doc", F.col("n").alias("src"), F.col("d.dst").alias("dst"), kind.alias("kind")).agg(F.max("d.c").alias("confidence"))
 
 
+class Order:
+    """A topological order of a growing graph. An edge that goes against the order moves only the nodes between its ends; one that closes a cycle is refused."""
+
+    def __init__(self):
+        self.place, self.after, self.before = {}, {}, {}
+
+    def _closure(self, start, links, inside) -> set | None:
+        known, stack = {start}, [start]
+        while stack:
+            for x in links.get(stack.pop(), ()):
+                if x not in known and inside(self.place[x]):
+                    known.add(x)
+                    stack.append(x)
+        return known
+
+    def add(self, src, dst) -> bool:
+        for x in (src, dst):
+            self.place.setdefault(x, len(self.place))
+        low, high = self.place[dst], self.place[src]
+        if low < high:
+            later = self._closure(dst, self.after, lambda p: p <= high)
+            if src in later:
+                return False
+            earlier = self._closure(src, self.before, lambda p: p >= low)
+            moved = sorted(earlier, key=self.place.get) + sorted(later, key=self.place.get)
+            for x, p in zip(moved, sorted(self.place[x] for x in moved), strict=True):
+                self.place[x] = p
+        elif src == dst:
+            return False
+        self.after.setdefault(src, set()).add(dst)
+        self.before.setdefault(dst, set()).add(src)
+        return True
+
+
 def admitted(rows) -> list[bool]:
     """Which of the edges (src, dst, kind), in order, are kept: no repeats, no self loops, and, but for `restates`, none that closes a cycle among those kept."""
-    out: dict = {}
-    keep, seen = [], set()
+    order, keep, seen = Order(), [], set()
     for src, dst, kind in rows:
-        new = src != dst and (src, dst, kind) not in seen
-        if new and kind != "restates":
-            stack, known = [dst], {dst}
-            while stack and src not in known:
-                for x in out.get(stack.pop(), ()):
-                    if x not in known:
-                        known.add(x)
-                        stack.append(x)
-            new = src not in known
-            if new:
-                out.setdefault(src, set()).add(dst)
+        new = src != dst and (src, dst, kind) not in seen and (kind == "restates" or order.add(src, dst))
         if new:
             seen.add((src, dst, kind))
         keep.append(new)
@@ -174,13 +198,14 @@ def admitted(rows) -> list[bool]:
 
 
 def acyclic(edges: DataFrame, group: str = "doc") -> DataFrame:
-    """EDG-08: edges in order of (phase, place), each kept unless it closes a cycle among those kept; `restates` are exempt. What is kept depends on all before it, so a document is folded as one array."""
+    """EDG-08: edges in order of (phase, place), each kept unless it closes a cycle among those kept; `restates` are exempt. What is kept depends on all before it, so a document is one group; its edges stay Arrow rows."""
     order = ["phase", "place", "src", "dst", "kind"]
-    rest = [c for c in edges.columns if c not in (*order, group)]
-    rows = edges.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("rows"))
-    fold = F.udf(lambda rs: admitted((r["src"], r["dst"], r["kind"]) for r in rs), "array<boolean>", useArrow=True)
-    kept = rows.withColumn("keep", fold("rows")).select(group, F.explode(F.arrays_zip("rows", "keep")).alias("e")).where("e.keep").select(group, "e.rows.*")
-    return kept.select(edges.columns)
+
+    def fold(table):
+        table = table.sort_by([(c, "ascending") for c in order])
+        return table.filter(pa.array(admitted(zip(*(table.column(c).to_pylist() for c in ("src", "dst", "kind")), strict=True)), pa.bool_()))
+
+    return edges.groupBy(group).applyInArrow(fold, edges.schema)
 
 
 def assisted_edges(open_anchors: DataFrame, nodes: DataFrame, propose) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
@@ -51,17 +53,16 @@ class Budget:
 
 def budget_log(events: DataFrame, key: str, limit: int, opening: int = 0) -> DataFrame:
     """STM-05: each event (key, at, id, kind, amount) with its outcome and the committed sum after it. What is refused depends on all before, so one budget is one group; budgets are told apart by key and must each be small."""
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "id", "kind", "amount"))).alias("rows"))
-
-    def fold(items):
-        b, out = Budget(limit, opening), []
-        for r in items:
-            said = b.reserve(r["id"], r["amount"]) if r["kind"] == "reserve" else b.settle(r["id"], r["amount"])
-            out.append((said, b.spent))
-        return out
-
-    run = F.udf(fold, "array<struct<outcome:string,committed:long>>", useArrow=True)
-    return rows.select(key, F.explode(F.arrays_zip("rows", run("rows").alias("outs"))).alias("e")).select(key, "e.rows.*", "e.outs.*")
+    def fold(table):
+        table = table.sort_by([(c, "ascending") for c in ("at", "id", "kind", "amount")])
+        b, outcome, committed = Budget(limit, opening), [], []
+        for id_, kind, amount in zip(*(table.column(c).to_pylist() for c in ("id", "kind", "amount")), strict=True):
+            outcome.append(b.reserve(id_, amount) if kind == "reserve" else b.settle(id_, amount))
+            committed.append(b.spent)
+        return table.append_column("outcome", pa.array(outcome, pa.string())).append_column("committed", pa.array(committed, pa.int64()))
+
+    rows = events.select(key, "at", "id", "kind", "amount")
+    return rows.groupBy(key).applyInArrow(fold, T.StructType([*rows.schema.fields, T.StructField("outcome", T.StringType()), T.StructField("committed", T.LongType())]))
 
 
 def violations(checks: dict[str, DataFrame], key: str) -> DataFrame:

@@ -103,7 +103,7 @@ def owners(anchors: DataFrame, nodes: DataFrame, preset: str = "edges") -> DataF
     rank = {"area": F.col("_area"), "id": F.col("owner"), "length": F.col("_length")}
     # One struct minimum, pre-aggregated, instead of a window over all boxes around an anchor.
     found = anchors.join(n, ["doc", "page"]).where(inside).withColumn("_area", area)
-    best = found.groupBy("id", "doc", "page").agg(F.min(F.struct(*[rank[o].alias(o) for o in order], F.col("owner").alias("owner"), F.col("_area").alias("a"))).alias("b"), F.sort_array(F.collect_set("_area"))[0].alias("least"), F.count("*").alias("n"))
+    best = found.groupBy("id", "doc", "page").agg(F.min(F.struct(*[rank[o].alias(o) for o in order], F.col("owner").alias("owner"), F.col("_area").alias("a"))).alias("b"), F.min("_area").alias("least"))
     if reject:
         same = found.join(best.select("id", "doc", "page", "least"), ["id", "doc", "page"]).where(F.abs(F.col("_area") - F.col("least")) < 0.01).groupBy("id", "doc", "page").agg(F.countDistinct("owner").alias("ties"))
         return best.join(same, ["id", "doc", "page"]).where("ties = 1").select("id", "doc", "page", F.col("b.owner").alias("owner"))

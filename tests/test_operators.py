@@ -48,6 +48,42 @@ def test_reach_rank_and_cycles(spark):
     assert rows(graph.on_cycles(edges.union(spark.createDataFrame([(1, 4, 1.0)], EDGE)))) == [(1, 4), (2, 1), (4, 2)]
 
 
+def test_reach_goes_all_the_way(spark):
+    """A chain of 300 nodes with a shortcut and a way back, and what depends on its end."""
+    n = 300
+    edges = spark.createDataFrame([*[(i + 1, i, 1.0) for i in range(n - 1)], (10, 0, 1.0), (0, 40, 1.0), (500, 501, 1.0)], EDGE)
+    depth, frontier = {0: 0}, [0]
+    after = {}
+    for r in edges.collect():
+        after.setdefault(r["dst"], []).append(r["src"])
+    while frontier:
+        x = frontier.pop(0)
+        for y in after.get(x, []):
+            if y not in depth:
+                depth[y] = depth[x] + 1
+                frontier.append(y)
+    start = spark.createDataFrame([(0,)], "id long")
+    assert dict(rows(graph.reach(edges, start, reverse=True))) == depth and len(depth) == n
+
+
+def test_cycles_behind_long_chains(spark):
+    chain = [(i, i + 1, 1.0) for i in range(25)]
+    assert graph.on_cycles(spark.createDataFrame(chain, EDGE)).isEmpty()
+    got = rows(graph.on_cycles(spark.createDataFrame([*chain, (25, 20, 1.0), (100, 20, 1.0)], EDGE)))
+    assert got == [(i, i + 1) for i in range(20, 25)] + [(25, 20)]
+
+
+def test_iterations_leave_their_result_only(spark):
+    graph.clear()
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91), (91, 90)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in range(100)], "id long")
+    got = dict(rows(resolve.components(nodes, links)))
+    assert got == {i: 0 if i <= 40 else 90 if i == 91 else i for i in range(100)}
+    assert len(graph._there) == 1
+    graph.clear()
+    assert not graph._there
+
+
 def test_empty_graph(spark):
     edges, nodes = spark.createDataFrame([], EDGE), spark.createDataFrame([], "id long")
     assert graph.trace_paths(edges, nodes).isEmpty() and graph.pagerank(nodes, edges).isEmpty() and graph.on_cycles(edges).isEmpty()
@@ -143,7 +179,7 @@ def test_labels_match_within_a_document_if_unique(spark):
 
 def test_later_definitions_hide_earlier_ones(spark):
     nodes = [
-        (1, 1, "definition", None, r"The map $\ker T = 0$ is given."),
+        (1, 1, "definition", None, r"Here $\ker T = 0$ is given."),
         (1, 2, "definition", None, r"Let $\ker T = 1$."),
         (1, 3, "theorem", None, r"Then $\ker T$ is small."),
         (1, 4, "theorem", None, r"But $\kernel$ is not."),
@@ -161,6 +197,28 @@ def test_cycles_are_refused_in_order(spark):
     assert rows(extract.acyclic(df).select("src", "dst", "kind")) == [(1, 2, "depends_on"), (2, 3, "depends_on"), (3, 1, "restates")]
 
 
+def test_admission_is_that_of_a_walk_for_each_edge():
+    """Random edges against a search of the graph so far."""
+    rng = random.Random(5)
+    for _ in range(200):
+        edges = [(rng.randrange(8), rng.randrange(8), rng.choice(("depends_on", "depends_on", "restates"))) for _ in range(30)]
+        after, want, seen = {}, [], set()
+        for src, dst, kind in edges:
+            known, stack = {dst}, [dst]
+            while stack:
+                for y in after.get(stack.pop(), ()):
+                    if y not in known:
+                        known.add(y)
+                        stack.append(y)
+            ok = src != dst and (src, dst, kind) not in seen and (kind == "restates" or src not in known)
+            if ok:
+                seen.add((src, dst, kind))
+                if kind != "restates":
+                    after.setdefault(src, []).append(dst)
+            want.append(ok)
+        assert extract.admitted(edges) == want
+
+
 def test_roots_prefer_the_page_and_one_identity(spark):
     nodes = spark.createDataFrame([(1, 1, 1, None, "Theorem 3.4", None), (1, 2, 2, None, "Theorem 3.4", None), (1, 3, 2, None, "Lemma 1", None)], "doc int, id long, page int, entity string, label string, title string")
     ask = lambda page, s: spark.createDataFrame([(1, 1, page, s)], "request int, doc int, page int, selection string")
