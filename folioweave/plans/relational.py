@@ -96,9 +96,9 @@ for _name, _preset, _sql in (
 MEET = "m.doc = b.doc AND m.page = b.page AND b.x0 < m.x1 AND m.x0 < b.x1 AND b.y0 < m.y1 AND m.y0 < b.y1"
 
 
-@query("uncovered_nodes", "JN-09", f"WITH {V.RECTS} SELECT id FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE {MEET} AND m.surface = 'N' AND m.id % 40 < 4)")
+@query("uncovered_nodes", "JN-09", f"WITH {V.RECTS} SELECT id FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE {MEET} AND m.surface = 'N')")
 def uncovered_nodes(t):
-    return R.uncovered(V.boxes(t), V.marks(t).where("surface = 'N' AND id % 40 < 4")).select("id")
+    return R.uncovered(V.boxes(t), V.marks(t).where("surface = 'N'")).select("id")
 
 
 @query(

@@ -100,19 +100,41 @@ def components(t):
 def _plan(t):
     nodes = t.embeddings.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 50 == 0, F.concat(F.lit("e"), F.col("vec_id").cast("string"))).alias("entity"), F.concat(F.lit("n"), F.col("label").cast("string")).alias("name"))
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    near = S.nearest(v, v.withColumnRenamed("id", "q"), 3, "label")
-    confidence = F.least(F.lit(1.0), F.col("score") + 0.5)
-    verdict = F.when(F.col("score") >= 0.34, "same").when((F.col("q") + F.col("id")) % 7 == 0, "specialisation").otherwise("different")
-    confidence = F.when(F.col("score") < 0.34, F.lit(0.5)).otherwise(confidence)
-    return R.plan(nodes, near.select(F.col("q").alias("node"), F.col("id").alias("candidate"), verdict.alias("verdict"), confidence.alias("confidence")))
+    near = S.nearest(v, v.withColumnRenamed("id", "q"), 3, "label").withColumn("score", F.round("score", 9))
+    # Near vectors are the same; those a little farther apart are surely not, which stops the components that they stand in.
+    verdict = F.when(F.col("score") >= 0.3, "same").when(F.col("label") % 2 == 0, "specialisation").otherwise("different")
+    confidence = F.when(F.col("score") >= 0.3, F.least(F.lit(1.0), F.col("score") + 0.5)).when(F.col("score") >= 0.29, 0.9).otherwise(0.5)
+    labelled = near.join(t.embeddings.select(F.col("vec_id").alias("q"), "label"), "q")
+    return R.plan(nodes, labelled.select(F.col("q").alias("node"), F.col("id").alias("candidate"), verdict.alias("verdict"), confidence.alias("confidence")))
+
+
+#: Existing entities are one node each here, so nothing is joined before the decisions.
+PLAN = f"""{KNN}, n AS (SELECT id, CASE WHEN id % 50 = 0 THEN 'e' || id END AS entity FROM v),
+d AS MATERIALIZED (SELECT q AS node, id AS candidate, CASE WHEN score >= 0.3 THEN 'same' WHEN label % 2 = 0 THEN 'specialisation' ELSE 'different' END AS verdict, CASE WHEN score >= 0.3 THEN least(1.0::DOUBLE, score + 0.5) WHEN score >= 0.29 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence
+  FROM (SELECT a.id AS q, b.id AS id, a.label, round(array_cosine_similarity(a.v, b.v), 9) AS score FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY array_cosine_similarity(a.v, b.v) DESC, b.id) <= 3)),
+one AS MATERIALIZED (SELECT node AS a, candidate AS b FROM d WHERE verdict = 'same' AND confidence >= 0.8), l1 AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
+r1 AS (SELECT id, id AS x FROM n UNION SELECT r1.id, l1.b FROM r1 JOIN l1 ON r1.x = l1.a), j AS MATERIALIZED (SELECT id, min(x) AS root FROM r1 GROUP BY id),
+stopped AS MATERIALIZED (SELECT id FROM j WHERE root IN (SELECT a.root FROM d JOIN j a ON a.id = node JOIN j b ON b.id = candidate WHERE verdict <> 'same' AND confidence >= 0.8 AND a.root = b.root)),
+final AS MATERIALIZED (SELECT node, candidate, verdict, CASE WHEN verdict = 'same' AND confidence >= 0.8 AND node IN (SELECT id FROM stopped) AND candidate IN (SELECT id FROM stopped) THEN 0.0 ELSE confidence END AS confidence FROM d),
+two AS MATERIALIZED (SELECT node AS a, candidate AS b FROM final WHERE verdict = 'same' AND confidence >= 0.8), l2 AS (SELECT a, b FROM two UNION SELECT b, a FROM two),
+r2 AS (SELECT id, id AS x FROM n UNION SELECT r2.id, l2.b FROM r2 JOIN l2 ON r2.x = l2.a), k AS (SELECT id, min(x) AS root FROM r2 GROUP BY id),
+g AS (SELECT root, min(entity) AS entity, sha256(root::VARCHAR) AS h FROM k JOIN n USING (id) GROUP BY root)"""
 
 
-@query("resolution", "RES-04 RES-05 RES-06")
+@query(
+    "resolution",
+    "RES-04 RES-05 RES-06",
+    f"WITH RECURSIVE {PLAN} SELECT id, coalesce(entity, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32]) AS entity FROM k JOIN g USING (root)",
+)
 def resolution(t):
     return _plan(t)["assignments"]
 
 
-@query("resolution_edges", "RES-06 JN-16")
+@query(
+    "resolution_edges",
+    "RES-06 JN-16",
+    f"WITH RECURSIVE {PLAN} SELECT node AS src, candidate AS dst, CASE verdict WHEN 'same' THEN 'restates' ELSE 'specialises' END AS kind, confidence FROM final WHERE confidence >= 0.8 AND verdict IN ('same', 'specialisation')",
+)
 def resolution_edges(t):
     return _plan(t)["edges"]
 

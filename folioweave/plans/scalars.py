@@ -8,6 +8,7 @@ from ..operators import cards as C
 from ..operators import graph as G
 from ..operators import ledger as L
 from . import adapters as V
+from .graph import WALK
 from .registry import query
 
 
@@ -157,7 +158,13 @@ def pending_documents(t):
     return C.pending(anchors, t.part.where("p_size = 7").select(F.col("p_partkey").alias("entity")), 5)
 
 
-@query("viewport_answer", "VOI-01 LIM-02")
+@query(
+    "viewport_answer",
+    "VOI-01 LIM-02",
+    f"""WITH RECURSIVE {WALK}, s AS (SELECT request, depth, place, node, p_name || ' ' || p_brand AS statement FROM hops JOIN part ON node = p_partkey WHERE p_type <> 'PROMO' QUALIFY row_number() OVER (PARTITION BY request, p_name ORDER BY depth, place, node) = 1),
+n AS (SELECT request, (row_number() OVER (PARTITION BY request ORDER BY depth, place, node))::INT AS rank, CASE WHEN length(statement) > 1000 THEN '[too long]' ELSE statement END AS shown FROM s),
+u AS (SELECT *, sum(length(shown)) OVER (PARTITION BY request ORDER BY rank)::BIGINT AS used FROM n WHERE rank <= 3) SELECT request, rank, shown, used FROM u WHERE used <= 1000""",
+)
 def viewport_answer(t):
     roots = t.part.orderBy(F.desc("p_retailprice"), "p_partkey").limit(3).select(F.lit(1).cast("long").alias("request"), F.col("p_partkey").alias("id"))
     hops = G.trace_bfs(V.edges(t), roots)
@@ -166,16 +173,27 @@ def viewport_answer(t):
     return C.answer(hops, nodes)
 
 
-@query("upserted_cards", "SNK-05", "SELECT coalesce(o_orderkey, k) AS anchor, coalesce(n.v, o.o_orderpriority) AS v, coalesce(n.v IS NOT NULL AND (o.o_orderpriority IS NULL OR n.v <> o.o_orderpriority), false) AS changed FROM (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F') o FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_custkey % 2 = 0 THEN 'new' ELSE o_orderpriority END AS v FROM orders WHERE o_custkey < 700) n ON k = o_orderkey")
+@query("upserted_cards", "SNK-05", "SELECT coalesce(o_orderkey, k) AS anchor, coalesce(n.v, o.o_orderpriority) AS v, coalesce(n.v IS NOT NULL AND (o.o_orderpriority IS NULL OR n.v <> o.o_orderpriority), false) AS changed FROM (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F') o FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_totalprice > 200000 THEN 'new' ELSE o_orderpriority END AS v FROM orders WHERE o_orderpriority <> '5-LOW') n ON k = o_orderkey")
 def upserted_cards(t):
     cards = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("anchor"), F.col("o_orderpriority").alias("v"))
-    new = t.orders.where("o_custkey < 700").select(F.col("o_orderkey").alias("anchor"), F.when(F.col("o_custkey") % 2 == 0, "new").otherwise(F.col("o_orderpriority")).alias("v"))
+    new = t.orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("anchor"), F.when(F.col("o_totalprice") > 200000, "new").otherwise(F.col("o_orderpriority")).alias("v"))
     return C.upserted(cards, new)
 
 
-@query("budget_log", "STM-05 UDF-01")
+#: Events one by one: `open` has each reserved id with its amount, null once it is settled.
+BUDGET = """e AS MATERIALIZED (SELECT user_id, event_id AS "at", event_id % 5 AS id, CASE WHEN event_type IN ('click', 'view') THEN 'reserve' ELSE 'settle' END AS kind, floor(value * 100)::BIGINT AS amount, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+b AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS "at", NULL::BIGINT AS id, '' AS kind, NULL::BIGINT AS amount, '' AS outcome, 0::BIGINT AS committed, true AS enabled, []::STRUCT(id BIGINT, most BIGINT)[] AS open FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT user_id, k, "at", id, kind, amount, outcome, CASE outcome WHEN 'reserved' THEN committed + amount WHEN 'settled' THEN committed + amount - most WHEN 'overrun' THEN committed + amount - most ELSE committed END,
+    enabled AND outcome <> 'overrun',
+    CASE WHEN outcome = 'reserved' THEN list_append(open, {'id': id, 'most': amount}) WHEN outcome IN ('settled', 'overrun') THEN list_append(list_filter(open, lambda x: x.id <> id), {'id': id, 'most': NULL}) ELSE open END
+  FROM (SELECT *, CASE WHEN kind = 'reserve' THEN CASE WHEN NOT enabled THEN 'disabled' WHEN amount <= 0 OR known THEN 'invalid' WHEN committed + amount > 100000 THEN 'refused' ELSE 'reserved' END
+      WHEN most IS NULL OR amount < 0 THEN 'invalid' WHEN amount > most THEN 'overrun' ELSE 'settled' END AS outcome
+    FROM (SELECT e.user_id, e.k, e."at", e.id, e.kind, e.amount, b.committed, b.enabled, b.open, len(list_filter(b.open, lambda x: x.id = e.id)) > 0 AS known, (list_filter(b.open, lambda x: x.id = e.id))[1].most AS most FROM b JOIN e ON b.user_id = e.user_id AND e.k = b.k + 1)))"""
+
+
+@query("budget_log", "STM-05 UDF-01", f"WITH RECURSIVE {BUDGET} SELECT user_id, \"at\", id, kind, amount, outcome, committed FROM b WHERE k > 0")
 def budget_log(t):
-    e = t.events.select("user_id", F.col("event_id").alias("at"), F.floor(F.col("event_id") / 2).cast("long").alias("id"), F.when(F.col("event_type").isin("click", "view"), "reserve").otherwise("settle").alias("kind"), F.floor(F.col("value") * 100).alias("amount"))
+    e = t.events.select("user_id", F.col("event_id").alias("at"), (F.col("event_id") % 5).alias("id"), F.when(F.col("event_type").isin("click", "view"), "reserve").otherwise("settle").alias("kind"), F.floor(F.col("value") * 100).alias("amount"))
     return L.budget_log(e, "user_id", 100_000)
 
 
