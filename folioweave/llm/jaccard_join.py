@@ -14,10 +14,12 @@ against its most central member (fewest shingles of its own), which joins
 nearly all of a group of near copies; after two such rounds only pairs between
 different components of a group remain, and all of these are verified. So every
 link counts for the components, though links inside a component need not be
-listed. In that last round a group meets by levels of set size (sets that may
-link stand in one level or two neighbouring ones), and a level of more than
-BLOCK documents in pairs of blocks, each a task's worth. A pair that was
-verified once, linked or not, is not verified again.
+listed. In that last round only documents outside of the component of a group's
+leader look for partners, by levels of set size (sets that may link stand in one
+level or in neighbouring ones); a level of more than BLOCK documents meets in
+pairs of blocks, each a task's worth, and the filters stand in the join, so only
+pairs that pass them are made. A pair that was verified once, linked or not, is
+not verified again.
 
 Defined results: words are runs without white space, A-Z lower-cased; fewer
 words than a shingle are one shingle; texts without words, and null ones, have
@@ -48,7 +50,7 @@ SECOND = "doc_id long, key long, n long, alone double, shared binary, h array<lo
 #: Parity bits of a set. Two sets differ in at least as many shingles as their parities differ in bits.
 BITS = 1024
 #: Documents of one shingle and level that meet those of another block in one task.
-BLOCK = 256
+BLOCK = 2048
 
 
 def shingle_sets(table: pa.Table, n: int, key: int = 0) -> list[np.ndarray]:
@@ -120,7 +122,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     first = stage(ex.in_groups(docs, {}, groups).mapInArrow(ex.by_group(count), FIRST), "shingles", ["kind"])
     df_reply = stage(ex.in_buckets(first.df.where("kind = 0"), buckets).mapInArrow(ex.by_bucket(ex.census), ex.REPLY), "shingle-counts")
     sized = first.df.where("kind = 1").select("grp", "doc_id", "n", "k1", "k2")
-    classes = sized.where("doc_id IS NOT NULL AND n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # A table of its own, so that the rows of a large class can be split in the join.
+    classes = stage(sized.where("doc_id IS NOT NULL AND n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes").df
     member = stage(sized.where("doc_id IS NOT NULL AND n > 0").join(classes, ["n", "k1", "k2"]).select("grp", "doc_id", "n", "k1", "k2", "rep"), "members")
     copies = member.df.where("doc_id <> rep").groupBy("grp").agg(F.to_json(F.collect_set(F.array("doc_id", "n", "k1", "k2"))).cast("binary").alias("payload")).withColumn("bucket", F.lit(0))
 
@@ -184,38 +187,38 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
         joined = fresh.join(b, "b").join(a, "a").select("a", "b", "na", "sa", "nb", "sb")
         return stage(joined.mapInArrow(run, "a long, b long"), f"links-{turn}").df
 
-    def star(rows: DataFrame, best) -> DataFrame:
+    def star(rows: DataFrame, best, turn: int) -> DataFrame:
         """Pairs of each document with its groups' leaders: the best rows by group. Leaders are a table of their own, so that a frequent shingle's rows can be split in the join."""
         leader = rows.groupBy("h").agg(best.alias("l")).where("l IS NOT NULL").select("h", F.col("l.doc_id").alias("b"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"))
-        return rows.join(stage(leader, "leaders").df, "h").where("doc_id <> b").where(near_enough).select(F.col("doc_id").alias("a"), "b")
+        return rows.join(stage(leader, f"leaders-{turn}").df, "h").where("doc_id <> b").where(near_enough).select(F.col("doc_id").alias("a"), "b")
 
     central = F.struct("alone", "doc_id", "n", "pos")
-    done = [verified(star(met.df, F.min(central)), 1)]
+    done = [verified(star(met.df, F.min(central), 1), 1)]
     for turn in (2, 3):
         label = components(done[0] if len(done) == 1 else done[0].unionByName(done[1]))
         marked = stage(met.df.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), f"marked-{turn}").df
         split = marked.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct("alone", "doc_id", "component")).alias("l")).where("least <> most").select("h", F.col("l.component").alias("of_leader"))
         rest = marked.join(stage(split, f"split-{turn}").df, "h")
         if turn == 2:
-            done.append(verified(star(rest, F.min(F.when(F.col("component") != F.col("of_leader"), central))), turn))
+            done.append(verified(star(rest, F.min(F.when(F.col("component") != F.col("of_leader"), central)), turn), turn))
             continue
         # The parities tell how many shingles two sets differ in at least, before either set is fetched.
         k = BITS // 64
         bits = found.df.select("doc_id", *[F.col("bits")[i].alias(f"p{i}") for i in range(k)])
         level = F.floor(F.log("n") / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")
-        rest = stage(rest.select("h", "doc_id", "n", "pos", "component", level.cast("long").alias("level")), "apart").df
-        # The larger set meets in its own level, the smaller one in its own and the one above.
-        both = rest.select("h", "level", F.lit(1).alias("large")).unionByName(rest.select("h", F.explode(F.array("level", F.col("level") + 1)).alias("level"), F.lit(0).alias("large")))
-        size = stage(both.groupBy("h", "level").agg(F.sum("large").alias("nl"), F.sum(1 - F.col("large")).alias("ns")).where("nl > 0").select("h", "level", F.ceil(F.col("nl") / BLOCK).cast("int").alias("xs"), F.ceil(F.col("ns") / BLOCK).cast("int").alias("ys")), "blocks").df
+        rest = stage(rest.withColumn("level", level.cast("long")).join(bits, "doc_id").select("h", "level", "doc_id", "n", "pos", "component", (F.col("component") != F.col("of_leader")).alias("asks"), *[f"p{i}" for i in range(k)]), "apart").df
+        asks = rest.where("asks").withColumn("level", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)))
+        count = asks.groupBy("h", "level").agg(F.count("*").alias("na")).join(rest.groupBy("h", "level").agg(F.count("*").alias("nb")), ["h", "level"])
+        size = stage(count.select("h", "level", F.ceil(F.col("na") / BLOCK).cast("int").alias("xs"), F.ceil(F.col("nb") / BLOCK).cast("int").alias("ys")), "blocks").df
         own = lambda by: F.pmod(F.xxhash64("doc_id", F.lit("block")), by).cast("int")
-        one = rest.join(size, ["h", "level"]).withColumn("x", own(F.col("xs"))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1))).select("h", "level", "x", "y", "doc_id", "n", "pos", "component")
-        two = rest.withColumn("level", F.explode(F.array("level", F.col("level") + 1))).join(size, ["h", "level"]).withColumn("y", own(F.col("ys"))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
-        two = two.select("h", "level", "x", "y", F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
-        one = one.join(bits, "doc_id")
-        two = two.join(bits.select(F.col("doc_id").alias("b"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(k)]), "b")
+        every = lambda by: F.explode(F.sequence(F.lit(0), by - 1))
+        one = asks.join(size, ["h", "level"]).withColumn("x", own(F.col("xs"))).withColumn("y", every(F.col("ys"))).drop("asks", "xs", "ys")
+        two = rest.join(size, ["h", "level"]).withColumn("y", own(F.col("ys"))).withColumn("x", every(F.col("xs")))
+        two = two.select("h", "level", "x", "y", F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"), F.col("asks").alias("asks2"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(k)])
         apart = " + ".join(f"bit_count(p{i} ^ q{i})" for i in range(k))
         close = F.expr(f"(100 + {percent}) * ({apart}) <= (100 - {percent}) * (n + n2)")
-        pairs = one.join(two, ["h", "level", "x", "y"]).where("component <> component2 AND n2 <= n").where(near_enough & close).select(F.col("doc_id").alias("a"), "b")
+        # Of two that ask the smaller id does.
+        pairs = one.join(two, ["h", "level", "x", "y"]).where("component <> component2 AND (NOT asks2 OR doc_id < b)").where(near_enough & close).select(F.col("doc_id").alias("a"), "b")
         done.append(verified(pairs, turn))
     links = done[0].unionByName(done[1]).unionByName(done[2])
     own = member.df.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()

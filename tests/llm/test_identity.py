@@ -144,7 +144,7 @@ def test_pairs_are_verified_once(spark, monkeypatch):
     rng, tables = random.Random(8), {}
     monkeypatch.setattr(jaccard_join, "BLOCK", 5)
     real = jaccard_join.stage
-    monkeypatch.setattr(jaccard_join, "stage", lambda df, label, *more: tables.setdefault(label, real(df, label, *more)))
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, label, *more: tables.setdefault(label, real(df, label, *more)))  # labels differ
     passage = [f"p{i}" for i in range(30)]
     data = []
     for i in range(120):
