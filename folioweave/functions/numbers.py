@@ -67,6 +67,23 @@ def stable_id(*parts: Column | str) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
+# Colours of the first documents of a set.
+COLOURS = ("#DB935F", "#6CACE4", "#80BD98", "#BC99DD", "#E0B45A", "#E58DA0", "#67C4C3", "#B3BF75")
+
+
+def rolling_hash(text: Column) -> Column:
+    """HSH-03: 31 h + c over the characters, modulo 2**32; a character beyond 16 bits counts as its first half."""
+    half = lambda c: F.when(c > 0xFFFF, F.shiftright(c - 0x10000, 10) + 0xD800).otherwise(c)
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + half(F.ascii(c))) % (1 << 32))
+
+
+def colour(first: Column, place: Column) -> Column:
+    """HSH-03: the colour of the document at a place (from 0) of its set's ids in order, of which `first` is the first: one of eight, then a hue a golden angle on, to three decimals."""
+    h = rolling_hash(first)
+    hue = (h % 360 + place * 137.508) % 360
+    return F.when(place < len(COLOURS), F.element_at(F.array(*map(F.lit, COLOURS)), ((h + place) % len(COLOURS) + 1).cast("int"))).otherwise(F.concat(F.lit("hsl("), F.round(hue, 3).cast("decimal(6,3)").cast("string"), F.lit(" 50% 68%)")))
+
+
 def usable_vector(v: Column, size: int) -> Column:
     """ARR-04: of the size, finite, not all zero."""
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))

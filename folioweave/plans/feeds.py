@@ -111,6 +111,28 @@ def snapshot(t):
     return readers.table(t.spark, folder, "region").select("r_regionkey", "r_name")
 
 
+@query("purged", "SNK-15", "SELECT 'nation' AS table, count(*) AS rows FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+def purged(t):
+    folder = _folder(t, "purge")
+    sinks.snapshot({"region": t.region, "nation": t.nation, "ledger": V.ledger(t)}, folder)
+    out = sinks.purge(t.spark, folder)
+    if readers.table(t.spark, folder, "ledger").isEmpty():
+        raise ValueError("the ledger went, too")
+    return out
+
+
+@query(
+    "relayed",
+    "STM-08",
+    """WITH m AS (SELECT user_id, event_id, (value * 700)::BIGINT AS n, sum((value * 700)::BIGINT) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, n % 2 <> 0 OR n > 32768 OR s > 960000 AS bad FROM m), l AS (SELECT *, coalesce(bool_or(bad OR s = 960000) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM b),
+k AS (SELECT *, CASE WHEN over THEN 'late' WHEN bad THEN 'closes' ELSE 'sent' END AS state FROM l) SELECT user_id, event_id, state, coalesce(sum(n) FILTER (state = 'sent') OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) / 32000 AS seconds FROM k""".replace("(value * 700)::BIGINT", "floor(value * 7)::BIGINT * 2"),
+)
+def relayed(t):
+    sizes = t.events.select("user_id", "event_id", (F.floor(F.col("value") * 7) * 2).alias("n"))
+    return feeds.relayed(sizes, ["user_id"], ["event_id"], "n").select("user_id", "event_id", "state", "seconds")
+
+
 @query("dwell", "STM-02", "WITH g AS (SELECT user_id, least(floor(coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) / 1000), 1500) AS ms FROM events) SELECT user_id, sum(ms)::BIGINT AS dwell_ms, sum(ms) >= 4000 AS seen FROM g GROUP BY user_id")
 def dwell(t):
     return feeds.dwell(t.events.select("user_id", "ts", F.col("event_id").alias("id")), ["user_id"], "ts")

@@ -191,6 +191,22 @@ b AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS "at", NULL::BIGINT AS id,
     FROM (SELECT e.user_id, e.k, e."at", e.id, e.kind, e.amount, b.committed, b.enabled, b.open, len(list_filter(b.open, lambda x: x.id = e.id)) > 0 AS known, (list_filter(b.open, lambda x: x.id = e.id))[1].most AS most FROM b JOIN e ON b.user_id = e.user_id AND e.k = b.k + 1)))"""
 
 
+@query(
+    "colours",
+    "HSH-03",
+    """WITH d AS (SELECT DISTINCT p_type AS set, p_name AS id FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY set ORDER BY id) - 1 AS place, min(id) OVER (PARTITION BY set) AS first FROM d),
+h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(first, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM r)
+SELECT set, id, CASE WHEN place < 8 THEN ['#DB935F', '#6CACE4', '#80BD98', '#BC99DD', '#E0B45A', '#E58DA0', '#67C4C3', '#B3BF75'][(h + place) % 8 + 1] ELSE 'hsl(' || round((h % 360 + place * 137.508) % 360, 3)::DECIMAL(6, 3) || ' 50% 68%)' END AS colour FROM h""",
+)
+def colours(t):
+    from pyspark.sql import Window
+
+    docs = t.part.select(F.col("p_type").alias("set"), F.col("p_name").alias("id")).distinct()
+    of_set = Window.partitionBy("set")
+    placed = docs.withColumn("place", F.row_number().over(of_set.orderBy("id")) - 1).withColumn("first", F.min("id").over(of_set))
+    return placed.select("set", "id", N.colour(F.col("first"), F.col("place")).alias("colour"))
+
+
 @query("budget_log", "STM-05 UDF-01", f"WITH RECURSIVE {BUDGET} SELECT user_id, \"at\", id, kind, amount, outcome, committed FROM b WHERE k > 0")
 def budget_log(t):
     e = t.events.select("user_id", F.col("event_id").alias("at"), (F.col("event_id") % 5).alias("id"), F.when(F.col("event_type").isin("click", "view"), "reserve").otherwise("settle").alias("kind"), F.floor(F.col("value") * 100).alias("amount"))

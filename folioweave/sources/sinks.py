@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as S
@@ -44,6 +44,17 @@ def snapshot(tables: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
+def purge(spark: SparkSession, folder: str, keep: tuple[str, ...] = ("ledger",)) -> DataFrame:
+    """SNK-15: delete all tables of a folder but the kept ones (the ledger of spending); table and rows of each that went. Counts are taken first, so a failure before leaves all as it was."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    paths = {x.getPath().getName().removesuffix(".parquet"): x.getPath() for x in files.listStatus(root)}
+    gone = [(name, spark.read.parquet(path.toString()).count()) for name, path in sorted(paths.items()) if name not in keep]
+    for name, _ in gone:
+        files.delete(paths[name], True)
+    return spark.createDataFrame(gone, "table string, rows long")
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     """SNK-11: JSON lines."""
     df.write.mode("overwrite").json(path)

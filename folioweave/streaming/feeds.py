@@ -12,6 +12,8 @@ from ..sources.sinks import changed, latest
 
 # Stages after which nothing more comes.
 TERMINAL = ("done", "error")
+# Bytes of audio a second, of one recording and of one message.
+AUDIO_SECOND, AUDIO_MOST, AUDIO_MESSAGE = 32_000, 960_000, 32_768
 #: Most that one tick counts, and from which total a node is seen, in milliseconds.
 TICK, SEEN = 1500, 4000
 
@@ -99,6 +101,21 @@ def runnable(docs: DataFrame, ready: DataFrame, force: bool = False) -> DataFram
     return docs if force else docs.join(ready.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def relayed(messages: DataFrame, keys: list[str], order: list[str], size: str) -> DataFrame:
+    """STM-08: what becomes of each audio message of a recording. It is `sent`, or the first one that is of odd size, too large or over the recording's limit `closes` it, or it comes `late`: after that, or after the limit was met exactly. With the seconds sent so far."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    n = F.col(size)
+    rows = messages.withColumn("_sum", F.sum(n).over(upto))
+    rows = rows.withColumn("_bad", (n % 2 != 0) | (n > AUDIO_MESSAGE) | (F.col("_sum") > AUDIO_MOST))
+    rows = rows.withColumn("_over", F.coalesce(F.max(F.col("_bad") | (F.col("_sum") == AUDIO_MOST)).over(before), F.lit(False)))
+    state = F.when(F.col("_over"), "late").when(F.col("_bad"), "closes").otherwise("sent")
+    out = rows.withColumn("state", state)
+    return out.withColumn("seconds", F.coalesce(F.sum(F.when(F.col("state") == "sent", n)).over(upto), F.lit(0)) / AUDIO_SECOND).drop("_sum", "_bad", "_over")
+
+
 def windowed(events: DataFrame, at: str, size: str, key: str, late: str | None = None) -> DataFrame:
     """Event-time counts in tumbling windows; on a stream, `late` rows are awaited."""
     rows = events if late is None else events.withWatermark(at, late)

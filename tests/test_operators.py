@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from folioweave.functions import numbers as N
 from folioweave.functions import text as S
-from folioweave.operators import aggregates, extract, graph, ledger, relational, resolve, retrieval, roots
+from folioweave.operators import aggregates, extract, graph, layout, ledger, relational, resolve, retrieval, roots
 from folioweave.sources import readers, sinks
 from folioweave.streaming import feeds
 
@@ -84,6 +85,45 @@ def test_iterations_leave_their_result_only(spark):
     assert not graph._there
 
 
+def test_maps_settle_apart_and_alike(spark):
+    import numpy as np
+
+    links = np.array([(i, (i + 1) % 30) for i in range(30)])
+    at = layout.settled(30, links)
+    assert (at == layout.settled(30, links)).all() and np.isfinite(at).all()
+    assert np.abs(at.mean(0) - (400, 300)).max() < 5
+    apart = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2)) + 1e9 * np.eye(30)
+    assert apart.min() > 40
+    # Linked nodes stand nearer than others do.
+    assert apart[links[:, 0], links[:, 1]].mean() < 0.75 * apart[apart < 1e8].mean()
+    nodes = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 1), ("b", 1)], "corpus string, id long")
+    edges = spark.createDataFrame([("a", 0, 1), ("a", 2, 2), ("b", 1, 7)], "corpus string, src long, dst long")
+    got = rows(layout.layout(nodes, edges).select("corpus", "id"))
+    assert got == [("a", i) for i in range(5)] + [("b", 1)]
+
+
+def test_recordings_close_once(spark):
+    sizes = [30_000] * 32 + [2, 4]
+    data = [(1, i, n) for i, n in enumerate(sizes)] + [(2, 0, 4), (2, 1, 3), (2, 2, 4), (3, 0, 40_000)]
+    got = {(r["k"], r["at"]): (r["state"], r["seconds"]) for r in feeds.relayed(spark.createDataFrame(data, "k int, at int, n long"), ["k"], ["at"], "n").collect()}
+    assert got[1, 31] == ("sent", 30.0) and got[1, 32] == ("late", 30.0) == got[1, 33]
+    assert [got[2, i][0] for i in range(3)] == ["sent", "closes", "late"] and got[3, 0] == ("closes", 0.0)
+
+
+def test_purge_keeps_the_ledger(spark, tmp_path):
+    tables = {n: spark.range(k) for n, k in (("nodes", 3), ("edges", 5), ("ledger", 7))}
+    sinks.snapshot(tables, f"file://{tmp_path}")
+    assert rows(sinks.purge(spark, f"file://{tmp_path}")) == [("edges", 5), ("nodes", 3)]
+    assert [p.name for p in tmp_path.iterdir()] == ["ledger.parquet"] and spark.read.parquet(f"file://{tmp_path}/ledger.parquet").count() == 7
+
+
+def test_colours(spark):
+    df = spark.createDataFrame([("ab", 0), ("ab", 9), ("🙂", 1)], "first string, place int")
+    h = 97 * 31 + 98
+    want = [N.COLOURS[h % 8], f"hsl({(h % 360 + 9 * 137.508) % 360:.3f} 50% 68%)", N.COLOURS[(0xD83D + 1) % 8]]
+    assert [r[0] for r in df.select(N.colour(F.col("first"), F.col("place"))).collect()] == want
+
+
 def test_empty_graph(spark):
     edges, nodes = spark.createDataFrame([], EDGE), spark.createDataFrame([], "id long")
     assert graph.trace_paths(edges, nodes).isEmpty() and graph.pagerank(nodes, edges).isEmpty() and graph.on_cycles(edges).isEmpty()
