@@ -133,12 +133,14 @@ def paragraphs(spans: DataFrame, doc: str = "doc") -> DataFrame:
     return spans.withColumn("_s", step).withColumn("para", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_s")
 
 
-def blocks(lines: DataFrame, doc: str, order: str, is_start: Column, is_break: Column) -> DataFrame:
-    """WIN-03: each line's block, from its start to the next start or break; lines outside of blocks go."""
-    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("_start", is_start).withColumn("_break", is_break & ~is_start).withColumn("block", F.sum(F.col("_start").cast("int")).over(w))
-    inside = Window.partitionBy(doc, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.where("block > 0").withColumn("_cut", F.max(F.col("_break").cast("int")).over(inside)).where("_cut = 0").drop("_start", "_break", "_cut")
+def blocks(lines: DataFrame, doc: str, order: list[str], is_start: Column, is_break: Column, also: dict[str, Column] | None = None) -> DataFrame:
+    """WIN-03: each line's block, from its start to the next start or break; lines outside of blocks go. One sort: a line is inside if the last start is behind the last break. also: columns whose values at the block's start each of its lines gets."""
+    w = Window.partitionBy(doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(w)
+    marked = lines.withColumn("_start", is_start).withColumn("_break", is_break & ~is_start)
+    at = F.when(F.col("_start"), F.lit(1)).when(F.col("_break"), F.lit(0))
+    out = marked.select(*lines.columns, F.sum(F.col("_start").cast("int")).over(w).alias("block"), last(at).alias("_in"), *[last(F.when(F.col("_start"), c)).alias(name) for name, c in (also or {}).items()])
+    return out.where("block > 0 AND _in = 1").drop("_in")
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str = "previous") -> DataFrame:

@@ -18,6 +18,10 @@ GENERIC = ("previous", "preceding", "following", "same", "this", "that", "a", "a
 # Confidences of edges by rule.
 LABELLED, ANCHORED, NAMED, OPERATOR, TERM, PREVIOUS, SYMBOL, ABOVE, ASSISTED = 0.95, 0.92, 0.85, 0.9, 0.85, 0.8, 0.8, 0.7, 0.7
 
+# Fixed value: characters of the statement in a node's first clause.
+CLAUSE = 500
+
+# What a number, a heading, a reference, a named result and a soft reference look like.
 NUMBER = r"(\d+(?:\.\d+)*)"
 HEADING = rf"(?i)^({'|'.join(KINDS)}|Problem)\s+{NUMBER}\b(?:\s*\(([^)]+)\))?"
 REFERENCE = rf"(?i)\b({'|'.join(KINDS)})\s+{NUMBER}"
@@ -52,16 +56,14 @@ def headings(lines: DataFrame) -> DataFrame:
 
 def environments(lines: DataFrame) -> DataFrame:
     """EXT-03, EXT-05: nodes (doc, block, kind, label, title, page, statement, box, confidence): from a heading to the next one or to a section word; the box is that of the first page."""
-    order = F.row_number().over(Window.partitionBy("doc").orderBy("page", "y0", "line"))
-    marked = headings(lines).withColumn("n", order)
     stop = F.regexp_like("text", F.lit(rf"(?i)^\s*(?:{'|'.join(BREAKS)})\b"))
-    inside = aggregates.blocks(marked, "doc", "n", F.col("kind").isNotNull(), stop)
+    # One shuffle and one sort by document; the groups below stay where they are.
+    inside = aggregates.blocks(headings(lines), "doc", ["page", "y0", "line"], F.col("kind").isNotNull(), stop, {"_first": F.col("page")})
     head = lambda c: F.min(F.when(F.col("kind").isNotNull(), F.col(c))).alias(c)
-    first = F.min("page").over(Window.partitionBy("doc", "block"))
     at = lambda fn, c: fn(F.when(F.col("page") == F.col("_first"), F.col(c))).alias(c)
-    body = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("n", F.trim("text").alias("t")))), lambda x: F.when(x["t"] != "", x["t"])))
-    out = inside.withColumn("_first", first).groupBy("doc", "block").agg(head("kind"), head("label"), head("title"), F.min("page").alias("page"), body.alias("statement"), at(F.min, "x0"), at(F.min, "y0"), at(F.max, "x1"), at(F.max, "y1"))
-    return out.withColumn("clauses", F.array(F.struct(F.lit("i").alias("id"), F.substring("statement", 1, 500).alias("text")))).withColumn("confidence", F.lit(0.85))
+    body = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("page", "y0", "line", F.trim("text").alias("t")))), lambda x: F.when(x["t"] != "", x["t"])))
+    out = inside.groupBy("doc", "block").agg(head("kind"), head("label"), head("title"), F.min("page").alias("page"), body.alias("statement"), at(F.min, "x0"), at(F.min, "y0"), at(F.max, "x1"), at(F.max, "y1"))
+    return out.withColumn("clauses", F.array(F.struct(F.lit("i").alias("id"), F.substring("statement", 1, CLAUSE).alias("text")))).withColumn("confidence", F.lit(0.85))
 
 
 def enriched(nodes: DataFrame, proposals: DataFrame) -> DataFrame:
@@ -126,30 +128,52 @@ def previous_edges(nodes: DataFrame) -> DataFrame:
     return seen.select("doc", F.col("n").alias("src"), dst.alias("dst"), F.lit("depends_on").alias("kind"), F.when(lemma, PREVIOUS).otherwise(ABOVE).alias("confidence")).where("dst IS NOT NULL")
 
 
+# Commands that name an operator in a formula, and words by which a notation is introduced.
+BRACED, BARE = r"\\(?:operatorname|mathcal|mathrm)\{[^}]+\}", r"\\(?:ker|coker|Hom|End|Spec)\b"
+WRITTEN = r"(?i)\b(?:write|denote)\b"
+#: A term begins with a letter and has at most this many characters.
+TERM_SIZE = 46
+
+
 def defined_operators(kind: Column, body: Column) -> Column:
     """EDG-05: operators on the left of an equation in the formulas of a definition or notation."""
     formulas = F.regexp_extract_all(body, F.lit(r"\$([^$]+)\$"), F.lit(1))
     left = F.transform(F.filter(formulas, lambda f: f.contains("=")), lambda f: F.substring_index(f, "=", 1))
-    written = F.when((kind == "notation") & F.regexp_like(body, F.lit(r"(?i)\b(?:write|denote)\b")), F.slice(formulas, 1, 1)).otherwise(F.array().cast("array<string>"))
-    names = F.regexp_extract_all(F.concat_ws(" ", F.concat(left, written)), F.lit(r"\\(?:operatorname|mathcal|mathrm)\{[^}]+\}|\\(?:ker|coker|Hom|End|Spec)\b"), F.lit(0))
-    return F.when(kind.isin("definition", "notation"), F.array_distinct(names)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    written = F.when((kind == "notation") & F.regexp_like(body, F.lit(WRITTEN)), F.slice(formulas, 1, 1)).otherwise(none)
+    names = F.regexp_extract_all(F.concat_ws(" ", F.concat(left, written)), F.lit(f"{BRACED}|{BARE}"), F.lit(0))
+    return F.when(kind.isin("definition", "notation"), F.array_distinct(names)).otherwise(none)
 
 
 def defined_term(kind: Column, body: Column) -> Column:
-    """EDG-05: the term that a definition introduces before its first formula."""
-    term = F.lower(F.regexp_extract(F.ltrim(F.regexp_replace(body, r"^[. ]+", "")), r"(?i)^(?:A|An|The)\s+([A-Za-z][A-Za-z -]{1,45}?)\s+(?:of\s+)?\$", 1))
-    return F.when((kind == "definition") & (term != ""), term)
+    """EDG-05: the term that a definition introduces before its first formula: what stands between its article and the formula, without a last "of", if these are only letters, blanks and hyphens."""
+    article = F.regexp_replace(body, r"^[.\s]+", "")
+    ahead = F.lower(F.substring_index(article, "$", 1))
+    named = F.regexp_extract(ahead, r"^(?:an?|the)\s+(.*\S)\s+$", 1)
+    term = F.regexp_replace(named, r"\s+of$", "")
+    fits = F.regexp_like(term, F.lit(r"^[a-z][a-z -]+$")) & (F.length(term) <= TERM_SIZE)
+    return F.when((kind == "definition") & F.contains(body, F.lit("$")) & fits, term)
 
 
 def operator_edges(nodes: DataFrame) -> DataFrame:
-    """EDG-05, JN-12: uses of defined operators and terms with the last definition before. nodes: doc, n, kind, body. Names are compared within a document only."""
+    """EDG-05, JN-12: uses of defined operators and terms with the last definition before. nodes: doc, n, kind, body. Names are compared within a document only.
+
+    Bodies are cut into commands and words once; a name meets the bodies that hold its first part, and the pattern
+    decides. Each use then takes its definition in one ordered pass, so a name that is defined often costs no product.
+    """
     names = F.concat(F.transform(defined_operators(F.col("kind"), F.col("body")), lambda o: F.struct(o.alias("name"), F.lit(OPERATOR).alias("c"))), F.filter(F.array(F.struct(defined_term(F.col("kind"), F.col("body")).alias("name"), F.lit(TERM).alias("c"))), lambda x: x["name"].isNotNull()))
+    first = F.when(F.col("c") == OPERATOR, F.col("name")).otherwise(F.regexp_extract("name", "^[a-z]+", 0))
     defined = nodes.select("doc", F.col("n").alias("dst"), F.explode(names).alias("d")).select("doc", "dst", "d.name", "d.c")
-    word = F.when(F.col("c") == OPERATOR, F.concat(F.lit("\\Q"), F.col("name"), F.when(F.col("name").endswith("}"), F.lit("\\E")).otherwise(F.lit("\\E(?![A-Za-z])")))).otherwise(F.concat(F.lit(r"(?i)(?<![\w-])\Q"), F.col("name"), F.lit(r"\Es?(?![\w-])")))
-    found = nodes.join(defined, "doc").where("dst < n").where(F.regexp_like("body", word))
-    last = found.groupBy("doc", "n", "kind", "name").agg(F.max(F.struct("dst", "c")).alias("d"))
-    kind = F.when(F.col("kind").isin("definition", "notation"), "uses_notation").otherwise("depends_on")
-    return last.groupBy("doc", F.col("n").alias("src"), F.col("d.dst").alias("dst"), kind.alias("kind")).agg(F.max("d.c").alias("confidence"))
+    wanted = defined.select("doc", "name", "c", first.alias("part")).distinct()
+    words = F.regexp_extract_all(F.lower("body"), F.lit("[a-z]+"), F.lit(0))
+    commands = lambda p: F.regexp_extract_all("body", F.lit(f"(?=({p}))"), F.lit(1))
+    parts = F.array_distinct(F.concat(commands(BRACED), commands(r"\\[A-Za-z]+(?![A-Za-z])"), words, F.transform(words, lambda x: F.regexp_replace(x, "s$", ""))))
+    pattern = F.when(F.col("c") == OPERATOR, F.concat(F.lit("\\Q"), F.col("name"), F.when(F.col("name").endswith("}"), F.lit("\\E")).otherwise(F.lit("\\E(?![A-Za-z])")))).otherwise(F.concat(F.lit(r"(?i)(?<![\w-])\Q"), F.col("name"), F.lit(r"\Es?(?![\w-])")))
+    held = nodes.select("doc", "n", "kind", "body", F.explode(parts).alias("part")).join(wanted, ["doc", "part"]).where(F.regexp_like("body", pattern))
+    uses = held.select("doc", "name", F.struct("n", "kind", "c").alias("src"), F.col("n").alias("at"))
+    last = relational.last_definition(uses, defined.select("doc", "name", "dst", F.col("dst").alias("at")), ["doc", "name"], "at")
+    kind = F.when(F.col("src.kind").isin("definition", "notation"), "uses_notation").otherwise("depends_on")
+    return last.groupBy("doc", F.col("src.n").alias("src"), "dst", kind.alias("kind")).agg(F.max("src.c").alias("confidence"))
 
 
 class Order:

@@ -141,12 +141,21 @@ def last_definition(uses: DataFrame, definitions: DataFrame, keys: list[str], or
     return d.unionByName(u).withColumn("dst", F.last("dst", ignorenulls=True).over(w)).where("_side = 0 AND dst IS NOT NULL").select(*keys, "src", "dst")
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has at most `most` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def mentions(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """JN-14: names (key, name, dst) that stand as whole words in texts (key, src, text), matched once per text and name."""
-    word = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("name"), F.lit(r"\E(?![\p{L}\p{N}])"))
-    found = texts.join(names, key).where(F.expr("instr(text, name) > 0")).where(F.regexp_like("text", word)).where("src <> dst")
-    once = found.groupBy(key, "src", "name").agg(F.countDistinct("dst").alias("n"), F.min("dst").alias("dst"))
-    return once.where("n = 1").drop("n")
+    """JN-14: names (key, name, dst) that stand as whole words in texts (key, src, text). Texts are cut into words once; a name meets the texts that hold its first word (one without words meets all of its key), and the pattern decides, once per text and name."""
+    first = lambda c: F.regexp_extract(c, r"[\p{L}\p{N}]+", 0)
+    parts = F.array_append(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), F.lit(""))
+    wanted = small(names.groupBy(key, "name").agg(F.countDistinct("dst").alias("n"), F.min("dst").alias("dst"), F.max("dst").alias("other")).withColumn("part", first(F.col("name"))))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("name"), F.lit(r"\E(?![\p{L}\p{N}])"))
+    found = texts.withColumn("part", F.explode(parts)).join(wanted, [key, "part"]).where(F.expr("instr(text, name) > 0")).where(F.regexp_like("text", pattern))
+    # A name of one other node is a mention of it; the text's own node does not count.
+    one = F.when((F.col("n") == 1) & (F.col("dst") != F.col("src")), F.col("dst")).when((F.col("n") == 2) & (F.col("dst") == F.col("src")), F.col("other")).when((F.col("n") == 2) & (F.col("other") == F.col("src")), F.col("dst"))
+    return found.select(key, "src", "name", one.alias("dst")).where("dst IS NOT NULL").distinct()
 
 
 def unique_names(names: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import dot
 from ..functions.text import tokens
+from .relational import small
 
 
 def ranked(hits: DataFrame, keys: list[str], limit: int, by: str = "score") -> DataFrame:
@@ -17,49 +19,115 @@ def ranked(hits: DataFrame, keys: list[str], limit: int, by: str = "score") -> D
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def lexical(nodes: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """RET-01, SRC-06: number of distinct query words in the text; nodes: id, text; queries: q, text. Words are joined, so only texts that share one with a query move."""
+def overlap(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """RET-01: (q, id, score), the number of distinct query words in each text that holds any; nodes: id, text; queries: q, text. Few query words are broadcast, so only hits move and a frequent word is no task of its own."""
     words = nodes.select("id", F.explode(tokens(F.col("text"))).alias("w"))
     asked = queries.select("q", F.explode(tokens(F.col("text"))).alias("w"))
-    hits = words.join(asked, "w").groupBy("q", "id").agg(F.count("*").alias("score"))
-    return ranked(hits, ["q"], limit)
+    return words.join(small(asked), "w").groupBy("q", "id").agg(F.count("*").alias("score"))
+
+
+def lexical(nodes: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """RET-01, SRC-06: the best texts of each query by overlap()."""
+    return ranked(overlap(nodes, queries), ["q"], limit)
+
+
+def _words(field: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(F.col(field), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
 
+def index(nodes: DataFrame, fields: list[str], terms: DataFrame | None = None) -> DataFrame:
+    """RET-08, SNK-09: inverted index (field, w, id, tf, size). terms (w): of these words only, which are picked before anything moves."""
+    cut = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _words(f).alias("ws")) for f in fields])).alias("e")
+    rows = nodes.select("id", cut).select("id", "e.field", F.size("e.ws").alias("size"), F.explode("e.ws").alias("w"))
+    if terms is not None:
+        rows = rows.join(small(terms.select("w").distinct()), "w", "left_semi")
+    return rows.groupBy("field", "w", "id", "size").agg(F.count("*").alias("tf"))
 
-def index(nodes: DataFrame, fields: list[str]) -> DataFrame:
-    """RET-08, SNK-09: inverted index (field, w, id, tf, size)."""
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    cut = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(f).alias("ws")) for f in fields])).alias("e")
-    rows = nodes.select("id", cut).select("id", "e.field", "e.ws").withColumn("size", F.size("ws"))
-    return rows.select("id", "field", "size", F.explode("ws").alias("w")).groupBy("field", "w", "id", "size").agg(F.count("*").alias("tf"))
 
+def saved_index(nodes: DataFrame, fields: list[str], path: str, buckets: int = 64) -> None:
+    """RET-08: the index as a table by field and bucket of the word, from which a search reads its words' parts only."""
+    bucket = F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int")
+    index(nodes, fields).withColumn("bucket", bucket).repartition("field", "bucket").sortWithinPartitions("w").write.mode("overwrite").partitionBy("field", "bucket").parquet(path)
 
-def bm25(postings: DataFrame, sizes: DataFrame, queries: DataFrame, boosts: dict[str, float], limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """RET-02: (q, id, score), the best field's BM25 times its boost. sizes: field, n (documents), mean (words). Terms are joined before anything else."""
-    asked = queries.select("q", F.explode(tokens(F.col("text"))).alias("w")).distinct()
-    terms = asked.select("w").distinct()
-    there = postings.join(terms, "w", "left_semi")
+
+def loaded_index(spark: SparkSession, path: str, terms: DataFrame, buckets: int = 64) -> DataFrame:
+    """The postings of some words (w) from a saved index."""
+    wanted = small(terms.select("w").distinct().withColumn("bucket", F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int")))
+    return spark.read.parquet(path).join(wanted, ["bucket", "w"], "left_semi").select("field", "w", "id", "size", "tf")
+
+
+def field_sizes(nodes: DataFrame, fields: list[str]) -> DataFrame:
+    """RET-02: field, n (documents), mean (words), in one pass without cutting texts into rows."""
+    one = nodes.agg(F.count("*").alias("n"), *[F.sum(F.size(_words(f))).alias(f"_{i}") for i, f in enumerate(fields)])
+    return one.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (F.col(f"_{i}") / F.col("n")).alias("mean")) for i, f in enumerate(fields)])).alias("e")).select("e.field", "n", "e.mean")
+
+
+def bm25(postings: DataFrame, sizes: DataFrame, queries: DataFrame, boosts: dict[str, float], limit: int = 20, k1: float = 1.2, b: float = 0.75, digits: int | None = None) -> DataFrame:
+    """RET-02: (q, id, score, rank), the best field's BM25 times its boost; digits: round scores before they are ranked. sizes: as field_sizes() has them. Terms are joined before anything else."""
+    asked = small(queries.select("q", F.explode(tokens(F.col("text"))).alias("w")).distinct())
+    there = postings.join(asked.select("w").distinct(), "w", "left_semi")
     df = there.groupBy("field", "w").agg(F.count("*").alias("df"))
     weight = reduce(lambda x, f: x.when(F.col("field") == f, boosts[f]), list(boosts)[1:], F.when(F.col("field") == next(iter(boosts)), boosts[next(iter(boosts))])).otherwise(1.0)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    scored = there.join(df, ["field", "w"]).join(sizes, "field").join(asked, "w")
+    # One row a field and word, and one a field: the sizes of both are bounded by the queries' words.
+    scored = there.join(small(df), ["field", "w"]).join(F.broadcast(sizes), "field").join(asked, "w")
     fields = scored.groupBy("q", "id", "field").agg(F.sum(part).alias("s"))
-    return ranked(fields.groupBy("q", "id").agg(F.max("s").alias("score")), ["q"], limit)
+    best = F.max("s") if digits is None else F.round(F.max("s"), digits)
+    return ranked(fields.groupBy("q", "id").agg(best.alias("score")), ["q"], limit)
+
+
+#: Queries, and vectors, that one product of matrices holds.
+BLOCK = 4096
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 8, scope: str | None = None) -> DataFrame:
-    """RET-03, JN-17, RES-01: exact cosine neighbours of each query (q, v) among vectors (id, v), its own id left out; scope: a column that both must share.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 8, scope: str | None = None, digits: int | None = None) -> DataFrame:
+    """RET-03, JN-17, RES-01: exact cosine neighbours (q, id, score, rank) of each query (q, v) among vectors (id, v), its own id left out; scope: a column that both must share; digits: round scores before they are ranked.
 
-    The queries stand in blocks (a literal key), each block against all vectors.
+    Queries and vectors of a scope are dealt into blocks of about BLOCK rows. Each block of queries meets each block of
+    vectors in one task, as a product of matrices, which hands on the k best of each query. The work is that of an exact
+    search; on more vectors than that can be paid for, a search by graph takes its place.
     """
-    unit = lambda df: df.withColumn("v", F.transform("v", lambda x: x.cast("double"))).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))).where("norm > 0")
-    a = unit(queries).select("q", F.col("v").alias("qv"), F.col("norm").alias("qn"), *([F.col(scope)] if scope else []))
-    b = unit(vectors).select("id", "v", "norm", *([F.col(scope)] if scope else []))
     on = scope or "_all"
-    if not scope:
-        a, b = a.withColumn("_all", F.lit(1)), b.withColumn("_all", F.lit(1))
-    pairs = a.join(b, on).where("q <> id").select("q", "id", (dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("norm"))).alias("score"))
-    return ranked(pairs, ["q"], k)
+    a = queries.select("q", F.col("v").cast("array<double>").alias("v"), *([F.col(scope)] if scope else [F.lit(1).alias("_all")]))
+    b = vectors.select("id", F.col("v").cast("array<double>").alias("v"), *([F.col(scope)] if scope else [F.lit(1).alias("_all")]))
+    parts = lambda df, name: df.groupBy(on).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    blocks = small(parts(a, "_qs").join(parts(b, "_vs"), on))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = a.join(blocks, on).withColumn("_x", own("q", "_qs")).withColumn("_y", every("_vs")).select(F.col(on).alias("_a"), F.col("_x").alias("_ax"), F.col("_y").alias("_ay"), "q", "v")
+    b = b.join(blocks, on).withColumn("_y", own("id", "_vs")).withColumn("_x", every("_qs")).select(F.col(on).alias("_b"), F.col("_x").alias("_bx"), F.col("_y").alias("_by"), "id", F.col("v").alias("v"))
+    kinds = dict(a.dtypes) | dict(b.dtypes)
+
+    def unit(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and unit vectors of the rows that have a direction."""
+        ids, rows = np.array(table.column(name).to_pylist(), object), table.column("v").to_pylist()
+        fit = [v is not None and None not in v for v in rows]
+        x = np.array([v for v, ok in zip(rows, fit, strict=True) if ok], float)
+        x, ids = x.reshape(len(x), -1), ids[np.array(fit, bool)]
+        norm = np.sqrt((x * x).sum(1))
+        return ids[norm > 0], x[norm > 0] / norm[norm > 0, None]
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        (q, x), (i, y) = unit(left, "q"), unit(right, "id")
+        for at in range(0, len(q), 512) if len(i) else ():
+            score = x[at : at + 512] @ y.T
+            score = score if digits is None else score.round(digits)
+            for row, one in enumerate(q[at : at + 512]):
+                # One more than asked for, beside the query itself; equal scores at the end are all kept, so ties go by id.
+                need = min(k + 1, len(i))
+                least = np.partition(score[row], len(i) - need)[len(i) - need]
+                keep = np.flatnonzero(score[row] >= least)
+                keep = keep[i[keep] != one]
+                keep = keep[np.lexsort((i[keep], -score[row, keep]))][:k]
+                out[0].extend([one] * len(keep))
+                out[1].extend(i[keep])
+                out[2].extend(score[row, keep].tolist())
+        return pa.table([pa.array(out[0], left.schema.field("q").type), pa.array(out[1], right.schema.field("id").type), pa.array(out[2], pa.float64())], ["q", "id", "score"])
+
+    near = a.groupBy("_a", "_ax", "_ay").cogroup(b.groupBy("_b", "_bx", "_by")).applyInArrow(product, f"q {kinds['q']}, id {kinds['id']}, score double")
+    return ranked(near, ["q"], k)
 
 
 def fused(rankings: list[DataFrame], limit: int = 20, k: int = 60) -> DataFrame:

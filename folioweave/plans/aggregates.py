@@ -189,7 +189,7 @@ k AS (SELECT *, sum(s::INT) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED P
 c AS (SELECT *, max(b::INT) OVER (PARTITION BY doc, block ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cut FROM k WHERE block > 0) SELECT doc, pos, block::BIGINT AS block FROM c WHERE cut = 0""",
 )
 def blocks(t):
-    return A.blocks(V.turns(t), "doc", "pos", F.col("kind") == "user", F.length("statement") < 300).select("doc", "pos", "block")
+    return A.blocks(V.turns(t), "doc", ["pos"], F.col("kind") == "user", F.length("statement") < 300).select("doc", "pos", "block")
 
 
 @query(

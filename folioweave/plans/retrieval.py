@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..operators import resolve as R
 from ..operators import retrieval as S
 from . import adapters as V
@@ -40,11 +41,10 @@ m AS (SELECT q, id, max(s) AS score FROM s GROUP BY ALL) SELECT q, id, round(sco
 @query("bm25", "RET-02 RET-08 SNK-09", _bm25_sql())
 def bm25(t):
     nodes = t.documents.select(F.col("doc_id").alias("id"), F.concat_ws(" ", "lang", "source").alias("title"), F.col("text").alias("statement"))
-    postings = S.index(nodes, ["title", "statement"])
-    n = nodes.count()
-    sizes = postings.groupBy("field").agg((F.sum("tf") / F.lit(n)).alias("mean")).withColumn("n", F.lit(n))
-    hits = S.bm25(postings, sizes, _asked(t), {"title": 3.0, "statement": 1.0}, 40)
-    return S.ranked(hits.withColumn("by", F.round("score", 9)).drop("rank"), ["q"], 20, "by").select("q", "id", F.round("score", 6).alias("score"), "rank")
+    fields = ["title", "statement"]
+    terms = _asked(t).select(F.explode(tokens(F.col("text"))).alias("w"))
+    hits = S.bm25(S.index(nodes, fields, terms), S.field_sizes(nodes, fields), _asked(t), {"title": 3.0, "statement": 1.0}, digits=9)
+    return hits.select("q", "id", F.round("score", 6).alias("score"), "rank")
 
 
 KNN = "v AS (SELECT vec_id AS id, embedding::DOUBLE[64] AS v, label FROM embeddings)"
@@ -53,7 +53,7 @@ KNN = "v AS (SELECT vec_id AS id, embedding::DOUBLE[64] AS v, label FROM embeddi
 @query("knn_label", "RET-03 JN-17 RES-01", f"WITH {KNN}, p AS (SELECT a.id AS q, b.id AS id, round(array_cosine_similarity(a.v, b.v), 9) AS score FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id) SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id)::INT AS rank FROM p QUALIFY rank <= 8")
 def knn_label(t):
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    return S.nearest(v, v.withColumnRenamed("id", "q"), 8, "label").withColumn("score", F.round("score", 9))
+    return S.nearest(v, v.withColumnRenamed("id", "q"), 8, "label", digits=9)
 
 
 @query(
@@ -66,7 +66,7 @@ def rank_fusion(t):
     one = S.lexical(_docs(t), _asked(t), 50)
     from pyspark.sql import Window
 
-    all_ = S.lexical(_docs(t), _asked(t), 1 << 30).where("score > 3").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("id"))).where("rank <= 50")
+    all_ = S.overlap(_docs(t), _asked(t)).where("score > 3").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("id"))).where("rank <= 50")
     hits = S.fused([one, all_], 100).drop("rank").withColumn("score", F.round("score", 9))
     return S.ranked(hits, ["q"], 20)
 
@@ -78,7 +78,7 @@ def expansion_gate(t):
 
 @query("fan_out", "RET-07 RET-06", f"WITH {LEX}, c AS (SELECT q, l.id, score, source AS corpus FROM l JOIN documents ON doc_id = l.id) SELECT q, corpus, id, score, row_number() OVER (PARTITION BY q, corpus ORDER BY score DESC, id)::INT AS rank FROM c QUALIFY rank <= 5")
 def fan_out(t):
-    hits = S.lexical(_docs(t), _asked(t), 1 << 30).drop("rank").join(t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("corpus")), "id")
+    hits = S.overlap(_docs(t), _asked(t)).join(t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("corpus")), "id")
     return S.fan_out(S.checked_scope(hits, t.documents.select(F.col("source").alias("corpus"))), 5).select("q", "corpus", "id", "score", "rank")
 
 
@@ -100,7 +100,7 @@ def components(t):
 def _plan(t):
     nodes = t.embeddings.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 50 == 0, F.concat(F.lit("e"), F.col("vec_id").cast("string"))).alias("entity"), F.concat(F.lit("n"), F.col("label").cast("string")).alias("name"))
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    near = S.nearest(v, v.withColumnRenamed("id", "q"), 3, "label").withColumn("score", F.round("score", 9))
+    near = S.nearest(v, v.withColumnRenamed("id", "q"), 3, "label", digits=9)
     # Near vectors are the same; those a little farther apart are surely not, which stops the components that they stand in.
     verdict = F.when(F.col("score") >= 0.3, "same").when(F.col("label") % 2 == 0, "specialisation").otherwise("different")
     confidence = F.when(F.col("score") >= 0.3, F.least(F.lit(1.0), F.col("score") + 0.5)).when(F.col("score") >= 0.29, 0.9).otherwise(0.5)
@@ -111,7 +111,7 @@ def _plan(t):
 #: Existing entities are one node each here, so nothing is joined before the decisions.
 PLAN = f"""{KNN}, n AS (SELECT id, CASE WHEN id % 50 = 0 THEN 'e' || id END AS entity FROM v),
 d AS MATERIALIZED (SELECT q AS node, id AS candidate, CASE WHEN score >= 0.3 THEN 'same' WHEN label % 2 = 0 THEN 'specialisation' ELSE 'different' END AS verdict, CASE WHEN score >= 0.3 THEN least(1.0::DOUBLE, score + 0.5) WHEN score >= 0.29 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence
-  FROM (SELECT a.id AS q, b.id AS id, a.label, round(array_cosine_similarity(a.v, b.v), 9) AS score FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY array_cosine_similarity(a.v, b.v) DESC, b.id) <= 3)),
+  FROM (SELECT a.id AS q, b.id AS id, a.label, round(array_cosine_similarity(a.v, b.v), 9) AS score FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(array_cosine_similarity(a.v, b.v), 9) DESC, b.id) <= 3)),
 one AS MATERIALIZED (SELECT node AS a, candidate AS b FROM d WHERE verdict = 'same' AND confidence >= 0.8), l1 AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
 r1 AS (SELECT id, id AS x FROM n UNION SELECT r1.id, l1.b FROM r1 JOIN l1 ON r1.x = l1.a), j AS MATERIALIZED (SELECT id, min(x) AS root FROM r1 GROUP BY id),
 stopped AS MATERIALIZED (SELECT id FROM j WHERE root IN (SELECT a.root FROM d JOIN j a ON a.id = node JOIN j b ON b.id = candidate WHERE verdict <> 'same' AND confidence >= 0.8 AND a.root = b.root)),

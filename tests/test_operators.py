@@ -137,6 +137,79 @@ def test_fusion_scores(spark):
     assert got["b"][0] == 1 and got["a"][1] == pytest.approx(1 / 61)
 
 
+def test_exact_neighbours_in_blocks(spark, monkeypatch):
+    """Against one product over all: blocks of three, zero and null vectors, ties, and a scope."""
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    rng = np.random.default_rng(2)
+    data = [(i, rng.normal(size=4).round(1).tolist(), i % 2) for i in range(30)] + [(30, [0.0] * 4, 0), (31, None, 0), (32, [1.0, None, 0.0, 0.0], 1)]
+    data += [(40 + i, data[5][1], 1) for i in range(6)]
+    df = spark.createDataFrame(data, "id long, v array<double>, s int")
+    known = {i: (np.array(v) / np.linalg.norm(v), s) for i, v, s in data if v and None not in v and any(v)}
+    for scope in (None, "s"):
+        got = {}
+        for r in retrieval.nearest(df, df.withColumnRenamed("id", "q"), 3, scope, digits=9).orderBy("q", "rank").collect():
+            got.setdefault(r["q"], []).append(r["id"])
+        for q, (v, s) in known.items():
+            want = sorted((-round(float(v @ w), 9), i) for i, (w, z) in known.items() if i != q and (scope is None or z == s))[:3]
+            assert got[q] == [i for _, i in want]
+        assert set(got) == set(known)
+
+
+def test_a_saved_index_gives_the_same_scores(spark, tmp_path):
+    nodes = spark.createDataFrame([(1, "red gear", "The red gear turns"), (2, None, "gear gear"), (3, "bolt", ""), (4, "x", "turns and turns")], "id long, title string, body string")
+    asked = spark.createDataFrame([(1, "red gear"), (2, "turns"), (3, "nothing")], "q long, text string")
+    fields, terms = ["title", "body"], spark.createDataFrame([("red",), ("gear",), ("turns",), ("nothing",)], "w string")
+    sizes = retrieval.field_sizes(nodes, fields)
+    assert rows(sizes) == [("body", 4, 2.25), ("title", 4, 1.0)]
+    retrieval.saved_index(nodes, fields, f"file://{tmp_path}/index", 4)
+    want = rows(retrieval.bm25(retrieval.index(nodes, fields), sizes, asked, {"title": 3.0}, digits=9))
+    for postings in (retrieval.index(nodes, fields, terms), retrieval.loaded_index(spark, f"file://{tmp_path}/index", terms, 4)):
+        assert rows(retrieval.bm25(postings, sizes, asked, {"title": 3.0}, digits=9)) == want
+    assert len(want) == 4
+
+
+def test_mentions_of_one_other_node(spark):
+    texts = spark.createDataFrame([("k", 1, "A gear, a Gear-box and * here"), ("k", 2, "gears only"), ("j", 3, "gear")], "k string, src long, text string")
+    names = spark.createDataFrame([("k", "gear", 9), ("k", "a Gear", 8), ("k", "*", 7), ("k", "box", 1), ("k", "here", 5), ("k", "here", 6), ("j", "gear", 3), ("j", "gear", 4)], "k string, name string, dst long")
+    assert rows(relational.mentions(texts, names, "k")) == [("j", 3, "gear", 4), ("k", 1, "*", 7), ("k", 1, "a Gear", 8), ("k", 1, "gear", 9)]
+
+
+def test_uses_of_operators_and_terms_equal_a_search_of_all_pairs(spark):
+    """Random bodies of names, plurals, commands and near misses, against every pair of a definition and a later or earlier node."""
+    import re
+
+    rng, term = random.Random(4), re.compile(r"(?i)^[.\s]*(?:a|an|the)\s+([a-z][a-z -]{1,45}?)\s+(?:of\s+)?\$")
+    names = ["map", "linear map", "normal space", "open-set", r"\ker", r"\coker", r"\mathcal{C}", r"\operatorname{rk}"]
+    nodes = []
+    for n in range(1, 60):
+        kind, name = rng.choice(("definition", "notation", "theorem")), rng.choice(names)
+        words = [rng.choice([*names, "maps", "Linear Maps", "premap", "map-like", "space", r"\kernel", "of"]) for _ in range(4)]
+        body = f"A {name} of $x$ is {' '.join(words)}." if not name.startswith("\\") else f"Let ${name} A = {rng.choice(words)}$ with {' '.join(words)}."
+        nodes.append((1, n, kind, None, body))
+    defined = []
+    for _, n, kind, _, body in nodes:
+        if kind in ("definition", "notation"):
+            for f in re.findall(r"\$([^$]+)\$", body):
+                if "=" in f:
+                    defined += [(n, o, 0.9) for o in re.findall(r"\\(?:operatorname|mathcal|mathrm)\{[^}]+\}|\\(?:ker|coker|Hom|End|Spec)\b", f.split("=")[0])]
+        if kind == "definition" and (m := term.match(body)):
+            defined.append((n, m[1].lower(), 0.85))
+    want = {}
+    for _, n, kind, _, body in nodes:
+        last = {}
+        for d, name, c in defined:
+            pattern = re.escape(name) + ("" if name.endswith("}") else "(?![A-Za-z])") if c == 0.9 else r"(?i)(?<![\w-])" + re.escape(name) + r"s?(?![\w-])"
+            if d < n and re.search(pattern, body):
+                last[name] = max(last.get(name, (0, 0)), (d, c))
+        for d, c in last.values():
+            key = (1, n, d, "uses_notation" if kind != "theorem" else "depends_on")
+            want[key] = max(want.get(key, 0), c)
+    got = {tuple(r)[:4]: r["confidence"] for r in extract.operator_edges(spark.createDataFrame(nodes, NODE)).collect()}
+    assert got == want and len(want) > 50
+
+
 def test_scope_violation_raises(spark):
     hits = spark.createDataFrame([("x", 1)], "corpus string, id int")
     with pytest.raises(Exception, match="outside of the scope"):
