@@ -14,7 +14,9 @@ from pyspark.sql.types import StringType
 OPERATORS = {"dim": "dimension", "ker": "kernel", "coker": "cokernel", "im": "image", "det": "determinant", "tr": "trace", "Hom": "space of homomorphisms", "End": "space of endomorphisms"}
 # Dashes that count as a hyphen.
 DASHES = "[\u2010\u2011\u2013\u2014]"
+# Labels and titles that mean nothing, and what heads the second line of spelt-out operators.
 NOTHING = ("null", "undefined", "none", "untitled result")
+SPELT = "Readable notation:"
 
 
 @F.pandas_udf(StringType())
@@ -59,7 +61,7 @@ def readable(text: Column) -> Column:
     out = F.regexp_replace(text, r"\\operatorname\{([^}]+)\}", "$1")
     for short, full in OPERATORS.items():
         out = F.regexp_replace(out, rf"(?<!\p{{L}})\\?{short}(?![\p{{L}}\p{{N}}_])", full)
-    return F.when(out == text, text).otherwise(F.concat(text, F.lit("\nReadable notation: "), out))
+    return F.when(out == text, text).otherwise(F.concat(text, F.lit(f"\n{SPELT} "), out))
 
 
 def tokens(text: Column) -> Column:

@@ -6,27 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import stable_id
-from .graph import released, saved
+from .tables import released, saved
 
 SURE = 0.8
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """RES-03: (id, root), root the smallest id that links (a, b) lead to. Large-star and small-star steps, so a chain of n nodes takes about log n rounds."""
-    now = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+def stars(links: DataFrame) -> DataFrame:
+    """(u, v) of each node that links (a, b) lead from to a smaller one: v is the smallest that they lead to.
+
+    Large-star and small-star steps, so a chain of n nodes takes about log n rounds. A node's neighbours never meet in
+    one task: minima are pre-aggregated and joined back, where a hot node's rows may be split.
+    """
+    now = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     while not now.isEmpty():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        wide = saved(both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        wide = saved(both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
         least = wide.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
         small = wide.join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
-        small = saved(small.distinct())
+        small = saved(small.distinct(), "small-star")
         released(now, wide)
         now = small
         # Stars are the end: no node has two targets, and no target goes on.
         if now.groupBy("u").count().where("count > 1").isEmpty() and now.join(now.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
-    return nodes.select("id").distinct().join(now, F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("root"))
+    return now
+
+
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """RES-03: (id, root), root the smallest id that links (a, b) lead to."""
+    return nodes.select("id").distinct().join(stars(links), F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("root"))
 
 
 def checked_decisions(pairs: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.graph import saved, shared_folder
+from ..operators.tables import saved, shared_dir
 from ..sources import readers, sinks
 from ..streaming import feeds
 from . import adapters as V
@@ -13,7 +13,7 @@ from .registry import query
 
 def _folder(t, name: str) -> str:
     """A new folder in the shared one."""
-    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("whole_table", "SRC-04", "SELECT * FROM nation")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioweave.functions import numbers as N
 from folioweave.functions import text as S
-from folioweave.operators import aggregates, extract, graph, layout, ledger, relational, resolve, retrieval, roots
+from folioweave.operators import aggregates, extract, graph, layout, ledger, relational, resolve, retrieval, roots, tables
 from folioweave.sources import readers, sinks
 from folioweave.streaming import feeds
 
@@ -75,14 +75,14 @@ def test_cycles_behind_long_chains(spark):
 
 
 def test_iterations_leave_their_result_only(spark):
-    graph.clear()
+    tables.clear()
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91), (91, 90)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in range(100)], "id long")
     got = dict(rows(resolve.components(nodes, links)))
     assert got == {i: 0 if i <= 40 else 90 if i == 91 else i for i in range(100)}
-    assert len(graph._there) == 1
-    graph.clear()
-    assert not graph._there
+    assert len(tables.there) == 1
+    tables.clear()
+    assert not tables.there
 
 
 def test_maps_settle_apart_and_alike(spark):
