@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.resolve import stars
 from . import exchange as ex
-from .components import components
 from .store import stage, tune
 from .words import Hasher, Words, grams, mix, secret
 
@@ -195,8 +195,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     central = F.struct("alone", "doc_id", "n", "pos")
     done = [verified(star(met.df, F.min(central), 1), 1)]
     for turn in (2, 3):
-        label = components(done[0] if len(done) == 1 else done[0].unionByName(done[1]))
-        marked = stage(met.df.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), f"marked-{turn}").df
+        label = stars(done[0] if len(done) == 1 else done[0].unionByName(done[1])).select(F.col("u").alias("doc_id"), F.col("v").alias("component"))
+        marked = stage(met.df.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), f"marked-{turn}").df
         split = marked.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct("alone", "doc_id", "component")).alias("l")).where("least <> most").select("h", F.col("l.component").alias("of_leader"))
         rest = marked.join(stage(split, f"split-{turn}").df, "h")
         if turn == 2:
@@ -222,9 +222,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
         done.append(verified(pairs, turn))
     links = done[0].unionByName(done[1]).unionByName(done[2])
     own = member.df.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    label = stage(components(links.unionByName(own)), "components").df
+    label = stars(links.unionByName(own)).select(F.col("u").alias("doc_id"), F.col("v").alias("component"))
     out = sized.select("doc_id", F.col("n").alias("n_shingles"))
-    return out.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -1,39 +1,15 @@
-"""Tables written to the folder that driver and executors share.
-
-Iterative operators cut their lineage here instead of with localCheckpoint: a
-lost executor then costs a task, never a result. A lazy result may still read
-tables that were staged for it; finished() writes it and deletes those, and
-clear() deletes all that this process staged.
-"""
+"""Tables in the folder that driver and executors share, under bounds on what one Arrow batch holds."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-ARROW_BATCH_ROWS = 2000
-ARROW_BATCH_BYTES = 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one for local masters only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="folioweave-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+from ..operators import tables
+from ..operators.tables import Staged, clear, shared_dir  # noqa: F401
 
-
-BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BATCH_BYTES}
-#: Staged tables that are there, the oldest first.
-_there: list[Staged] = []
+BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def tune(spark: SparkSession) -> None:
@@ -42,61 +18,15 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
-@contextmanager
-def _removing_shuffles(spark: SparkSession):
-    """Shuffle files of a finished write go at once instead of with the driver's garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-class Staged:
-    """A table in the shared folder: df reads it, drop() deletes its files."""
-
-    def __init__(self, spark: SparkSession, path: str, df: DataFrame):
-        self.spark, self.path, self.df = spark, path, df
-
-    def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        if self in _there:
-            _there.remove(self)
-
-
 def stage(df: DataFrame, label: str, by: list[str] | None = None) -> Staged:
     """Write df as Parquet (by: partition columns) and read it back."""
-    spark = df.sparkSession
-    tune(spark)
-    path = f"{shared_dir(spark)}/folioweave/{label}-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    with _removing_shuffles(spark):
-        (out.partitionBy(*by) if by else out).parquet(path)
-    _there.append(Staged(spark, path, spark.read.schema(df.schema).parquet(path)))
-    return _there[-1]
+    tune(df.sparkSession)
+    return tables.stage(df, label, by)
 
 
 def finished(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> Staged:
     """The written result of build(); the tables that were staged on its way are deleted, the session's settings are as before."""
-    before, known = {key: spark.conf.get(key, None) for key in BOUNDS}, list(_there)
-    try:
-        out = stage(build(), label)
-        for table in [t for t in _there if t not in known and t is not out]:
-            table.drop()
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    return out
-
-
-def clear() -> None:
-    """Delete all tables that this process staged; results that read them are gone, too."""
-    for table in list(_there):
-        table.drop()
+    return tables.finished(spark, build, label, tuple(BOUNDS))
 
 
 def worker_cache() -> dict:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioweave.llm import exchange as ex
 from folioweave.llm import jaccard_join, packing, store, substring_dedup, token_counts, token_files, tokens
+from folioweave.operators import tables
 
 from .test_ops import WORD, brute_components, by_id, check_pieces
 
@@ -130,21 +131,21 @@ def test_finished_results_leave_nothing_else(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(key, 777)
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
-    there = list(store._there)
+    there = list(tables.there)
     out = store.finished(spark, lambda: jaccard_join.jaccard_components(df), "result")
-    assert [t for t in store._there if t not in there] == [out] and out.df.count() == 2
+    assert [t for t in tables.there if t not in there] == [out] and out.df.count() == 2
     assert spark.conf.get(key) == "777"
     spark.conf.unset(key)
     out.drop()
-    assert store._there == there
+    assert tables.there == there
 
 
 def test_pairs_are_verified_once(spark, monkeypatch):
     """Many components that share frequent shingles: all links are found, no pair is verified twice, and blocks are small."""
-    rng, tables = random.Random(8), {}
+    rng, made = random.Random(8), {}
     monkeypatch.setattr(jaccard_join, "BLOCK", 5)
     real = jaccard_join.stage
-    monkeypatch.setattr(jaccard_join, "stage", lambda df, label, *more: tables.setdefault(label, real(df, label, *more)))  # labels differ
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, label, *more: made.setdefault(label, real(df, label, *more)))  # labels differ
     passage = [f"p{i}" for i in range(30)]
     data = []
     for i in range(120):
@@ -153,9 +154,31 @@ def test_pairs_are_verified_once(spark, monkeypatch):
     want, links = brute_components(data)
     got = by_id(jaccard_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string")))
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want and links > 50
-    tried = [tuple(r) for k in (1, 2, 3) for r in tables[f"pairs-{k}"].df.select(F.col("a"), F.col("b")).collect()]
+    tried = [tuple(r) for k in (1, 2, 3) for r in made[f"pairs-{k}"].df.select(F.col("a"), F.col("b")).collect()]
     assert len(tried) == len({tuple(sorted(p)) for p in tried}) > 0
-    assert tables["blocks"].df.where("xs > 1").count() > 0
+    assert made["blocks"].df.where("xs > 1").count() > 0
+
+
+def test_parts_of_several_shards(docs, rows, monkeypatch):
+    """Small shards, so that a part has many: the same rows, and counts of a token over all of them."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tk = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_files, "SHARD_TOKENS", 50)
+    monkeypatch.setattr(token_files, "LEAST_PARTS", 1)
+    many = docs.unionByName(docs.select((F.col("doc_id") + 100).alias("doc_id"), F.lit("a few words").alias("text"))).unionByName(docs.sparkSession.createDataFrame([(200 + i, f"number {i} " * 30) for i in range(1200)], docs.schema))
+    files = token_files.write_shards(many, path).df
+    assert files.groupBy("part").count().where("count > 1").count() > 0
+    at = 0
+    for r in token_files.read_shards(files).orderBy("doc_id").collect():
+        assert r["start"] == at
+        at += r["n_tokens"]
+    texts = [t for _, t in rows] + ["a few words"] * len(rows) + [f"number {i} " * 30 for i in range(1200)]
+    ids = [[*tk.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert at == sum(map(len, ids))
+    token = tk.encode("number", add_special_tokens=False).ids[0]
+    assert sum(r["n"] for r in token_files.locate(files, token).collect()) == sum(x.count(token) for x in ids)
 
 
 def test_kept_hash_is_of_kept_words(spark):
