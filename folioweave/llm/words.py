@@ -22,7 +22,7 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] = LOWERED[97:123]
 #: Keeps the first k of eight bytes.
 KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
-LONG = 64
+LONG, STRIP = 64, 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,20 +58,27 @@ class Hasher:
         return at[:-1][inside], at[1:][inside]
 
     def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """One hash for each word."""
+        """One hash for each word; STRIP words are worked on at a time, which bounds memory beside the result."""
+        out = np.empty(len(starts), U)
+        for i in range(0, len(starts), STRIP):
+            s, e = starts[i : i + STRIP], ends[i : i + STRIP]
+            base = int(s[0])
+            out[i : i + STRIP] = self._strip(data[base : int(e[-1])], s - base, e - base)
+        return out
+
+    def _strip(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         padded = np.zeros(len(data) + 8, np.uint8)
         padded[: len(data)] = LOWERED[data] if self.lower else data
         eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
         size = ends - starts
-        with np.errstate(over="ignore"):
-            out = mix((eight[starts] & KEEP[np.minimum(size, 8)]) + self.start + (size.astype(U) * self.turn))
-            at = 8
-            live = np.flatnonzero((size > at) & (size <= LONG))
-            while len(live):
-                part = eight[starts[live] + at] & KEEP[np.minimum(size[live] - at, 8)]
-                out[live] = mix((out[live] ^ part) * U(0x9FB21C651E98DF25) + self.turn)
-                at += 8
-                live = live[size[live] > at]
+        out = mix((eight[starts] & KEEP[np.minimum(size, 8)]) + self.start + (size.astype(U) * self.turn))
+        at = 8
+        live = np.flatnonzero((size > at) & (size <= LONG))
+        while len(live):
+            part = eight[starts[live] + at] & KEEP[np.minimum(size[live] - at, 8)]
+            out[live] = mix((out[live] ^ part) * U(0x9FB21C651E98DF25) + self.turn)
+            at += 8
+            live = live[size[live] > at]
         for i in np.flatnonzero(size > LONG).tolist():
             out[i] = xxhash.xxh3_64_intdigest(padded[starts[i] : ends[i]].tobytes(), int(self.start))
         return out
