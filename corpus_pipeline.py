@@ -17,6 +17,10 @@ from folioweave.llm.quality import accepted
 from folioweave.llm.queries import _tokenizer
 from folioweave.llm.store import finished, stage
 from folioweave.llm.substring_dedup import substring_dedup
+from folioweave.operators.relational import small
+
+#: Row numbers that may be broadcast to pick rows; more are joined by shuffle.
+FEW_ROWS = 1_000_000
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -37,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard_components(named.select("row", "doc.text"), id_col="row").select(F.col("doc_id").alias("row"), "component_id")
     first = found.join(named.select("row", "doc.doc_id"), "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     stays = stage(first.select("first.row").unionByName(rows.where("doc.doc_id IS NULL").select("row")), "stays").df
-    return rows.join(stays, "row", "left_semi").select("doc.*")
+    return rows.join(small(stays, FEW_ROWS), "row", "left_semi").select("doc.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rows = _numbered(docs)
     found = contained_items(rows.select("row", "doc.text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
     bad = stage(found.select(F.col("doc_id").alias("row")).distinct(), "contaminated").df
-    return rows.join(bad, "row", "left_anti").select("doc.*")
+    return rows.join(small(bad, FEW_ROWS), "row", "left_anti").select("doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
