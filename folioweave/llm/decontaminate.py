@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as ex
 from .exchange import found
-from .store import stage, tune
+from .store import stage, trimmed, tune
 from .words import Hasher, Words, grams
 
 BLOCK_BYTES = 4 << 20
@@ -97,7 +97,7 @@ def _matches(index_of):
                 ids, item, size, shared, share = zip(*rows, strict=True)
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(item, pa.int64()), pa.array(size, pa.int64()), pa.array(shared, pa.int64()), pa.array(share, pa.float64())], [f.split()[0] for f in SCHEMA.split(", ")])
 
-    return run
+    return trimmed(run)
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.75, n: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import trimmed
+
 GROUP_BYTES, LEAST_GROUPS = 32 << 20, 64
 DOCS = 9
 
@@ -97,7 +99,7 @@ def by_group(fn: Callable[[int, dict[int, dict[int, bytes]], pa.Table], Iterator
                     docs.append(part.slice(m).select(["doc_id", "text", *part.schema.names[6:]]))
         yield from flush()
 
-    return run
+    return trimmed(run)
 
 
 def in_buckets(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -127,7 +129,7 @@ def by_bucket(fn: Callable[[list[int], list[bytes]], list[bytes | None]]):
                 blocks.append(payload)
         yield from flush()
 
-    return run
+    return trimmed(run)
 
 
 REPLY = "grp int, bucket int, payload binary"

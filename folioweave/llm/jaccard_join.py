@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..operators.resolve import stars
 from . import exchange as ex
-from .store import stage, tune
+from .store import stage, trimmed, tune
 from .words import Hasher, Words, grams, mix, secret
 
 U = np.uint64
@@ -185,7 +185,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
                 yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         joined = fresh.join(b, "b").join(a, "a").select("a", "b", "na", "sa", "nb", "sb")
-        return stage(joined.mapInArrow(run, "a long, b long"), f"links-{turn}").df
+        return stage(joined.mapInArrow(trimmed(run), "a long, b long"), f"links-{turn}").df
 
     def star(rows: DataFrame, best, turn: int) -> DataFrame:
         """Pairs of each document with its groups' leaders: the best rows by group. Leaders are a table of their own, so that a frequent shingle's rows can be split in the join."""

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stage, tune
+from .store import stage, trimmed, tune
 from .tokens import Encoder
 
 #: Steps of the program over all pieces and over what is left.
@@ -268,7 +268,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int =
             yield pa.record_batch(columns, names)
 
     tune(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), PIECES + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

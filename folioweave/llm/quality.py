@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .exchange import found as among
 from .license_scan import APART
-from .store import stage, tune
+from .store import stage, trimmed, tune
 from .words import Hasher, Words
 
 SAMPLE, LEXICON = 20_000, 5_000
@@ -180,7 +180,7 @@ def score(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("doc_score", T.DoubleType())])
     if carried:
         schema = schema.add("carried", docs.schema["carried"].dataType)
-    scored = stage(docs.mapInArrow(run, schema), "scores").df
+    scored = stage(docs.mapInArrow(trimmed(run), schema), "scores").df
     return with_sites(scored, carried, most_shift)
 
 

@@ -29,6 +29,24 @@ def finished(spark: SparkSession, build: Callable[[], DataFrame], label: str) ->
     return tables.finished(spark, build, label, tuple(BOUNDS))
 
 
+def trimmed(run):
+    """run for mapInArrow; behind it the worker gives freed memory back, so that idle workers don't hold the most that any of their tasks took."""
+
+    def whole(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def worker_cache() -> dict:
     """What one Python worker keeps from task to task; each user bounds its own part."""
     import sys

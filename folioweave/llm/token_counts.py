@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import found
-from .store import tune, worker_cache
+from .store import trimmed, tune, worker_cache
 from .words import Hasher, buffers, secret
 
 BLANK = "▁"
@@ -305,4 +305,4 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
             size = np.diff(buffers(batch.column(1))[1])
             yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange as ex
-from .store import Staged, stage, tune
+from .store import Staged, stage, trimmed, tune
 from .tokens import Encoder
 
 BLOCK = 512
@@ -161,7 +161,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
         if ids:
             yield from close()
 
-    return stage(placed.mapInArrow(run, FILE), "token-files")
+    return stage(placed.mapInArrow(trimmed(run), FILE), "token-files")
 
 
 def read_shards(files: DataFrame) -> DataFrame:
