@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .byte_bpe import encode
 from .decontaminate import contained_items
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
@@ -84,6 +85,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 # Items of fewer than five words are one shingle of that many words.
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -137,6 +144,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 QUERIES = {name: _finished(name, query) for name, query in QUERIES.items()}
 ORACLES = {"op3_nearest": OP3_SQL, "op8_jaccard_join": OP8_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontaminate": OP9_SQL}

@@ -12,6 +12,7 @@ Others go through the library whole.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -41,6 +42,58 @@ def _lower() -> np.ndarray:
     return np.array([ord(chr(c).lower()) if c < 0x180 and len(chr(c).lower()) == 1 else c for c in range(TOP)], np.uint32)
 
 
+class Memo:
+    """Values of varying length of byte strings, made once for each distinct string that a worker meets; forgotten when there are MOST_WORDS."""
+
+    def __init__(self, kind: type):
+        self.kind, self.hashers = kind, (Hasher(key=secret()), Hasher(key=secret()))
+        self.clear()
+
+    def clear(self) -> None:
+        """Ascending hashes with their second ones and rows, and the values of each row."""
+        self.keys, self.checks, self.rows = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
+        self.values, self.starts = np.zeros(1 << 20, self.kind), np.zeros(1 << 18, np.int64)
+        self.n_rows = self.n_values = 0
+
+    def of(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Values of the strings data[begin:end], in a row, and the n + 1 bounds. make(which) gives values and sizes of new strings.
+        None where second hashes tell apart what the first do not."""
+        one, two = (x.hashes(data, begin, end) for x in self.hashers)
+        h, first, back = np.unique(one, return_index=True, return_inverse=True)
+        if not np.array_equal(two[first][back], two):
+            return None
+        rows = self._known(h, two[first], first, make)
+        if rows is None:
+            return None
+        rows = rows[back]
+        n = self.starts[rows + 1] - self.starts[rows]
+        total = np.concatenate([[0], np.cumsum(n)])
+        return self.values[np.repeat(self.starts[rows] - total[:-1], n) + np.arange(total[-1])], total
+
+    def _known(self, hashes: np.ndarray, checks: np.ndarray, first: np.ndarray, make) -> np.ndarray | None:
+        if self.n_rows + len(hashes) > MOST_WORDS:
+            self.clear()
+        hit, at = found(hashes, self.keys)
+        new = np.flatnonzero(~hit)
+        if len(new):
+            values, size = make(first[new])
+            total = len(values)
+            while self.n_values + total > len(self.values):
+                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+            while self.n_rows + len(new) + 1 > len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.values[self.n_values : self.n_values + total] = values
+            self.starts[self.n_rows + 1 : self.n_rows + 1 + len(new)] = self.n_values + np.cumsum(size)
+            spot = np.searchsorted(self.keys, hashes[new])
+            self.keys = np.insert(self.keys, spot, hashes[new])
+            self.checks = np.insert(self.checks, spot, checks[new])
+            self.rows = np.insert(self.rows, spot, self.n_rows + np.arange(len(new)))
+            self.n_rows += len(new)
+            self.n_values += total
+            at = found(hashes, self.keys)[1]
+        return self.rows[at] if np.array_equal(self.checks[at], checks) else None
+
+
 class Encoder:
     """words: pretokens without white space, lower-cased (a `</w>` vocabulary); else the byte-level ones, with their blanks."""
 
@@ -49,9 +102,12 @@ class Encoder:
 
         self.tokenizer, self.words = Tokenizer.from_file(path), words
         self.classes, self.lower = _classes(), _lower()
-        self.hashers = Hasher(key=secret()), Hasher(key=secret())
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.clear()
+        self.memo = Memo(np.uint32)
+
+    @property
+    def hashers(self) -> tuple[Hasher, Hasher]:
+        return self.memo.hashers
 
     @staticmethod
     def of(path: str, words: bool) -> Encoder:
@@ -60,11 +116,11 @@ class Encoder:
             cache["encoder", path] = Encoder(path, words)
         return cache["encoder", path]
 
-    def clear(self) -> None:
-        """Known pretokens: ascending hashes with their second ones and rows, and the ids of each row."""
-        self.keys, self.checks, self.rows = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
-        self.ids, self.starts = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
-        self.n_words = self.n_ids = 0
+    def library(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The strings' ids in a row and the number of each."""
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        return np.fromiter(chain.from_iterable(encoded), np.uint32, int(size.sum())), size
 
     def _starts(self, cp: np.ndarray, kind: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """Where pretokens begin; white space is a pretoken too."""
@@ -96,37 +152,10 @@ class Encoder:
                     start[p + 2] = False
         return start
 
-    def _known(self, hashes: np.ndarray, checks: np.ndarray, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray | None:
-        """Rows of distinct pretokens in the table of ids; None where second hashes tell apart what the first do not."""
-        if self.n_words + len(hashes) > MOST_WORDS:
-            self.clear()
-        hit, at = found(hashes, self.keys)
-        new = np.flatnonzero(~hit)
-        if len(new):
-            text = cp.astype("<u4").tobytes().decode("utf-32-le")
-            texts = [text[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)]
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            size = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            total = int(size.sum())
-            while self.n_ids + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while self.n_words + len(new) + 1 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.ids[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total)
-            self.starts[self.n_words + 1 : self.n_words + 1 + len(new)] = self.n_ids + np.cumsum(size)
-            spot = np.searchsorted(self.keys, hashes[new])
-            self.keys = np.insert(self.keys, spot, hashes[new])
-            self.checks = np.insert(self.checks, spot, checks[new])
-            self.rows = np.insert(self.rows, spot, self.n_words + np.arange(len(new)))
-            self.n_words += len(new)
-            self.n_ids += total
-            at = found(hashes, self.keys)[1]
-        return self.rows[at] if np.array_equal(self.checks[at], checks) else None
-
     def _whole(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same as batch(), by the library alone."""
-        parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        return np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        ids, size = self.library(strings)
+        return ids, np.concatenate([[0], np.cumsum(size)])
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and the n + 1 bounds; null is empty."""
@@ -160,22 +189,18 @@ class Encoder:
                 begin, end = begin[word], end[word]
             # All code points are below TOP here, so each takes two bytes.
             short = seen.astype("<u2").view(np.uint8)
-            one, two = (x.hashes(short, 2 * begin, 2 * end) for x in self.hashers)
-            h, first, back = np.unique(one, return_index=True, return_inverse=True)
-            row = self._known(h, two[first], seen, begin[first], end[first]) if np.array_equal(two[first][back], two) else None
-            if row is None:
+            text = seen.astype("<u4").tobytes().decode("utf-32-le")
+            known = self.memo.of(short, 2 * begin, 2 * end, lambda new: self.library([text[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)]))
+            if known is None:
                 return self._whole(strings)
-            row = row[back]
-            n = self.starts[row + 1] - self.starts[row]
-            total = np.concatenate([[0], np.cumsum(n)])
-            flat = self.ids[np.repeat(self.starts[row] - total[:-1], n) + np.arange(total[-1])]
+            flat, total = known
             at = total[np.searchsorted(begin, np.append(firsts, len(cp)))]
             counts[plain] = np.diff(at)
             slots = [(0, flat)]
         if whole.any():
             rest = np.flatnonzero(whole)
-            whole_ids = self.tokenizer.encode_batch_fast([strings[i] for i in rest], add_special_tokens=False)
-            parts = dict(zip(rest.tolist(), (np.array(e.ids, np.uint32) for e in whole_ids), strict=True))
+            ids, n = self.library([strings[i] for i in rest])
+            parts = dict(zip(rest.tolist(), np.split(ids, np.cumsum(n)[:-1]), strict=True))
             flat, at = (slots[0][1] if slots else np.zeros(0, np.uint32)), 0
             for i in range(len(strings)):
                 if i in parts:
