@@ -11,6 +11,7 @@ from .decontaminate import contained_items
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .packing import pack
+from .periodic_runs import echoed, periodic_runs, runs_text
 from .quality import accepted
 from .sharding import shard
 from .store import finished
@@ -85,6 +86,16 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract plants repeats in one document of ten (echoed); the operator knows nothing of them."""
+    out = periodic_runs(echoed(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.col("strongest")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"), F.sha2(runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -144,6 +155,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_byte_bpe": op13_byte_bpe,
 }
 QUERIES = {name: _finished(name, query) for name, query in QUERIES.items()}
