@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .byte_bpe import encode
 from .decontaminate import contained_items
+from .divergence import source_divergence
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .packing import pack
@@ -86,6 +87,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract plants repeats in one document of ten (echoed); the operator knows nothing of them."""
     out = periodic_runs(echoed(_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -139,6 +144,25 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(x) AS least FROM r GROUP
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS MATERIALIZED (SELECT lang, source, r, unnest(ts) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+x AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS MATERIALIZED (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p,
+  1 + (1000000000::HUGEINT * (sum(n) OVER (PARTITION BY lang, term) + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM x JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM s WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM o QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 def _finished(name: str, query):
     """The query with its result written and all else that was staged for it deleted."""
     return lambda spark, sf_dir: finished(spark, lambda: query(spark, sf_dir), name).df
@@ -155,8 +179,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
+    "op11_divergence": op11_divergence,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_byte_bpe": op13_byte_bpe,
 }
 QUERIES = {name: _finished(name, query) for name, query in QUERIES.items()}
-ORACLES = {"op3_nearest": OP3_SQL, "op8_jaccard_join": OP8_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontaminate": OP9_SQL}
+ORACLES = {"op11_divergence": OP11_SQL, "op3_nearest": OP3_SQL, "op8_jaccard_join": OP8_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontaminate": OP9_SQL}
