@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as S
-from . import aggregates, relational
+from . import aggregates, relational, spatial
 
 SYMBOL = r"^(?:\p{L}|\\[A-Za-z]+)$"
 # Kinds of nodes that an answer may cite.
@@ -15,12 +15,12 @@ STATEMENTS = ("definition", "theorem", "lemma", "proposition", "corollary", "not
 
 def contexts(anchors: DataFrame, nodes: DataFrame) -> DataFrame:
     """CRD-01: (id, owner, paragraph, symbols) of anchors whose smallest fitting node has the surface once, in one paragraph, and no symbol of two roles. anchors: id, doc, page, box, surface; nodes: id, doc, page, box, statement, symbols."""
-    n = nodes.where(F.size("symbols") > 0).select("doc", "page", F.col("id").alias("owner"), "statement", "symbols", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
-    inside = (F.col("_x0") <= F.col("x0")) & (F.col("_y0") <= F.col("y0")) & (F.col("_x1") >= F.col("x1")) & (F.col("_y1") >= F.col("y1"))
     plain = F.size(F.array_distinct("symbols")) == F.size(F.array_distinct(F.transform("symbols", lambda s: s["sym"])))
-    fit = anchors.where(F.trim("surface") != "").join(n, ["doc", "page"]).where(inside & S.occurs_once(F.col("statement"), F.col("surface")) & plain)
-    area = (F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0"))
-    best = fit.groupBy("id").agg(F.min(F.struct(area.alias("a"), F.col("owner").alias("owner"), S.paragraphs_with(F.col("statement"), F.col("surface"))[0].alias("paragraph"), "symbols")).alias("b"))
+    n = nodes.where((F.size("symbols") > 0) & plain).select("doc", "page", *spatial.BOX, F.col("id").alias("owner"), "statement", "symbols")
+    # Only ids meet by tiles; texts join once the pairs are known.
+    pairs = spatial.containing(anchors.where(F.trim("surface") != "").select("id", "doc", "page", *spatial.BOX, "surface"), n.drop("statement", "symbols"), ["doc", "page"])
+    fit = pairs.select("id", "doc", "page", "surface", "owner", "_area").join(n.select("doc", "page", "owner", "statement", "symbols"), ["doc", "page", "owner"]).where(S.occurs_once(F.col("statement"), F.col("surface")))
+    best = fit.groupBy("id").agg(F.min(F.struct(F.col("_area").alias("a"), F.col("owner").alias("owner"), S.paragraphs_with(F.col("statement"), F.col("surface"))[0].alias("paragraph"), "symbols")).alias("b"))
     return best.select("id", "b.owner", "b.paragraph", "b.symbols")
 
 

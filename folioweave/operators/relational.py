@@ -1,10 +1,12 @@
-"""Projections, filters and joins of the graph model (PRJ, FLT, JN). Every join has an equality key; geometry and patterns are residual conditions."""
+"""Projections, filters and joins of the graph model (PRJ, FLT, JN). Every join has an equality key; boxes meet by tiles (spatial), patterns are residual conditions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import spatial
+
 
 def summary(nodes: DataFrame) -> DataFrame:
     """PRJ-01, PRJ-02, PRJ-05: the columns of a node summary, its source as a struct, a headline that skips null only; large columns go (PRJ-03)."""
@@ -95,36 +97,37 @@ PRESETS = {
 
 
 def owners(anchors: DataFrame, nodes: DataFrame, preset: str = "edges") -> DataFrame:
-    """JN-08, GEO-01: the node whose box contains an anchor's, on the same page of the same document: the smallest one by the preset. anchors and nodes: id, doc, page, x0..y1; nodes: name."""
+    """JN-08, GEO-01: the node whose box contains an anchor's, on the same page of the same document: the smallest one by the preset. anchors and nodes: id, doc, page, x0..y1; nodes: name. Boxes meet by tiles; of equal boxes only those that may win go on."""
     slack, order, reject = PRESETS[preset]
-    n = nodes.select("doc", "page", F.col("id").alias("owner"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")], F.length("name").alias("_length"))
-    inside = (F.col("_x0") - slack <= F.col("x0")) & (F.col("_y0") - slack <= F.col("y0")) & (F.col("_x1") + slack >= F.col("x1")) & (F.col("_y1") + slack >= F.col("y1"))
-    area = (F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0"))
+    box = ["doc", "page", *spatial.BOX]
     rank = {"area": F.col("_area"), "id": F.col("owner"), "length": F.col("_length")}
+    # Copies of a box: the best one stands for all, with the number of those that tie with it.
+    best_of = F.min(F.struct(F.length("name").alias("_length"), F.col("id").alias("owner")) if "length" in order else F.struct(F.col("id").alias("owner"), F.length("name").alias("_length"))).alias("_b")
+    n = nodes.groupBy(*box).agg(best_of, F.countDistinct("id").alias("_copies")).select(*box, "_b.owner", "_b._length", "_copies")
     # One struct minimum, pre-aggregated, instead of a window over all boxes around an anchor.
-    found = anchors.join(n, ["doc", "page"]).where(inside).withColumn("_area", area)
-    best = found.groupBy("id", "doc", "page").agg(F.min(F.struct(*[rank[o].alias(o) for o in order], F.col("owner").alias("owner"), F.col("_area").alias("a"))).alias("b"), F.min("_area").alias("least"))
+    found = spatial.containing(anchors.select("id", *box), n, ["doc", "page"], slack)
+    best = found.groupBy("id", "doc", "page").agg(F.min(F.struct(*[rank[o].alias(o) for o in order], F.col("owner").alias("owner"))).alias("b"), F.min("_area").alias("least"))
     if reject:
-        same = found.join(best.select("id", "doc", "page", "least"), ["id", "doc", "page"]).where(F.abs(F.col("_area") - F.col("least")) < 0.01).groupBy("id", "doc", "page").agg(F.countDistinct("owner").alias("ties"))
-        return best.join(same, ["id", "doc", "page"]).where("ties = 1").select("id", "doc", "page", F.col("b.owner").alias("owner"))
+        same = found.join(best.select("id", "doc", "page", "least"), ["id", "doc", "page"]).where(F.abs(F.col("_area") - F.col("least")) < 0.01).groupBy("id", "doc", "page").agg(F.count_distinct("owner").alias("ties"), F.max("_copies").alias("copies"))
+        best = best.join(same, ["id", "doc", "page"]).where("ties = 1 AND copies = 1")
     return best.select("id", "doc", "page", F.col("b.owner").alias("owner"))
 
 
 def uncovered(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
-    """JN-09: nodes that no anchor of their page overlaps."""
-    n, a = nodes.alias("n"), anchors.alias("a")
-    meet = (F.col("n.doc") == F.col("a.doc")) & (F.col("n.page") == F.col("a.page")) & (F.col("n.x0") < F.col("a.x1")) & (F.col("a.x0") < F.col("n.x1")) & (F.col("n.y0") < F.col("a.y1")) & (F.col("a.y0") < F.col("n.y1"))
-    return n.join(a, meet, "left_anti")
+    """JN-09: nodes that no anchor of their page overlaps. What covers a box covers its copies, so each box is asked for once."""
+    box = ["doc", "page", *spatial.BOX]
+    hit = spatial.overlapping(nodes.select(*box).distinct(), anchors.select(*box).distinct(), ["doc", "page"]).select(*box).distinct()
+    return nodes.join(hit, box, "left_anti")
 
 
 def outermost(anchors: DataFrame, name: str = "surface", slack: int = 1) -> DataFrame:
     """JN-10: anchors that no other of equal name on the page contains; of equal boxes the smaller id stays."""
-    a, b = anchors.alias("a"), anchors.alias("b")
-    same = (F.col("a.doc") == F.col("b.doc")) & (F.col("a.page") == F.col("b.page")) & (F.col(f"a.{name}") == F.col(f"b.{name}"))
-    inside = (F.col("b.x0") - slack <= F.col("a.x0")) & (F.col("b.y0") - slack <= F.col("a.y0")) & (F.col("b.x1") + slack >= F.col("a.x1")) & (F.col("b.y1") + slack >= F.col("a.y1"))
-    size = lambda s: (F.col(f"{s}.x1") - F.col(f"{s}.x0")) * (F.col(f"{s}.y1") - F.col(f"{s}.y0"))
-    wins = (size("b") > size("a")) | ((size("b") == size("a")) & (F.col("b.id") < F.col("a.id")))
-    return a.join(b, same & inside & wins, "left_anti")
+    keys = ["doc", "page", name]
+    first = anchors.groupBy(*keys, *spatial.BOX).agg(F.min("id").alias("_other"))
+    inner = anchors.select("id", *keys, *spatial.BOX).withColumn("_own", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    # Of boxes of one size the smallest id wins, and a box's copies are there with theirs.
+    lost = spatial.containing(inner, first, keys, slack).where("_area > _own OR (_area = _own AND _other < id)").select("id", *keys, *spatial.BOX).distinct()
+    return anchors.join(lost, ["id", *keys, *spatial.BOX], "left_anti")
 
 
 def before(df: DataFrame, keys: list[str], order: list[str], value: str, when: Column | None = None, name: str = "before") -> DataFrame:

@@ -15,10 +15,11 @@ EDGES = """pairs AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
 edges AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, least(1.0::DOUBLE, (5 + count(*)) / 10.0::DOUBLE) AS confidence FROM pairs a JOIN pairs b ON a.l_orderkey = b.l_orderkey AND a.l_partkey > b.l_partkey GROUP BY 1, 2)"""
 TURNS = "turns AS (SELECT conv_id AS doc, turn AS pos, role AS kind, text AS statement FROM conversations)"
 LINES = "lines AS (SELECT doc_id, (i - 1)::INT AS pos, ((i - 1) // 10 + 1)::INT AS page, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL))"
-#: Integer rectangles: nodes from parts, anchors from line items.
-RECTS = """boxes AS (SELECT p_partkey AS id, p_partkey % 100 AS doc, p_size % 5 + 1 AS page, (p_partkey * 7) % 300 AS x0, (p_partkey * 13) % 500 AS y0,
+#: Integer rectangles: nodes from parts, anchors from line items. Fifty parts are a document of five pages, so pages grow in number with the
+#: tables, and every anchor stands on a page that has boxes.
+RECTS = """boxes AS (SELECT p_partkey AS id, p_partkey // 50 AS doc, p_partkey % 5 + 1 AS page, (p_partkey * 7) % 300 AS x0, (p_partkey * 13) % 500 AS y0,
   (p_partkey * 7) % 300 + 60 + (p_partkey * 3) % 200 AS x1, (p_partkey * 13) % 500 + 40 + (p_partkey * 5) % 150 AS y1, p_name AS name FROM part),
-marks AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS doc, l_linenumber % 5 + 1 AS page, (l_partkey * 11) % 400 AS x0, (l_orderkey * 17) % 600 AS y0,
+marks AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey // 50 AS doc, l_linenumber % 5 + 1 AS page, (l_partkey * 11) % 400 AS x0, (l_orderkey * 17) % 600 AS y0,
   (l_partkey * 11) % 400 + 20 AS x1, (l_orderkey * 17) % 600 + 10 AS y1, l_returnflag AS surface FROM lineitem)"""
 #: Orders as documents of numbered statements that cite each other.
 STATEMENTS = """raw AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, l_partkey, l_quantity, l_returnflag FROM lineitem),
@@ -57,12 +58,12 @@ def lines(t: Tables) -> DataFrame:
 def boxes(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     x, y = (k * 7) % 300, (k * 13) % 500
-    return t.part.select(k.alias("id"), (k % 100).alias("doc"), (F.col("p_size") % 5 + 1).alias("page"), x.alias("x0"), y.alias("y0"), (x + 60 + (k * 3) % 200).alias("x1"), (y + 40 + (k * 5) % 150).alias("y1"), F.col("p_name").alias("name"))
+    return t.part.select(k.alias("id"), F.floor(k / 50).alias("doc"), (k % 5 + 1).alias("page"), x.alias("x0"), y.alias("y0"), (x + 60 + (k * 3) % 200).alias("x1"), (y + 40 + (k * 5) % 150).alias("y1"), F.col("p_name").alias("name"))
 
 
 def marks(t: Tables) -> DataFrame:
     x, y = (F.col("l_partkey") * 11) % 400, (F.col("l_orderkey") * 17) % 600
-    return t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("doc"), (F.col("l_linenumber") % 5 + 1).alias("page"), x.alias("x0"), y.alias("y0"), (x + 20).alias("x1"), (y + 10).alias("y1"), F.col("l_returnflag").alias("surface"))
+    return t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.floor(F.col("l_partkey") / 50).alias("doc"), (F.col("l_linenumber") % 5 + 1).alias("page"), x.alias("x0"), y.alias("y0"), (x + 20).alias("x1"), (y + 10).alias("y1"), F.col("l_returnflag").alias("surface"))
 
 
 def statements(t: Tables) -> DataFrame:
