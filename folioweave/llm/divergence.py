@@ -4,32 +4,59 @@ Each kept term is one row with an array of counts, one for each source of its
 language. From such a wide row higher-order functions emit what the term adds to
 each pair of sources; the sums are taken on the map side before anything moves.
 
-Texts are cut into terms by a regular expression in the JVM. Occurrences are
-summed by (language, source, term) first, so no term, source or language is one
-task, whatever its share. What is known of each language (its sources, their
+A term is a stretch of letters and characters beyond ASCII, A-Z made small.
+Tasks sum occurrences by (language, source, term) before anything moves, so no
+term, source or language is one task, whatever its share. What is known of each language (its sources, their
 totals, the number of kept terms) is one small row; it meets the terms in SALT
 copies, so a language with most terms is spread.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stage
+from .store import stage, trimmed, tune
 
-TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 SALT, ONE = 64, 1_000_000_000
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Terms of groups that a task sums at a time, and rows that it gives at once.
+HELD, ROWS = 400_000, 20_000
+#: UTF-8 bytes to those of terms: A-Z become small, all else but letters and bytes of other characters a blank.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and d (documents) of all terms."""
-    terms = F.array_sort(F.regexp_extract_all(F.translate("text", CAPITALS, CAPITALS.lower()), F.lit(TERM), F.lit(0)))
-    listed = docs.select("lang", "source", terms.alias("_terms"))
-    # A document's terms stand in order, so the first of each kind is seen from the one before it.
-    marked = F.transform("_terms", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get("_terms", i - 1) != t)).cast("int").alias("first")))
-    return listed.select("lang", "source", F.explode(marked).alias("t")).groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.count(F.lit(1)).alias("n"), F.sum("t.first").alias("d"))
+    """lang, source, term, n (occurrences) and d (documents) of all terms. docs: lang, source, text, none of them null. Tasks sum what they read before it moves, at most HELD terms of groups at a time."""
+    tune(docs.sparkSession)
+
+    def run(batches):
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def summed():
+            for (lang, source), (n, d) in held.items():
+                terms = list(n)
+                for k in range(0, len(terms), ROWS):
+                    some = terms[k : k + ROWS]
+                    same = lambda x, m=len(some): pa.array([x] * m, pa.string())
+                    yield pa.record_batch({"lang": same(lang), "source": same(source), "term": pa.array(some, pa.binary()).cast(pa.string()), "n": pa.array([n[t] for t in some], pa.int64()), "d": pa.array([d[t] for t in some], pa.int64())})
+            held.clear()
+
+        for batch in batches:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist(), strict=True):
+                terms = text.translate(LETTERS).split(b" ")
+                n, d = held.setdefault((lang, source), (Counter(), Counter()))
+                n.update(terms)
+                d.update(set(terms))
+                n.pop(b"", None)
+            if sum(len(n) for n, _ in held.values()) > HELD:
+                yield from summed()
+        yield from summed()
+
+    parts = docs.mapInArrow(trimmed(run), "lang string, source string, term string, n long, d long")
+    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def share(n: Column, total: Column, terms: Column, added: int) -> Column:
