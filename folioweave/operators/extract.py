@@ -211,27 +211,104 @@ class Order:
 
 
 def admitted(rows) -> list[bool]:
-    """Which of the edges (src, dst, kind), in order, are kept: no repeats, no self loops, and, but for `restates`, none that closes a cycle among those kept."""
-    order, keep, seen = Order(), [], set()
-    for src, dst, kind in rows:
-        new = src != dst and (src, dst, kind) not in seen and (kind == "restates" or order.add(src, dst))
+    """Which of the edges (src, dst, kind, lone), in order, are kept: no repeats, no self loops, and, but for `restates`, none that closes a cycle among those kept. A lone one goes where its pair has an edge already."""
+    order, keep, seen, pairs = Order(), [], set(), set()
+    for src, dst, kind, *lone in rows:
+        new = src != dst and (src, dst, kind) not in seen and not (lone and lone[0] and (src, dst) in pairs) and (kind == "restates" or order.add(src, dst))
         if new:
             seen.add((src, dst, kind))
+            pairs.add((src, dst))
         keep.append(new)
     return keep
 
 
 def acyclic(edges: DataFrame, group: str = "doc") -> DataFrame:
-    """EDG-08: edges in order of (phase, place), each kept unless it closes a cycle among those kept; `restates` are exempt. What is kept depends on all before it, so a document is one group; its edges stay Arrow rows."""
+    """EDG-08: edges in order of (phase, place), each kept unless it closes a cycle among those kept; `restates` are exempt, and with a column `lone` those that have it give way to any edge of their pair. What is kept depends on all before it, so a document is one group; its edges stay Arrow rows."""
     order = ["phase", "place", "src", "dst", "kind"]
+    rule = ["src", "dst", "kind", *["lone"] * ("lone" in edges.columns)]
 
     def fold(table):
         table = table.sort_by([(c, "ascending") for c in order])
-        return table.filter(pa.array(admitted(zip(*(table.column(c).to_pylist() for c in ("src", "dst", "kind")), strict=True)), pa.bool_()))
+        return table.filter(pa.array(admitted(zip(*(table.column(c).to_pylist() for c in rule), strict=True)), pa.bool_()))
 
     return edges.groupBy(group).applyInArrow(fold, edges.schema)
 
 
+def title_pattern(title: Column) -> Column:
+    """EDG-04: the pattern of a result's title in a text: its words with white space or dashes between, without a last "theorem", "lemma" or "proposition"; a single word needs one behind it. Null where no word is left."""
+    words = F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    words = F.when(F.element_at(F.concat(F.array(F.lit("")), words), -1).isin("theorem", "lemma", "proposition"), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
+    tail = F.when(F.size(words) == 1, r"\s+(?:theorem|lemma|proposition)").otherwise(r"(?:\s+theorem)?")
+    return F.when(F.size(words) > 0, F.concat(F.lit(r"(?iU)\b"), F.array_join(words, r"[\s\-–]+"), tail, F.lit(r"\b")))
+
+
+def title_edges(nodes: DataFrame) -> DataFrame:
+    """EDG-04: bodies that name one titled result of their document, other than their own: depends_on, 0.85. Of titles with equal patterns that a body may mean, none is taken. nodes: doc, n, kind, title, body.
+
+    A title meets the bodies that hold its first word by that word and the bodies' ids only; the few pairs then fetch their body, and the pattern decides.
+    """
+    titled = nodes.where(F.col("kind").isin("theorem", "lemma", "proposition")).select("doc", F.col("n").alias("dst"), title_pattern(F.col("title")).alias("pattern")).where("pattern IS NOT NULL")
+    first = F.regexp_extract("pattern", r"^\(\?iU\)\\b([\p{L}\p{N}_]+)", 1)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    met = nodes.select("doc", F.col("n").alias("src"), F.explode(words).alias("part")).join(titled.withColumn("part", first), ["doc", "part"]).where("src <> dst").select("doc", "src", "dst", "pattern")
+    found = met.join(nodes.select("doc", F.col("n").alias("src"), "body"), ["doc", "src"]).where(F.regexp_like("body", F.col("pattern")))
+    one = found.groupBy("doc", "src", "pattern").agg(F.count(F.lit(1)).alias("_k"), F.min("dst").alias("dst")).where("_k = 1")
+    return one.select("doc", "src", "dst", F.lit("depends_on").alias("kind"), F.lit(NAMED).alias("confidence"))
+
+
+def symbol_edges(nodes: DataFrame) -> DataFrame:
+    """EDG-06: symbols with the last definition before that has the same symbol in the same role: uses_notation, 0.8. nodes: doc, n, kind, symbols (array of sym, role)."""
+    each = nodes.select("doc", "n", "kind", F.posexplode("symbols").alias("place", "s")).select("doc", "n", "kind", "place", "s.sym", "s.role")
+    uses = each.select("doc", "sym", "role", F.struct("n", "place").alias("src"), F.col("n").alias("at"))
+    defined = each.where("kind = 'definition'").select("doc", "sym", "role", F.col("n").alias("dst"), F.col("n").alias("at")).distinct()
+    last = relational.last_definition(uses, defined, ["doc", "sym", "role"], "at")
+    return last.groupBy("doc", F.col("src.n").alias("src"), "dst").agg(F.min("src.place").alias("place")).select("doc", "src", "dst", F.lit("uses_notation").alias("kind"), F.lit(SYMBOL).alias("confidence"), "place")
+
+
+def anchor_edges(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
+    """EDG-02, EDG-03: what a node's anchors say, the node being the smallest around an anchor: depends_on its target, 0.92; on the last lemma for "the previous lemma", 0.8; on it, or else on the node before, for "as above", 0.7. anchors: doc, page, surface, x0 to y1, target, place."""
+    known = anchors.withColumn("id", F.struct("doc", "place", "surface", "x0", "y0"))
+    owned = relational.owners(known, nodes.select("doc", "page", F.col("n").alias("id"), *relational.spatial.BOX, F.lit("").alias("name")), "edges").select("id", F.col("owner").alias("src"))
+    rows = known.join(owned, "id")
+    seen = relational.before(relational.before(nodes.select("doc", "n", "kind"), ["doc"], ["n"], "n", F.col("kind") == "lemma", "lemma"), ["doc"], ["n"], "n", None, "any")
+    rows = rows.join(seen.select("doc", F.col("n").alias("src"), "lemma", "any"), ["doc", "src"])
+    surface = F.lower("surface")
+    dst = F.when(surface.contains("previous lemma"), F.col("lemma")).when(surface.contains("as above"), F.coalesce("lemma", "any"))
+    confidence = F.when(surface.contains("previous lemma"), PREVIOUS).otherwise(ABOVE)
+    said = rows.where(dst.isNotNull()).select("doc", "src", dst.alias("dst"), confidence.alias("confidence"), F.lit(3).alias("phase"), F.lit(False).alias("lone"), "place")
+    target = rows.where("target IS NOT NULL").select("doc", "src", F.col("target").alias("dst"), F.lit(ANCHORED).alias("confidence"), F.lit(2).alias("phase"), F.lit(True).alias("lone"), "place")
+    both = target.unionByName(said).where("src <> dst")
+    # Of anchors that say the same only the first counts; the others could add nothing.
+    once = both.groupBy("doc", "src", "dst", "phase", "lone").agg(F.min(F.struct("place", "confidence")).alias("_f")).select("doc", "src", "dst", "phase", "lone", "_f.*")
+    place = F.row_number().over(Window.partitionBy("doc", "phase").orderBy("place", "src", "dst")).cast("long")
+    return once.select("doc", "src", "dst", F.lit("depends_on").alias("kind"), "confidence", "phase", "lone", place.alias("place"))
+
+
+def document_edges(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
+    """EDG-01 to EDG-06 as one set, admitted in order (EDG-08): doc, src, dst, kind, confidence, phase.
+
+    nodes: doc, n (order in the document, and id), kind, label, title, body, page, box, symbols. anchors as of
+    mentions.anchor_boxes(), with targets that are n. Labels come first, then targets of anchors (only where their pair has no edge),
+    soft references, titles, operators and terms (where the pair has none), and symbols.
+    """
+    wide = 1 << 20
+    by_src = (F.col("src").cast("long") * wide).alias("place")
+    phase = lambda df, k, lone, place=by_src: df.select("doc", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "kind", "confidence", F.lit(k).alias("phase"), F.lit(lone).alias("lone"), place)
+    said = anchor_edges(nodes, anchors)
+    parts = [
+        phase(label_edges(nodes), 1, False),
+        said.select("doc", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "kind", "confidence", "phase", "lone", "place"),
+        phase(title_edges(nodes), 4, False),
+        # A body's operators come before its terms.
+        phase(operator_edges(nodes), 5, True, (F.col("src").cast("long") * wide + F.when(F.col("confidence") == OPERATOR, 0).otherwise(1)).alias("place")),
+        phase(symbol_edges(nodes), 6, False, (F.col("src").cast("long") * wide + F.col("place")).alias("place")),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return acyclic(rows).drop("place", "lone")
+
+
 def assisted_edges(open_anchors: DataFrame, nodes: DataFrame, propose) -> DataFrame:
     """EDG-07: edges that a function proposes for unclaimed named anchors in batches of six; unknown ids and kinds go. propose: list of (src, surface) to list of (src, dst, kind)."""
     batched = aggregates.batches(open_anchors, ["doc"], ["src", "surface"], 6)

@@ -138,8 +138,8 @@ def before(df: DataFrame, keys: list[str], order: list[str], value: str, when: C
 
 def last_definition(uses: DataFrame, definitions: DataFrame, keys: list[str], order: str) -> DataFrame:
     """JN-12, JN-13: for each use (keys, order, src) the last definition (keys, order, dst) before it; a later one hides the earlier. One pass over both sides in order, so a frequent key costs a sort, not a product."""
-    d = definitions.select(*keys, F.col(order).alias("_o"), F.lit(1).alias("_side"), F.lit(None).cast(dict(uses.dtypes)["src"]).alias("src"), "dst")
-    u = uses.select(*keys, F.col(order).alias("_o"), F.lit(0).alias("_side"), "src", F.lit(None).cast(dict(definitions.dtypes)["dst"]).alias("dst"))
+    d = definitions.select(*keys, F.col(order).alias("_o"), F.lit(1).alias("_side"), F.lit(None).cast(uses.schema["src"].dataType).alias("src"), "dst")
+    u = uses.select(*keys, F.col(order).alias("_o"), F.lit(0).alias("_side"), "src", F.lit(None).cast(definitions.schema["dst"].dataType).alias("dst"))
     w = Window.partitionBy(*keys).orderBy("_o", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return d.unionByName(u).withColumn("dst", F.last("dst", ignorenulls=True).over(w)).where("_side = 0 AND dst IS NOT NULL").select(*keys, "src", "dst")
 

@@ -66,11 +66,11 @@ def marks(t: Tables) -> DataFrame:
     return t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.floor(F.col("l_partkey") / 50).alias("doc"), (F.col("l_linenumber") % 5 + 1).alias("page"), x.alias("x0"), y.alias("y0"), (x + 20).alias("x1"), (y + 10).alias("y1"), F.col("l_returnflag").alias("surface"))
 
 
-def statements(t: Tables) -> DataFrame:
+def statements(t: Tables, *more: str) -> DataFrame:
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    raw = t.lineitem.select(F.col("l_orderkey").alias("doc"), n.alias("n"), "l_partkey", "l_quantity").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    raw = t.lineitem.select(F.col("l_orderkey").alias("doc"), n.alias("n"), "l_partkey", "l_quantity", *more).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     word = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("n") % 4 + 1).cast("int"))
     body = (
         F.when(F.col("n") == 1, "Let x be given.")
@@ -80,4 +80,4 @@ def statements(t: Tables) -> DataFrame:
         .otherwise(F.concat(F.lit("It restates Lemma 2.1 for every "), "p_brand", F.lit(".")))
     )
     label = F.concat(word("Definition ", "Lemma ", "Theorem ", "Proposition "), (F.col("l_partkey") % 3 + 1).cast("string"), F.lit("."), F.col("n").cast("string"))
-    return raw.select("doc", "n", (F.floor(F.col("n") / 3) + 1).cast("int").alias("page"), word("definition", "lemma", "theorem", "proposition").alias("kind"), label.alias("label"), F.col("p_name").alias("title"), body.alias("body"))
+    return raw.select("doc", "n", (F.floor(F.col("n") / 3) + 1).cast("int").alias("page"), word("definition", "lemma", "theorem", "proposition").alias("kind"), label.alias("label"), F.col("p_name").alias("title"), body.alias("body"), *more)
