@@ -86,7 +86,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 8, scope: str | Non
 
     Queries and vectors of a scope are dealt into blocks of about BLOCK rows. Each block of queries meets each block of
     vectors in one task, as a product of matrices, which hands on the k best of each query. The work is that of an exact
-    search; on more vectors than that can be paid for, a search by graph takes its place.
+    search; where that can't be paid for, inverted_file.nearest_listed() looks into a few lists a query.
     """
     on = scope or "_all"
     a = queries.select("q", F.col("v").cast("array<double>").alias("v"), *([F.col(scope)] if scope else [F.lit(1).alias("_all")]))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..operators import inverted_file as I
 from ..operators import resolve as R
 from ..operators import retrieval as S
 from . import adapters as V
@@ -56,6 +57,14 @@ def knn_label(t):
     return S.nearest(v, v.withColumnRenamed("id", "q"), 8, "label", digits=9)
 
 
+@query("knn_inverted", "RET-03 JN-17 RES-01")
+def knn_inverted(t):
+    """Approximate, so without SQL: tested by its recall against all pairs, which comes with each row."""
+    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    found = I.nearest_listed(v, v.withColumnRenamed("id", "q"), 8, "label")
+    return found.hits.withColumn("recall", F.lit(found.recall))
+
+
 @query(
     "rank_fusion",
     "RET-04",
