@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.tables import saved, shared_dir
-from ..sources import readers, sinks
+from ..sources import pdf, readers, sinks
 from ..streaming import feeds
 from . import adapters as V
 from .registry import query
@@ -29,6 +29,41 @@ def merged_runs(t):
     return readers.merged_blanks(t.spark.read.schema(runs.schema).json(path)).select("doc", "text")
 
 
+#: What stands before a page's stream: objects 1, 2, 3 and 5, whose places are therefore known.
+PDF_HEAD = [
+    "%PDF-1.4\n",
+    "1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj\n",
+    "2 0 obj <</Type/Pages/Kids[3 0 R]/Count 1>> endobj\n",
+    "3 0 obj <</Type/Page/Parent 2 0 R/MediaBox[0 0 612 792]/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>> endobj\n",
+    "5 0 obj <</Type/Font/Subtype/Type1/BaseFont/Courier-Bold/Encoding/WinAnsiEncoding>> endobj\n",
+]
+
+
+def _pdf(content):
+    """The bytes of a file of one page, as a column."""
+    at = [sum(map(len, PDF_HEAD[:i])) for i in range(1, 6)]
+    places = "".join(f"{p:010d} 00000 n \n" for p in (at[0], at[1], at[2], at[4], at[3]))
+    body = F.concat(F.lit("4 0 obj <</Length "), F.length(content).cast("string"), F.lit(">> stream\n"), content, F.lit("\nendstream endobj\n"))
+    end = F.concat(F.lit("xref\n0 6\n0000000000 65535 f \n" + places + "trailer <</Size 6/Root 1 0 R>>\nstartxref\n"), (F.length(body) + at[4]).cast("string"), F.lit("\n%%EOF\n"))
+    return F.concat(F.lit("".join(PDF_HEAD)), body, end).cast("binary")
+
+
+@query(
+    "pdf_runs",
+    "SRC-01 SRC-02 ANC-05",
+    """SELECT p_partkey::VARCHAR AS doc, 0 AS line, p_name AS text, 72.0::DOUBLE AS x0, round(72 + 7.2 * length(p_name), 6)::DOUBLE AS x1, true AS bold FROM part
+UNION ALL SELECT p_partkey::VARCHAR, 1, p_brand || ' x', 72.0, round(72 + 7.2 * (length(p_brand) + 2), 6), true FROM part UNION ALL SELECT p_partkey::VARCHAR, NULL, 'code 129 of Courier-Bold', NULL, NULL, NULL FROM part WHERE p_size = 7""",
+)
+def pdf_runs(t):
+    odd = F.when(F.col("p_size") == 7, F.lit("0 -300 Td (\\201) Tj ")).otherwise("")
+    content = F.concat(F.lit("BT /F1 12 Tf 72 700 Td ("), "p_name", F.lit(") Tj 0 -14 Td [("), "p_brand", F.lit(") -600 (x)] TJ "), odd, F.lit("ET"))
+    files = t.part.select(F.col("p_partkey").cast("string").alias("path"), _pdf(content).alias("content"))
+    texts = pdf.page_texts(pdf.pages(files))
+    runs = pdf.runs(texts).where("line < 2").select("doc", "line", "text", "x0", F.round("x1", 6).alias("x1"), "bold")
+    none = pdf.problems(texts).select("doc", F.lit(None).cast("int").alias("line"), F.col("problem").alias("text"), F.lit(None).cast("double").alias("x0"), F.lit(None).cast("double").alias("x1"), F.lit(None).cast("boolean").alias("bold"))
+    return runs.unionByName(none)
+
+
 @query("title_overlay", "SRC-05", "SELECT p_partkey AS id, coalesce(CASE WHEN p_size < 25 THEN p_brand END, p_name) AS title FROM part")
 def title_overlay(t):
     docs = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
