@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tables
+
 
 def cost_by_stage(ledger: DataFrame, keep: Column | None = None) -> DataFrame:
     """AGG-01: calls, token sum and cost of each stage; keep is a null-safe filter (FLT-04)."""
@@ -100,13 +102,29 @@ def counts_by_kind(found: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
     return a.join(b, kind, "full").select(kind, F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("wanted", F.lit(0)).alias("wanted"))
 
 
+def at_places(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
+    """The value at place floor(share * n) of each key's ascending order (key, at): a distributed selection.
+
+    Counts of equal values are dealt by ranges of (key, value), so a key of many values is many ranges. Sums by range
+    tell which range holds a key's place; only that range's values are summed up in order. Nulls do not count.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    dealt = tables.saved(counts.repartitionByRange(F.col(key), F.col(value)).withColumn("_range", F.spark_partition_id()), "ranges")
+    # One row for each key and range.
+    sums = dealt.groupBy(key, "_range").agg(F.sum("_c").alias("_n"))
+    upto = sums.withColumn("_upto", F.sum("_n").over(Window.partitionBy(key).orderBy("_range"))).withColumn("_all", F.sum("_n").over(Window.partitionBy(key)))
+    place = F.floor(F.col("_all") * share)
+    holds = upto.where((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place)).select(F.col(key).alias("_key"), F.col("_range").alias("_held"), (place - F.col("_upto") + F.col("_n")).alias("_left"))
+    there = dealt.join(holds, dealt[key].eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_held")))
+    summed = there.withColumn("_upto", F.sum("_c").over(Window.partitionBy(key).orderBy(value)))
+    return summed.where("_upto > _left").groupBy(key).agg(F.min(value).alias("at"))
+
+
 def latency(df: DataFrame, key: str, value: str) -> DataFrame:
-    """AGG-19: least, greatest, mean and the value at place floor(0.95 n) of the ascending order, from counts of equal values."""
-    n = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
-    up = Window.partitionBy(key).orderBy(value)
-    ranked = n.withColumn("upto", F.sum("c").over(up)).withColumn("all", F.sum("c").over(Window.partitionBy(key)))
-    at = F.min(F.when(F.col("upto") > F.floor(F.col("all") * 0.95), F.col(value)))
-    return ranked.groupBy(key).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), 6).alias("mean"), at.alias("p95"))
+    """AGG-19: least, greatest, mean and the value at place floor(0.95 n) of the ascending order."""
+    whole = df.groupBy(key).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 6).alias("mean")).where("least IS NOT NULL")
+    p95 = at_places(df, key, value, 0.95).select(F.col(key).alias("_k"), F.col("at").alias("p95"))
+    return whole.join(p95, whole[key].eqNullSafe(F.col("_k"))).drop("_k")
 
 
 def cost_reduction(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions.numbers import stable_id
 from .tables import released, saved
+from .versions import Stale, Versions
 
 SURE = 0.8
 
@@ -94,22 +99,75 @@ def fingerprint(df: DataFrame, key: str) -> str:
     return f"{row['n']}-{row['x']}-{row['y']}-{row['m']}"
 
 
+def planned(versions: Versions, snapshot: DataFrame, key: str) -> dict:
+    """RES-07: what a plan remembers of its snapshot: its fingerprint and the version that it goes on from."""
+    return {"after": versions.latest()[0], "fingerprint": fingerprint(snapshot, key)}
+
+
+def committed(versions: Versions, plan: dict, snapshot: DataFrame, key: str, tables: dict[str, str]) -> int:
+    """RES-07: the plan's tables (name to path, written before) become the next version, if the snapshot is still the plan's and nobody else went on from its version; else Stale. Only one of racing plans gets through, since the version's file is made exclusively."""
+    if fingerprint(snapshot, key) != plan["fingerprint"]:
+        raise Stale("the snapshot is not that of the plan")
+    return versions.commit(plan["after"], {"fingerprint": plan["fingerprint"], "tables": tables})
+
+
 def evidence_holds(confidence: Column, evidence: Column, target: Column) -> Column:
     """RES-09: at least 0.9, with evidence of 16 characters or more that stands in the target, whatever the white space."""
     flat = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
     return (confidence >= 0.9) & (F.length(flat(evidence)) >= 16) & F.contains(flat(target), flat(evidence))
 
 
-def adjudicated(pairs: DataFrame, judge, schema: str = "verdict string, confidence double") -> DataFrame:
-    """UDF-02, UDF-03, UDF-04: decisions of a function of (left, right) text pairs to (verdict, confidence), run once for each distinct pair of texts, by partition."""
-    import pandas as pd
-
-    texts = pairs.select("left", "right").distinct()
-
-    def run(parts):
-        for part in parts:
-            out = [judge(a, b) for a, b in zip(part["left"], part["right"], strict=True)]
-            yield part.assign(verdict=pd.Series([x[0] for x in out], index=part.index, dtype=object), confidence=pd.Series([float(x[1]) for x in out], index=part.index, dtype=float))
-
-    known = texts.mapInPandas(run, "left string, right string, " + schema)
-    return pairs.join(known, ["left", "right"])
+def in_order(items, call, limit: int):
+    """UDF-04: call(item) of each item, in order, with at most `limit` calls under way. After the first error no call begins; those under way end, then it is raised."""
+    from collections import deque
+    from concurrent.futures import ThreadPoolExecutor, wait
+
+    under_way: deque = deque()
+    with ThreadPoolExecutor(limit) as pool:
+        try:
+            for item in items:
+                # A call that failed anywhere in the window ends the whole, not only when its turn comes.
+                if any(f.done() and f.exception() for f in under_way):
+                    break
+                if len(under_way) == limit:
+                    yield under_way.popleft().result()
+                under_way.append(pool.submit(call, item))
+            while under_way:
+                yield under_way.popleft().result()
+        finally:
+            wait(under_way)
+
+
+def adjudicated(pairs: DataFrame, judge, schema: str = "verdict string, confidence double", limit: int = 1, cache: str | None = None) -> DataFrame:
+    """UDF-02, UDF-03, UDF-04: decisions of a function of (left, right) text pairs to a row of schema, called once for each distinct pair of texts, by partition, with at most `limit` calls of a task under way.
+
+    cache: a folder of answers by the hash of what was asked. It is read before, so what it holds is not asked again, and
+    new answers are added once all are there; a failed run adds none. Without it answers last for this result only.
+    """
+    spark = pairs.sparkSession
+    key = F.sha2(F.to_json(F.struct(F.col("left").alias("l"), F.col("right").alias("r")), {"ignoreNullFields": "false"}), 256)
+    asked = pairs.select("left", "right").distinct().withColumn("asked", key)
+    answers = StructType.fromDDL(f"asked string, {schema}")
+    known = spark.createDataFrame([], answers)
+    if cache:
+        try:
+            # Runs side by side may have asked the same.
+            known = spark.read.schema(answers).parquet(cache).dropDuplicates(["asked"])
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    names = [f.name for f in answers]
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            out = list(in_order(rows, lambda r: (r[2], *judge(r[0], r[1])), limit))
+            columns = [[r[i] for r in out] for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, answers, strict=True)], names)
+
+    new = saved(asked.join(known, "asked", "left_anti").select("left", "right", "asked").mapInArrow(run, answers), "answers")
+    if cache:
+        new.write.mode("append").parquet(cache)
+    all_ = new.unionByName(known.join(asked, "asked", "left_semi")) if cache else new
+    # By the hash, which is never null, so null texts find their answer.
+    return pairs.withColumn("asked", key).join(all_, "asked").drop("asked")

@@ -57,6 +57,13 @@ class Staged:
 there: list[Staged] = []
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, which clear() deletes with the tables."""
+    path = f"{shared_dir(spark)}/folioweave/{label}-{uuid.uuid4().hex}"
+    there.append(Staged(spark, path, None))
+    return path
+
+
 def stage(df: DataFrame, label: str, by: list[str] | None = None) -> Staged:
     """Write df as Parquet (by: partition columns) and read it back."""
     spark = df.sparkSession

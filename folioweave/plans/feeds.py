@@ -1,10 +1,8 @@
 """Queries of sources, sinks and feeds."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..operators.tables import saved, shared_dir
+from ..operators.tables import folder, saved
 from ..sources import pdf, readers, sinks
 from ..streaming import feeds
 from . import adapters as V
@@ -12,8 +10,7 @@ from .registry import query
 
 
 def _folder(t, name: str) -> str:
-    """A new folder in the shared one."""
-    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return folder(t.spark, name)
 
 
 @query("whole_table", "SRC-04", "SELECT * FROM nation")

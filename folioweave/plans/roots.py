@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import extract, relational, resolve, roots
+from ..operators import extract, relational, resolve, roots, tables
+from ..operators.versions import Stale, Versions
 from ..sources import readers, sinks
 from . import adapters as V
 from .feeds import _folder
@@ -75,3 +76,18 @@ def fingerprint(t):
     again = resolve.fingerprint(t.part.repartition(7, "p_name"), "p_partkey")
     other = resolve.fingerprint(t.part.withColumn("p_size", F.col("p_size") + 1), "p_partkey")
     return t.spark.createDataFrame([(mark == again, mark == other)], "same boolean, other boolean")
+
+
+@query("committed_plan", "RES-07", "SELECT p_name AS entity, min(p_partkey) AS first, count(*)::BIGINT AS n FROM part GROUP BY p_name")
+def committed_plan(t):
+    """Of two plans on one snapshot the first is committed and the second refused, as is one on a changed snapshot; what the last version names is read."""
+    versions = Versions(t.spark, tables.folder(t.spark, "versions"))
+    snapshot, changed = t.part.select("p_partkey", "p_name"), t.part.where("p_partkey > 0").select("p_partkey", "p_name")
+    plans = [resolve.planned(versions, df, "p_partkey") for df in (snapshot, snapshot.repartition(5), changed)]
+    for plan, value in zip(plans, (F.min("p_partkey"), F.max("p_partkey"), F.max("p_partkey")), strict=True):
+        made = tables.stage(snapshot.groupBy(F.col("p_name").alias("entity")).agg(value.alias("first"), F.count("*").alias("n")), "entities")
+        try:
+            resolve.committed(versions, plan, snapshot, "p_partkey", {"entities": made.path})
+        except Stale:
+            made.drop()
+    return t.spark.read.parquet(versions.latest()[1]["tables"]["entities"])
