@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import aggregates, relational
+from . import aggregates, relational, tables
 
 # Kinds of numbered environments and what a heading word stands for.
 KINDS = ("Definition", "Theorem", "Lemma", "Proposition", "Corollary", "Example", "Notation")
@@ -75,10 +75,11 @@ def enriched(nodes: DataFrame, proposals: DataFrame) -> DataFrame:
 
 
 def required(df: DataFrame, what: str) -> DataFrame:
-    """EXT-05: raise instead of going on with nothing."""
-    if df.isEmpty():
+    """EXT-05: raise instead of going on with nothing. The rows are written once and looked at there, so their plan runs once."""
+    there = tables.saved(df, "required")
+    if there.isEmpty():
         raise ValueError(f"no {what}")
-    return df
+    return there
 
 
 def matches(lines: DataFrame, pattern: str, group: int = 0) -> Column:

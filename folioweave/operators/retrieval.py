@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from . import tables
 from .relational import small
 
 
@@ -64,14 +65,17 @@ def field_sizes(nodes: DataFrame, fields: list[str]) -> DataFrame:
 
 def bm25(postings: DataFrame, sizes: DataFrame, queries: DataFrame, boosts: dict[str, float], limit: int = 20, k1: float = 1.2, b: float = 0.75, digits: int | None = None) -> DataFrame:
     """RET-02: (q, id, score, rank), the best field's BM25 times its boost; digits: round scores before they are ranked. sizes: as field_sizes() has them. Terms are joined before anything else."""
-    asked = small(queries.select("q", F.explode(tokens(F.col("text"))).alias("w")).distinct())
-    there = postings.join(asked.select("w").distinct(), "w", "left_semi")
+    asked = tables.saved(queries.select("q", F.explode(tokens(F.col("text"))).alias("w")).distinct(), "asked")
+    few = asked.limit(100_000 // len(boosts) + 1).count() <= 100_000 // len(boosts)
+    light = lambda x: F.broadcast(x) if few else x  # noqa: E731  at most a row for each asked word and field
+    # The postings of the queries' words, written once: the corpus is cut into words once, for frequencies and scores alike.
+    there = tables.saved(postings.join(light(asked.select("w").distinct()), "w", "left_semi"), "postings")
     df = there.groupBy("field", "w").agg(F.count("*").alias("df"))
     weight = reduce(lambda x, f: x.when(F.col("field") == f, boosts[f]), list(boosts)[1:], F.when(F.col("field") == next(iter(boosts)), boosts[next(iter(boosts))])).otherwise(1.0)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
     # One row a field and word, and one a field: the sizes of both are bounded by the queries' words.
-    scored = there.join(small(df), ["field", "w"]).join(F.broadcast(sizes), "field").join(asked, "w")
+    scored = there.join(light(df), ["field", "w"]).join(F.broadcast(sizes), "field").join(light(asked), "w")
     fields = scored.groupBy("q", "id", "field").agg(F.sum(part).alias("s"))
     best = F.max("s") if digits is None else F.round(F.max("s"), digits)
     return ranked(fields.groupBy("q", "id").agg(best.alias("score")), ["q"], limit)
