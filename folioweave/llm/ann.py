@@ -13,7 +13,8 @@ queries search at once: the nearest nodes that were not expanded join the graph
 and the vectors, round by round, until the `width` nearest known are expanded.
 A sample of the queries is also answered by brute force. While the search finds
 too few of its true neighbours, the width doubles for all queries and the search
-goes on; a width of all nodes that still finds too few gives way to brute force.
+goes on, up to WIDEST times the first width, which bounds what a query holds; where
+that still finds too few, blocks of queries meet blocks of vectors in one exact pass.
 The last ranking takes exact distances of the original vectors, in double.
 
 Graph and search see the vectors scaled by one power of two, so that the largest
@@ -23,14 +24,13 @@ overflows or vanishes.
 
 Defined results: vectors that are null, zero, of another length than most or
 hold null or non-finite components take no part, as queries or candidates; ties
-go to the smaller id; rows that repeat an id are one row; fewer candidates than
-asked for are all returned; null ids take no part; other columns are ignored.
+go to the smaller id; rows that repeat an id are one row, with the least of their
+vectors that take part (by the first component that differs); fewer candidates
+than asked for are all returned; null ids take no part; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -41,9 +41,11 @@ from .store import stage, tune
 DEGREE, REVERSE, BLOCK, ENOUGH = 28, 20, 2048, 0.001
 #: The width to begin with.
 WIDTH, STEP = 420, 70
+#: Times the first width that a search may widen to.
+WIDEST = 32
 #: Recall that the sample of queries must reach, with two standard errors to spare.
 TARGET, SAMPLE = 0.9, 256
-#: Queries answered by brute force in one pass over the vectors.
+#: Queries, and vectors, of one block of the exact pass.
 CHUNK = 2048
 LISTS = "u long, ws array<long>, ds array<double>, new array<boolean>"
 #: Powers of two between the longest components of vectors that 32-bit numbers may hold.
@@ -54,7 +56,8 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """vec_id, v (array<double>) of the rows that take part."""
     v = F.col(vec_col).cast("array<double>")
     good = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: F.coalesce(x != 0, F.lit(False)))
-    rows = vectors.where(good).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v")).dropDuplicates(["vec_id"])
+    # Of an id's vectors the least one, whatever the order of the rows.
+    rows = vectors.where(good).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("v") == (size["n"] if size else 0))
 
@@ -261,7 +264,7 @@ def _update(dim: int, width: int, step: int):
 
 
 def brute_force(nodes: DataFrame, asked: list, dim: int, k: int) -> DataFrame:
-    """q, u, d: the k nearest other nodes of each of at most CHUNK asked rows (q, qvec), with squared distances."""
+    """q, u, d: the k nearest other nodes of each of the few asked rows (q, qvec), with squared distances."""
     ids = np.array([r["q"] for r in asked], np.int64)
     x = _rows([bytes(r["qvec"]) for r in asked], dim)
 
@@ -281,6 +284,32 @@ def brute_force(nodes: DataFrame, asked: list, dim: int, k: int) -> DataFrame:
     return near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "u"))).where(F.col("r") <= k).drop("r")
 
 
+def exact(nodes: DataFrame, asked: DataFrame, n_nodes: int, n_asked: int, dim: int, k: int) -> DataFrame:
+    """q, u: the k nearest other nodes of each asked node (q, qvec). Each block of queries meets each block of vectors in one task, which hands on k of each query; a vector is copied once for each block of queries."""
+    left, right = -(-n_asked // CHUNK), -(-n_nodes // CHUNK)
+    own = lambda c, n: F.pmod(F.xxhash64(c, F.lit("block")), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = asked.select(own("q", left).alias("x"), every(right).alias("y"), "q", "qvec")
+    b = nodes.select(every(left).alias("x"), own("u", right).alias("y"), "u", "vec")
+
+    def product(qs: pa.Table, us: pa.Table) -> pa.Table:
+        ids, u = qs["q"].to_numpy(), us["u"].to_numpy()
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(u):
+            x, y = _rows(qs["qvec"].to_pylist(), dim), _rows(us["vec"].to_pylist(), dim)
+            for i, one in enumerate(x):
+                d = ((y - one) ** 2).sum(1).astype(float)
+                d[u == ids[i]] = np.inf
+                order = np.lexsort((u, d))[:k]
+                order = order[d[order] < np.inf]
+                out.append((np.full(len(order), ids[i]), u[order], d[order]))
+        q, w, d = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"q": q, "u": w, "d": d})
+
+    near = a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInArrow(product, "q long, u long, d double")
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "u"))).where(F.col("r") <= k).select("q", "u")
+
+
 def recalls(nodes: DataFrame, states: DataFrame, dim: int, k: int, sample: int) -> np.ndarray:
     """Of each of a sample of queries the share of its k nearest nodes that its state holds; equally near ones count alike."""
     rows = states.orderBy(F.xxhash64("q"), "q").limit(sample).select("q", "qvec", F.slice("ids", 1, k + 1).alias("ids"), F.slice("ds", 1, k + 1).alias("ds")).collect()
@@ -332,14 +361,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     states = stage(start, "search-0")
     state_cols = "q long, qvec binary, ids array<long>, ds array<double>, done array<boolean>, expand array<long>"
     parts = max(8, -(-count // (4 * BLOCK)))
-    turn = 0
+    turn, widest = 0, WIDEST * width
     while True:
         if not states.df.where(F.size("expand") > 0).limit(1).count():
             found = recalls(nodes, states.df, dim, k, SAMPLE)
             # A sample of all queries has no error.
             error = found.std() / max(len(found), 1) ** 0.5 if len(found) == SAMPLE else 0.0
             reached = not len(found) or found.mean() - 2 * error >= TARGET
-            if reached or width >= count:
+            if reached or width >= min(count, widest):
                 break
             width, step = 2 * width, 2 * step
             wider = states.df.select("q", "qvec", "ids", "ds", F.transform("ids", lambda _, i: i < F.lit(step)).alias("done"), F.slice("ids", 1, step).alias("expand"))
@@ -354,11 +383,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
         states.drop()
         states = following
     if not reached:
-        # A query's node is in one chunk.
-        chunks = -(-asked.count() // (CHUNK // 2))
-        bucket = F.pmod(F.xxhash64("q", F.lit("chunk")), F.lit(chunks))
-        whole = [stage(brute_force(nodes, states.df.where(bucket == c).select("q", "qvec").collect(), dim, 2 * k + 2), "exact").df for c in range(chunks)]
-        near = reduce(DataFrame.unionByName, whole).groupBy("q").agg(F.collect_list("u").alias("ids"))
+        near = exact(nodes, states.df.select("q", "qvec"), count, asked.count(), dim, 2 * k + 2).groupBy("q").agg(F.collect_list("u").alias("ids"))
         states = stage(asked.join(near, "q", "left").select("q", F.coalesce("ids", empty).alias("ids")), "search-exact")
     # Nodes to their smallest ids: a query may need k of a node's, beside its own.
     members = node_of.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("vec_id"))).where(F.col("r") <= k + 1).select("u", "vec_id")

@@ -271,6 +271,46 @@ def test_nearest_widens_until_a_sample_is_found(spark, monkeypatch):
     assert found() == want
 
 
+def test_repeated_ids_take_the_least_vector(spark):
+    """Whatever the order of the rows, and again in SQL."""
+    import duckdb
+
+    from folioweave.llm import queries
+
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(120) for _ in range(1 + i % 3)] + [(5, None), (5, [0.0] * 6), (7, [float("nan")] * 6)]
+    least = {}
+    for i, v in rows:
+        if v is not None and any(v) and all(map(math.isfinite, v)):
+            least[i] = min(least.get(i, v), v)
+    results = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1 + seed)
+        results.append(sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 100 == 0, 5).collect())))
+    assert results[0] == results[1] and len(results[0]) == 10
+    for q, _, i, score in results[0]:
+        assert abs(score - math.dist(least[q], least[i])) < 1e-12
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": pa.array([i for i, _ in rows], pa.int64()), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float64()))}))
+    sql = {(q, i) for q, _, i, _ in con.sql(queries.OP3_SQL.replace("rank <= 10", "rank <= 5").replace("vec_id % 100", "vec_id % 100")).select("query_id", "rank", "vec_id", "score").fetchall()}
+    assert sql == {(q, i) for q, _, i, _ in results[0]}
+
+
+def test_widening_ends_and_the_exact_pass_takes_over(spark, monkeypatch):
+    """At most WIDEST times the first width is held; blocks of queries meet blocks of vectors."""
+    monkeypatch.setattr(ann, "TARGET", 2.0)
+    monkeypatch.setattr(ann, "WIDEST", 2)
+    monkeypatch.setattr(ann, "CHUNK", 16)
+    x = np.random.default_rng(12).normal(size=(150, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(df, F.col("vec_id") % 4 == 0, 6, width=8, step=2).collect()}
+    for q in range(0, 150, 4):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [got[q, r + 1] for r in range(6)] == np.argsort(d)[:6].tolist()
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e20, 1e-25, 1e39, 1e150, 1e-150, "mixed"])
 def test_nearest_at_all_magnitudes(spark, scale):
     x = np.random.default_rng(8).normal(size=(60, 8))
