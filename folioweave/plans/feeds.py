@@ -1,5 +1,7 @@
 """Queries of sources, sinks and feeds."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from ..operators.tables import folder, saved
@@ -7,6 +9,19 @@ from ..sources import pdf, readers, sinks
 from ..streaming import feeds
 from . import adapters as V
 from .registry import query
+from .scalars import BUDGET
+
+
+@contextmanager
+def rocks_db(spark):
+    """Keyed state needs this store; the session's own setting comes back behind the stream."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def _folder(t, name: str) -> str:
@@ -129,6 +144,24 @@ def progress_stream(t):
     return sinks.latest(sent, "user_id", "ts").select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+@query("spending_stream", "STM-05 UDF-01", f"WITH RECURSIVE {BUDGET} SELECT user_id, \"at\", id, kind, amount, outcome, committed FROM b WHERE k > 0")
+def spending_stream(t):
+    """budget_log as a stream: events arrive out of order in three batches, and a batch far ahead moves the watermark over all of them."""
+    e = t.events.select("user_id", F.col("event_id").alias("at"), (F.col("event_id") % 5).alias("id"), F.when(F.col("event_type").isin("click", "view"), "reserve").otherwise("settle").alias("kind"), F.floor(F.col("value") * 100).alias("amount"))
+    rows = e.select(F.col("user_id").cast("long").alias("user_id"), (F.col("at") + 1).cast("long").alias("at"), F.col("id").cast("long").alias("id"), "kind", F.col("amount").cast("long").alias("amount"))
+    path = folder(t.spark, "spending")
+    for i in range(3):
+        rows.where(F.pmod(F.xxhash64("at"), F.lit(3)) == i).coalesce(1).write.mode("append").json(f"{path}/in")
+    ahead = t.spark.range(2).select(F.lit(-1).cast("long").alias("user_id"), (F.lit(10**12) + F.col("id")).alias("at"), F.col("id"), F.lit("reserve").alias("kind"), F.lit(1).cast("long").alias("amount"))
+    for i in range(2):
+        ahead.where(F.col("id") == i).coalesce(1).write.mode("append").json(f"{path}/in")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(f"{path}/in")
+    with rocks_db(t.spark):
+        out = feeds.spending_stream(stream, "user_id", 100_000, late="30 days")
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{path}/out").where("key >= 0").withColumnRenamed("key", "user_id").withColumn("at", F.col("at") - 1)
+
+
 @query("without_documents", "SNK-06", "SELECT o_orderkey AS doc_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def without_documents(t):
     gone = t.customer.where("c_mktsegment = 'BUILDING'").join(t.orders, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("doc_id"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..operators.ledger import Budget
 from ..sources.sinks import changed, latest
 
 # Stages after which nothing more comes.
@@ -79,6 +80,63 @@ def dwell_stream(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("node_id").transformWithStateInPandas(Dwell(), "node_id long, dwell_ms long, seen boolean", "Update", "None")
 
 
+class Spending(StatefulProcessor):
+    """STM-05, UDF-01 as keyed state: what a budget has committed, its reservations by id, and the events that wait for the watermark.
+
+    Events wait until the watermark has passed them and then count in the order of their time, so batches that arrive
+    shuffled or twice within the lateness give the outcomes of one ordered pass. A timer stands at each waiting time.
+    """
+
+    def __init__(self, limit: int, opening: int):
+        self.limit, self.opening = limit, opening
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.budget = handle.getValueState("budget", "spent long, enabled boolean")
+        self.open = handle.getMapState("open", "id long", "most long, settled boolean")
+        self.waiting = handle.getMapState("waiting", "at long, id long, kind string, amount long", "n int")
+
+    def handleInputRows(self, key, rows, timer_values):
+        times = set()
+        for part in rows:
+            for at, id_, kind, amount in zip(part["at"].astype("int64"), part["id"], part["kind"], part["amount"], strict=True):
+                self.waiting.updateValue((int(at), int(id_), str(kind), int(amount)), (1,))
+                times.add(int(at))
+        for at in times:
+            self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted(k for k in self.waiting.keys() if k[0] <= now)
+        spent, enabled = self.budget.get() if self.budget.exists() else (self.opening, True)
+        b, out = Budget(self.limit, spent, enabled), []
+        for at, id_, kind, amount in due:
+            if self.open.containsKey((id_,)):
+                most, settled = self.open.getValue((id_,))
+                b.open[id_] = None if settled else most
+            outcome = b.reserve(id_, amount) if kind == "reserve" else b.settle(id_, amount)
+            if id_ in b.open:
+                most = b.open[id_]
+                self.open.updateValue((id_,), (most or 0, most is None))
+            out.append((key[0], at, id_, kind, amount, outcome, b.spent))
+            self.waiting.removeKey((at, id_, kind, amount))
+        self.budget.update((b.spent, b.enabled))
+        yield pd.DataFrame(out, columns=["key", "at", "id", "kind", "amount", "outcome", "committed"])
+
+    def close(self) -> None:
+        pass
+
+
+def spending_stream(events: DataFrame, key: str, limit: int, opening: int = 0, late: str = "1 hour") -> DataFrame:
+    """STM-05: outcomes of reservations and settlements, as ledger.budget_log() has them. events: key (long), at (milliseconds), id, kind, amount; those that come later than `late` behind the newest are left out, and of equal events one counts. Needs the RocksDB state store."""
+    timed = events.select(F.col(key).cast("long").alias("key"), F.col("at").cast("long").alias("at"), F.col("id").cast("long").alias("id"), "kind", F.col("amount").cast("long").alias("amount"), F.timestamp_millis("at").alias("ts"))
+    out = "key long, at long, id long, kind string, amount long, outcome string, committed long"
+    return timed.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(Spending(limit, opening), out, "Append", "EventTime")
+
+
 def reader_state(events: DataFrame, key: list[str]) -> DataFrame:
     """STM-03: hovers, whether known (an odd number of toggles) and seen (known ones are)."""
     out = events.groupBy(*key).agg(F.count_if(F.col("kind") == "hover").alias("hover_count"), (F.count_if(F.col("kind") == "toggle") % 2 == 1).alias("known"), (F.count_if(F.col("kind") == "seen") > 0).alias("_seen"))
