@@ -1,4 +1,4 @@
 """All queries: importing the modules registers them."""
 
-from . import aggregates, extract, feeds, graph, relational, retrieval, roots, scalars  # noqa: F401
+from . import aggregates, checks, extract, feeds, graph, relational, retrieval, roots, scalars  # noqa: F401
 from .registry import IDS, QUERIES, SQL  # noqa: F401
