@@ -28,9 +28,9 @@ def _folder(t, name: str) -> str:
     return folder(t.spark, name)
 
 
-@query("whole_table", "SRC-04", "SELECT * FROM nation")
+@query("whole_table", "SRC-04", "SELECT * FROM customer")
 def whole_table(t):
-    return readers.table(t.spark, t.folder, "nation")
+    return readers.table(t.spark, t.folder, "customer")
 
 
 @query("merged_runs", "SRC-01 SNK-11", f"WITH {V.TURNS}, r AS (SELECT doc, pos, count(*) FILTER (length(statement) >= 200) OVER (PARTITION BY doc ORDER BY pos) AS g, CASE WHEN length(statement) < 200 THEN ' ' ELSE statement END AS x FROM turns) SELECT doc::VARCHAR AS doc, string_agg(x, '' ORDER BY pos) AS text FROM r WHERE g > 0 GROUP BY doc, g")
@@ -115,11 +115,11 @@ def upserted_rows(t):
     return sinks.upserted(one, two.select(one.columns), ["o_custkey"], "o_orderdate")
 
 
-@query("strengthened_edges", "SNK-03", "WITH a AS (SELECT l_partkey AS src, l_suppkey AS dst, 'k' AS kind, 'old' AS extractor, max(l_discount) AS confidence FROM lineitem WHERE l_linenumber < 4 GROUP BY ALL), b AS (SELECT l_partkey AS src, l_suppkey AS dst, 'k' AS kind, 'new' AS extractor, max(l_tax) AS confidence FROM lineitem GROUP BY ALL) SELECT src, dst, kind, coalesce(a.extractor, b.extractor) AS extractor, greatest(a.confidence, b.confidence) AS confidence FROM a FULL JOIN b USING (src, dst, kind)")
+@query("strengthened_edges", "SNK-03", "WITH a AS (SELECT l_partkey AS src, l_suppkey AS dst, 'k' AS kind, 'old' AS extractor, max(l_discount) AS confidence FROM lineitem GROUP BY ALL), b AS (SELECT l_partkey AS src, l_suppkey + (l_quantity > 25)::INT AS dst, 'k' AS kind, 'new' AS extractor, max(l_tax) AS confidence FROM lineitem GROUP BY ALL) SELECT src, dst, kind, coalesce(a.extractor, b.extractor) AS extractor, greatest(a.confidence, b.confidence) AS confidence FROM a FULL JOIN b USING (src, dst, kind)")
 def strengthened_edges(t):
-    rows = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("k").alias("kind"), "l_discount", "l_tax", "l_linenumber")
-    a = rows.where("l_linenumber < 4").groupBy("src", "dst", "kind").agg(F.max("l_discount").alias("confidence")).withColumn("extractor", F.lit("old"))
-    b = rows.groupBy("src", "dst", "kind").agg(F.max("l_tax").alias("confidence")).withColumn("extractor", F.lit("new"))
+    rows = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("k").alias("kind"), "l_discount", "l_tax", "l_quantity")
+    a = rows.groupBy("src", "dst", "kind").agg(F.max("l_discount").alias("confidence")).withColumn("extractor", F.lit("old"))
+    b = rows.withColumn("dst", F.col("dst") + (F.col("l_quantity") > 25).cast("int")).groupBy("src", "dst", "kind").agg(F.max("l_tax").alias("confidence")).withColumn("extractor", F.lit("new"))
     return sinks.strengthened(a, b)
 
 
@@ -168,18 +168,18 @@ def without_documents(t):
     return sinks.without_documents({"o": t.orders.select(F.col("o_orderkey").alias("doc_id"))}, gone)["o"]
 
 
-@query("snapshot", "SNK-07 SNK-13", "SELECT r_regionkey, r_name FROM region")
+@query("snapshot", "SNK-07 SNK-13", "SELECT c_custkey, c_name FROM customer")
 def snapshot(t):
     folder = _folder(t, "snapshot")
     for _ in range(2):
-        sinks.snapshot({"region": t.region}, folder)
-    return readers.table(t.spark, folder, "region").select("r_regionkey", "r_name")
+        sinks.snapshot({"customer": t.customer}, folder)
+    return readers.table(t.spark, folder, "customer").select("c_custkey", "c_name")
 
 
-@query("purged", "SNK-15", "SELECT 'nation' AS table, count(*) AS rows FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+@query("purged", "SNK-15", "SELECT 'customer' AS table, count(*) AS rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders")
 def purged(t):
     folder = _folder(t, "purge")
-    sinks.snapshot({"region": t.region, "nation": t.nation, "ledger": V.ledger(t)}, folder)
+    sinks.snapshot({"customer": t.customer, "orders": t.orders, "ledger": V.ledger(t)}, folder)
     out = sinks.purge(t.spark, folder)
     if readers.table(t.spark, folder, "ledger").isEmpty():
         raise ValueError("the ledger went, too")

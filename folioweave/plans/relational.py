@@ -66,10 +66,10 @@ def canonical_nodes(t):
     return R.canonical(*_entities(t)).withColumn("node", F.col("node").cast("long"))
 
 
-@query("root_candidates", "JN-04", f"WITH {CANON} SELECT id FROM n WHERE id IN (SELECT coalesce(CASE WHEN l_quantity < 10 THEN l_partkey END, canonical_node) FROM lineitem JOIN part ON p_partkey = l_suppkey LEFT JOIN e ON entity = p_name)")
+@query("root_candidates", "JN-04", f"WITH {CANON} SELECT id FROM n WHERE id IN (SELECT coalesce(CASE WHEN l_quantity < 10 THEN l_partkey END, canonical_node) FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN e ON entity = p_name)")
 def root_candidates(t):
     entities, nodes = _entities(t)
-    anchors = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_suppkey")).select(F.when(F.col("l_quantity") < 10, F.col("l_partkey")).alias("node"), F.col("p_name").alias("entity"))
+    anchors = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(F.when(F.col("l_quantity") < 10, F.col("l_partkey")).alias("node"), F.col("p_name").alias("entity"))
     return R.root_candidates(nodes, anchors, entities).select("id")
 
 

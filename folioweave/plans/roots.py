@@ -43,24 +43,25 @@ def refined_anchors(t):
     return extract.refined(b, g).select("id", "x0")
 
 
-@query("golden_nodes", "SRC-03 SNK-08 ARR-01", "SELECT n_nationkey::VARCHAR AS id, n_name AS label, n_regionkey::VARCHAR AS doc_id FROM nation")
+@query("golden_nodes", "SRC-03 SNK-08 ARR-01", "SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS label, o_custkey::VARCHAR AS doc_id FROM orders")
 def golden_nodes(t):
-    """Regions as documents with their nations as nodes, written as one JSON object a line and read as golden files."""
-    node = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_regionkey").cast("string").alias("doc_id"), F.lit("theorem").alias("kind"), F.col("n_name").alias("label"))
-    docs = t.nation.groupBy("n_regionkey").agg(F.collect_list(node).alias("nodes")).select(F.struct(F.col("n_regionkey").cast("string").alias("id")).alias("document"), "nodes", "n_regionkey")
+    """Customers as documents with their orders as nodes, written as one JSON object a line and read as golden files."""
+    node = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("doc_id"), F.lit("theorem").alias("kind"), F.col("o_orderpriority").alias("label"))
+    docs = t.orders.groupBy("o_custkey").agg(F.collect_list(node).alias("nodes")).select(F.struct(F.col("o_custkey").cast("string").alias("id")).alias("document"), "nodes", "o_custkey")
     path = _folder(t, "golden")
-    docs.repartition(5, "n_regionkey").drop("n_regionkey").write.partitionBy().json(path)
+    docs.drop("o_custkey").write.json(path)
     raw = t.spark.read.schema(readers.GOLDEN).json(path)
     return raw.select(F.explode("nodes").alias("x")).select("x.id", "x.label", "x.doc_id")
 
 
-@query("manifest_edges", "SRC-11", "SELECT n_name AS src, r_name AS dst, 'depends_on' AS kind, n_nationkey::VARCHAR AS evidence FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("manifest_edges", "SRC-11", "SELECT o_orderkey::VARCHAR AS src, o_custkey::VARCHAR AS dst, 'depends_on' AS kind, o_orderstatus AS evidence FROM orders")
 def manifest_edges(t):
-    row = F.array("n_name", "r_name", F.lit("depends_on"), F.col("n_nationkey").cast("string"))
+    """A manifest a customer, one object a line."""
+    row = F.array(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.lit("depends_on"), "o_orderstatus")
     path = _folder(t, "manifest")
-    edges = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy().agg(F.collect_list(row).alias("edges"))
+    edges = t.orders.groupBy("o_custkey").agg(F.collect_list(row).alias("edges")).drop("o_custkey")
     sinks.write_lines(edges.withColumn("version", F.lit(1)), path)
-    return readers.manifest(t.spark, path)
+    return readers.manifest(t.spark, path, lines=True)
 
 
 @query("limited_hits", "FLT-06 LIM-01 DAT-01", "SELECT c_custkey, c_acctbal, true AS fresh FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50")

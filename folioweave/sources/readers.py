@@ -87,9 +87,9 @@ def rough_nodes(items: DataFrame, pattern: str, least: int = 30) -> DataFrame:
     return out.where(F.regexp_like("text", F.lit(pattern)))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-11: expected edges (src, dst, kind, evidence) of evaluation files."""
-    raw = spark.read.schema("version int, source string, scope string, source_sha256 string, edges array<array<string>>").option("multiLine", True).json(path)
+def manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """SRC-11: expected edges (src, dst, kind, evidence) of evaluation files; lines: of files with an object a line."""
+    raw = spark.read.schema("version int, source string, scope string, source_sha256 string, edges array<array<string>>").option("multiLine", not lines).json(path)
     names = ("src", "dst", "kind", "evidence")
     return raw.select(F.explode("edges").alias("e")).select(*[F.col("e")[i].alias(n) for i, n in enumerate(names)])
 
