@@ -18,7 +18,8 @@ items there are. Both ways give the same rows.
 
 Defined results: null texts are empty; items without words are contained in
 nothing; an item of fewer than n words is one shingle of that many words; rows
-that repeat give repeated results; other columns are ignored.
+that repeat give repeated results, and null ids stay null; texts may have any
+length and are searched whole; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -46,11 +46,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist(), strict=True):
-                terms = text.translate(LETTERS).split(b" ")
+                terms = text.translate(LETTERS).split()
                 n, d = held.setdefault((lang, source), (Counter(), Counter()))
                 n.update(terms)
                 d.update(set(terms))
-                n.pop(b"", None)
             if sum(len(n) for n, _ in held.values()) > HELD:
                 yield from summed()
         yield from summed()

@@ -5,7 +5,8 @@ id, or of one id, spread. Each group sends each of its distinct keys once,
 whatever the number of documents that hold it, so a key that a third of all
 documents share costs one entry per group. Keys travel as
 sorted, delta-coded blocks, one row for each (group, bucket); a bucket's reducer
-answers each group. Work and traffic are linear in the text.
+answers each group. Keys are linear in the text; blocks are as many as groups times
+buckets, which is their square: 5e5 at 30 GB, and what bounds this form beyond a few TB.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ the span. Base phrases are found as consecutive words.
 Words are runs of 0-9, a-z (after lower-casing A-Z) and non-ASCII characters.
 
 Defined results: null text is empty and has no words; each row is scanned by
-itself, so repeated rows give repeated results; other columns are ignored.
+itself, so repeated rows give repeated results, and null ids stay null; texts may
+have any length; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ Pieces get their places from their rank among the pieces of equal length: each
 input partition counts its own, and the partitions' counts are summed before.
 
 Defined results: null text is empty and holds the end id alone; rows that repeat
-are packed each by itself; null ids stay null; an empty table gives no rows.
+are packed each by itself; null ids stay null; texts may have any length and only
+those of over `length` tokens are cut; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

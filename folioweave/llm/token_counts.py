@@ -19,8 +19,9 @@ with the logarithm of the chunks. Then a parallel prefix scan composes the maps:
 pointers and counts double their reach each round.
 
 Defined results: null and empty texts have no bytes and no tokens; each row is
-counted by itself; other columns are ignored; special strings inside texts are
-plain text, as the library has it.
+counted by itself, also where ids are null or repeat; texts may have any length;
+other columns are ignored; special strings inside texts are plain text, as the
+library has it.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ A file holds rows (part, shard, n_tokens, doc_ids, without_id, lengths, wavelet)
 documents stand in ascending id, over parts and shards. Parquet compresses the planes.
 
 Defined results: null text is empty and holds the end id alone, null ids come
-first, rows that repeat are stored each by itself, an empty table has no shards.
+first, rows that repeat are stored each by itself, texts may have any length,
+other columns are ignored, an empty table has no shards.
 """
 
 from __future__ import annotations
