@@ -37,20 +37,6 @@ def radius(rank: Column) -> Column:
     return F.lit(4.0) + F.sqrt(rank) * 28
 
 
-def token_cost(tokens: dict[str, Column], prices: dict[str, Column]) -> Column:
-    """NUM-01: USD of token counts at prices per million; null where a count is negative."""
-    total, ok = F.lit(0.0), F.lit(True)
-    for name, n in tokens.items():
-        total, ok = total + n * prices[name], ok & (n >= 0)
-    return F.when(ok, total / 1_000_000)
-
-
-def own_input(total: Column, cached: Column, writes: Column) -> Column:
-    """NUM-02: input tokens that were neither cached nor written to the cache; raises where they exceed the total."""
-    rest = total - F.coalesce(cached, F.lit(0)) - F.coalesce(writes, F.lit(0))
-    return F.when(rest >= 0, rest).otherwise(F.raise_error(F.lit("cached tokens exceed the input")).cast("long"))
-
-
 def micro_usd(usd: Column) -> Column:
     """NUM-03: rounded up; by way of decimals, so that 0.1 is 100000."""
     return F.ceil(usd.cast("decimal(18,9)") * 1000000).cast("long")

@@ -146,12 +146,6 @@ def wants_expansion(query: Column, hits: Column) -> Column:
     return (hits == 0) & (F.length(query) <= 80) & (F.size(F.split(F.trim(query), r"\s+")) <= 5)
 
 
-def expanded(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """RET-05: queries with the synonyms (w, also) of their words behind."""
-    more = queries.select("q", F.explode(tokens(F.col("text"))).alias("w")).join(synonyms, "w").groupBy("q").agg(F.concat_ws(" ", F.sort_array(F.collect_set("also"))).alias("more"))
-    return queries.join(more, "q", "left").select("q", F.concat_ws(" ", "text", "more").alias("text"))
-
-
 def checked_scope(hits: DataFrame, allowed: DataFrame) -> DataFrame:
     """RET-06: hits of allowed corpora; raises at the first other one."""
     marked = hits.join(allowed.select("corpus").distinct().withColumn("_ok", F.lit(True)), "corpus", "left")
@@ -163,8 +157,3 @@ def fan_out(hits: DataFrame, limit: int, merge: bool = False) -> DataFrame:
     if merge:
         return ranked(hits, ["q"], limit)
     return ranked(hits, ["q", "corpus"], limit)
-
-
-def hybrid(nodes: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """Lexical and dense rankings, fused. queries: q, text, v."""
-    return fused([lexical(nodes, queries, max(50, limit)), nearest(vectors, queries.select("q", "v"), max(50, limit))], limit)

@@ -41,8 +41,3 @@ def anchor_roots(anchors: DataFrame, requests: DataFrame) -> DataFrame:
     a = anchors.where("target IS NOT NULL").select("doc", "page", _normal("surface").alias("s"), "target", "identity").where("s <> ''")
     found = a.join(asked, "doc").where(F.col("at").isNull() | (F.col("page") == F.col("at"))).where(F.expr("instr(selection, s) > 0")).where(S.mentioned(F.col("selection"), F.col("s")))
     return found.groupBy("request", "s").agg(F.countDistinct("identity").alias("n"), F.min("target").alias("id")).where("n = 1").select("request", "id").distinct()
-
-
-def roots(nodes: DataFrame, anchors: DataFrame, requests: DataFrame) -> DataFrame:
-    """All of them."""
-    return named_roots(nodes, requests).unionByName(passage_roots(nodes, requests)).unionByName(anchor_roots(anchors, requests)).distinct()

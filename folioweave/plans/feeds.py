@@ -168,7 +168,18 @@ def without_documents(t):
     return sinks.without_documents({"o": t.orders.select(F.col("o_orderkey").alias("doc_id"))}, gone)["o"]
 
 
-@query("snapshot", "SNK-07 SNK-13", "SELECT c_custkey, c_name FROM customer")
+@query("appended_ledger", "SNK-13", f"WITH {V.LEDGER} SELECT id, stage, cost FROM ledger")
+def appended_ledger(t):
+    """Calls by stage, each appended behind those that are there."""
+    path = folder(t.spark, "ledger")
+    rows = V.ledger(t).select("id", "stage", "cost")
+    for stage in ("click", "view"):
+        sinks.appended(rows.where(F.col("stage") == stage), path)
+    sinks.appended(rows.where(~F.coalesce(F.col("stage").isin("click", "view"), F.lit(False))), path)
+    return t.spark.read.parquet(path)
+
+
+@query("snapshot", "SNK-07", "SELECT c_custkey, c_name FROM customer")
 def snapshot(t):
     folder = _folder(t, "snapshot")
     for _ in range(2):

@@ -95,9 +95,18 @@ def rank_fusion(t):
     return S.ranked(hits, ["q"], 20)
 
 
-@query("expansion_gate", "RET-05", "SELECT conv_id, turn, length(text) <= 80 AND len(string_split_regex(trim(text, ' '), '\\s+')) <= 5 AS expand FROM conversations")
+@query(
+    "expansion_gate",
+    "RET-05 RET-01",
+    f"""WITH h AS (SELECT list(DISTINCT w) AS known FROM (SELECT unnest({WORDS.replace('text', 'p_name')}) AS w FROM part))
+SELECT conv_id, turn, length(text) <= 80 AND len(string_split_regex(trim(text, ' '), '\\s+')) <= 5 AND len(list_intersect({WORDS}, known)) = 0 AS expand FROM conversations, h""",
+)
 def expansion_gate(t):
-    return t.conversations.select("conv_id", "turn", S.wants_expansion(F.col("text"), F.lit(0)).alias("expand"))
+    """Turns as queries against the names of parts: those without any hit may be expanded."""
+    asked = t.conversations.select(F.struct("conv_id", "turn").alias("q"), "conv_id", "turn", "text")
+    names = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    hits = S.overlap(names, asked.select("q", "text")).groupBy("q").agg(F.count("*").alias("hits"))
+    return asked.join(hits, "q", "left").select("conv_id", "turn", S.wants_expansion(F.col("text"), F.coalesce("hits", F.lit(0))).alias("expand"))
 
 
 @query("fan_out", "RET-07 RET-06", f"WITH {LEX}, c AS (SELECT q, l.id, score, source AS corpus FROM l JOIN documents ON doc_id = l.id) SELECT q, corpus, id, score, row_number() OVER (PARTITION BY q, corpus ORDER BY score DESC, id)::INT AS rank FROM c QUALIFY rank <= 5")

@@ -29,8 +29,8 @@ def finished(state: DataFrame) -> bool:
     return state.where(~F.col("stage").isin(*TERMINAL)).isEmpty()
 
 
-def emit_changes(stream: DataFrame, keys: list[str], at: str, send: Callable[[DataFrame, int], None], checkpoint: str, state_path: str):
-    """STM-01, SNK-14: start a query that sends, by micro-batch, the rows that changed against the stored state; the state is written under the batch's number, so a repeated batch compares with the same one."""
+def emit_changes(stream: DataFrame, keys: list[str], at: str, send: Callable[[DataFrame, int], None], checkpoint: str, state_path: str, every: str | None = None):
+    """STM-01, SNK-14: start a query that sends, by micro-batch, the rows that changed against the stored state; the state is written under the batch's number, so a repeated batch compares with the same one. It ends with what is there; every: it goes on, a batch each such time (see until_finished)."""
     spark = stream.sparkSession
     schema = stream.schema
 
@@ -40,7 +40,19 @@ def emit_changes(stream: DataFrame, keys: list[str], at: str, send: Callable[[Da
         now.write.mode("overwrite").parquet(f"{state_path}/{number}")
         send(changed(before, spark.read.schema(schema).parquet(f"{state_path}/{number}"), keys), number)
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def until_finished(run, state: Callable[[], DataFrame | None], poll: float = 1.0) -> None:
+    """STM-01: waits while any document of the state is under way, then lets what has arrived go through and ends the query. state gives the state that was sent so far, or None before the first batch."""
+    while not run.awaitTermination(poll):
+        now = state()
+        if now is not None and not now.isEmpty() and finished(now):
+            run.processAllAvailable()
+            if finished(state()):
+                run.stop()
+                return
 
 
 def dwell(ticks: DataFrame, keys: list[str], at: str) -> DataFrame:
