@@ -11,8 +11,9 @@ A point, or a box that has to lie inside of another one, is in one tile of each
 class, so no pair comes twice. Boxes that overlap are compared on the coarser of
 their two classes, and only in the tile of the lower corner of what they share.
 
-The classes of one side are one row of at most CLASSES squared entries, which
-goes to all tasks. Boxes without a coordinate, or turned around, meet nothing.
+Where boxes that may contain others are FEW on a page, the page is one tile;
+else rows probe the classes that its boxes have. For overlaps the classes of one
+side are one row of at most CLASSES squared entries, which goes to all tasks. Boxes without a coordinate, or turned around, meet nothing.
 """
 
 from __future__ import annotations
@@ -23,12 +24,18 @@ from pyspark.sql import functions as F
 BOX = ("x0", "y0", "x1", "y1")
 #: Tiles have sides of 2**0 to 2**CLASSES; wider boxes touch more tiles of the last class.
 CLASSES = 24
+#: Up to so many boxes that may contain others, a page is one tile.
+FEW = 32
 
 
 def _level(size: Column) -> Column:
     return F.least(F.greatest(F.ceil(F.log2(F.greatest(size.cast("double"), F.lit(1.0)))), F.lit(0)), F.lit(CLASSES)).cast("int")
 
 
+def _whole() -> Column:
+    return F.struct(F.lit(-1).alias("w"), F.lit(-1).alias("h"))
+
+
 def _tile(x: Column, level: Column) -> Column:
     return F.floor(x.cast("double") / F.pow(F.lit(2.0), level)).cast("long")
 
@@ -60,10 +67,16 @@ def containing(inner: DataFrame, outer: DataFrame, keys: list[str], slack: float
     and do not fit, with _fits telling them apart.
     """
     o = _classed(outer, slack).withColumn("_area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    tiles = _on(o, F.col("_c")).drop(*BOX, "_c")
-    at = inner.where("x0 <= x1 AND y0 <= y1").join(_classes(o.select("_c")), F.lit(True), "inner").withColumn("_level", F.explode("_classes")).drop("_classes")
-    at = at.withColumn("_tx", _tile(F.col("x0"), F.col("_level.w"))).withColumn("_ty", _tile(F.col("y0"), F.col("_level.h")))
-    met = at.join(tiles, [*keys, "_level", "_tx", "_ty"])
+    pages = o.groupBy(*keys).agg(F.when(F.count(F.lit(1)) <= FEW, F.array(_whole())).otherwise(F.collect_set("_c")).alias("_classes"))
+    whole = F.col("_level.w") < 0
+    # Merged: tiles are many times the file that they come from, from whose size a broadcast would be judged.
+    o = o.join(pages.hint("merge"), keys).withColumn("_level", F.when(F.element_at("_classes", 1)["w"] < 0, _whole()).otherwise(F.col("_c"))).drop("_classes")
+    side = lambda low, high, level: F.explode(F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(_tile(F.col(low), level), _tile(F.col(high), level))))
+    tiles = o.withColumn("_tx", side("_x0", "_x1", F.col("_c.w"))).withColumn("_ty", side("_y0", "_y1", F.col("_c.h"))).drop(*BOX, "_c")
+    at = inner.where("x0 <= x1 AND y0 <= y1").join(pages.hint("merge"), keys).withColumn("_level", F.explode("_classes")).drop("_classes")
+    own = lambda x, side: F.when(whole, F.lit(0).cast("long")).otherwise(_tile(F.col(x), F.col(f"_level.{side}")))
+    at = at.withColumn("_tx", own("x0", "w")).withColumn("_ty", own("y0", "h"))
+    met = at.join(tiles.hint("merge"), [*keys, "_level", "_tx", "_ty"])
     fits = (F.col("_x0") <= F.col("x0")) & (F.col("_y0") <= F.col("y0")) & (F.col("_x1") >= F.col("x1")) & (F.col("_y1") >= F.col("y1"))
     gone = [f"_{c}" for c in BOX] + ["_level", "_tx", "_ty"]
     return met.withColumn("_fits", fits).drop(*gone) if compared else met.where(fits).drop(*gone)
