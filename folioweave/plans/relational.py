@@ -104,11 +104,11 @@ def uncovered_nodes(t):
 @query(
     "outermost_anchors",
     "JN-10",
-    f"""WITH {V.RECTS} SELECT a.id FROM boxes a WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE a.doc = b.doc AND a.page = b.page AND b.x0 - 1 <= a.x0 AND b.y0 - 1 <= a.y0 AND b.x1 + 1 >= a.x1 AND b.y1 + 1 >= a.y1
+    f"""WITH {V.CROWDED} SELECT a.id FROM boxes a WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE a.doc = b.doc AND a.page = b.page AND b.x0 - 1 <= a.x0 AND b.y0 - 1 <= a.y0 AND b.x1 + 1 >= a.x1 AND b.y1 + 1 >= a.y1
 AND ((b.x1 - b.x0) * (b.y1 - b.y0) > (a.x1 - a.x0) * (a.y1 - a.y0) OR ((b.x1 - b.x0) * (b.y1 - b.y0) = (a.x1 - a.x0) * (a.y1 - a.y0) AND b.id < a.id)))""",
 )
 def outermost_anchors(t):
-    return R.outermost(V.boxes(t).withColumn("surface", F.lit("same"))).select("id")
+    return R.outermost(V.crowded(t).withColumn("surface", F.lit("same"))).select("id")
 
 
 @query("previous_lemma", "JN-11 EDG-03", f"WITH {V.STATEMENTS} SELECT doc, n, last_value(CASE WHEN kind = 'lemma' THEN label END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM statements")
