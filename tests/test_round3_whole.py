@@ -23,3 +23,8 @@ def test_components_follow_the_links_of_customers_and_suppliers(spark):
             low, high = sorted((find(a), find(b)))
             root[high] = low
     assert sorted(map(tuple, QUERIES["components"](spark, FOLDER).collect())) == sorted((c, find(c)) for c in customers)
+
+
+def test_all_pairs_of_a_brand_and_size_are_adjudicated(spark):
+    sizes = Counter((r["p_brand"], r["p_size"]) for r in spark.read.parquet(f"{FOLDER}/part.parquet").collect())
+    assert QUERIES["adjudicated"](spark, FOLDER).count() == sum(n * (n - 1) // 2 for n in sizes.values())
