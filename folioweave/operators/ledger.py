@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .relational import small
+
 
 def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """NUM-01, NUM-02: cost of each call by its model's price per million tokens; a call over its model's long-context limit, of an unknown model or with impossible counts has no cost and says why.
@@ -19,7 +21,7 @@ def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
     bad = (own < 0) | (F.least("cached", "writes", "output") < 0)
     why = F.when(F.col("p_input").isNull(), "unknown model").when(bad, "invalid usage").when(F.col("total") > F.col("most_input"), "long context")
     cost = (own * F.col("p_input") + F.col("cached") * F.col("p_cached") + F.col("writes") * F.col("p_write") + F.col("output") * F.col("p_output")) / 1_000_000
-    return calls.join(prices, "model", "left").withColumn("input", own).withColumn("why", why).withColumn("cost", F.when(why.isNull(), cost)).drop("p_input", "p_cached", "p_write", "p_output", "most_input")
+    return calls.join(small(prices), "model", "left").withColumn("input", own).withColumn("why", why).withColumn("cost", F.when(why.isNull(), cost)).drop("p_input", "p_cached", "p_write", "p_output", "most_input")
 
 
 class Budget:
