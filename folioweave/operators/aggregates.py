@@ -177,20 +177,24 @@ def batches(df: DataFrame, key: list[str], order: list[str], size: int) -> DataF
 
 
 def greedy_batches(df: DataFrame, key: str, order: str, size: str, rows: int = 24, limit: int = 180_000) -> DataFrame:
-    """WIN-06: batches that a row joins while both the count and the bytes stay within limits. The reset depends on all rows before, so each key is one Python group; keys must be bounded."""
-    import pandas as pd
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        batch, n, total, out = 0, 0, 0, []
-        for x in part[size]:
-            if n and (n == rows or total + x > limit):
-                batch, n, total = batch + 1, 0, 0
-            n, total = n + 1, total + x
-            out.append(batch)
-        return part.assign(batch=pd.Series(out, index=part.index, dtype="int32"))
-
-    return df.groupBy(key).applyInPandas(fold, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", batch int")
+    """WIN-06: batches that a row joins while both the count and the bytes stay within limits. The reset depends on all rows before, so a key's rows are read in order; what goes on from row to row is a count and a sum, so a key may have any number of rows and a task any number of keys."""
+    import pyarrow as pa
+
+    def fold(batches):
+        now, batch, n, total = None, 0, 0, 0
+        for part in batches:
+            out = []
+            for k, x in zip(part.column(key).to_pylist(), part.column(size).to_pylist(), strict=True):
+                x = x or 0  # a null has no size
+                if (k,) != now:
+                    now, batch, n, total = (k,), 0, 0, 0
+                if n and (n == rows or total + x > limit):
+                    batch, n, total = batch + 1, 0, 0
+                n, total = n + 1, total + x
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int32())], [*part.schema.names, "batch"])
+
+    return df.repartition(key).sortWithinPartitions(key, F.asc_nulls_last(order)).mapInArrow(fold, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", batch int")
 
 
 def top(df: DataFrame, order: list[Column | str], k: int) -> DataFrame:

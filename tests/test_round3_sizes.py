@@ -18,3 +18,11 @@ def test_few_prices_go_to_the_calls(spark):
     prices = spark.createDataFrame([("A", 1.0, 1.0, 1.0, 1.0, None)], "model string, p_input double, p_cached double, p_write double, p_output double, most_input long")
     out = ledger.priced(calls.repartition(3), prices)
     assert "BroadcastHashJoin" in plan(out) and sorted((r["model"], r["why"]) for r in out.collect()) == [("A", None), ("B", "unknown model")]
+
+
+def test_many_keys_are_one_pass_of_a_task(spark):
+    df = spark.createDataFrame([(k, i, 5) for k in (1, 2, None) for i in range(7)], "k int, i int, size int").repartition(5)
+    out = aggregates.greedy_batches(df, "k", "i", "size", 3, 12)
+    assert "FlatMapGroups" not in plan(out)
+    assert sorted(map(tuple, out.select("k", "i", "batch").where("k IS NOT NULL").collect())) == sorted((k, i, i // 2) for k in (1, 2) for i in range(7))
+    assert sorted(r["batch"] for r in out.where("k IS NULL").collect()) == [i // 2 for i in range(7)]
