@@ -211,28 +211,42 @@ class Order:
         return True
 
 
-def admitted(rows) -> list[bool]:
-    """Which of the edges (src, dst, kind, lone), in order, are kept: no repeats, no self loops, and, but for `restates`, none that closes a cycle among those kept. A lone one goes where its pair has an edge already."""
-    order, keep, seen, pairs = Order(), [], set(), set()
-    for src, dst, kind, *lone in rows:
-        new = src != dst and (src, dst, kind) not in seen and not (lone and lone[0] and (src, dst) in pairs) and (kind == "restates" or order.add(src, dst))
+class Admission:
+    """Of one document's edges (src, dst, kind, lone), called in order: whether each is kept. No repeats, no self loops, and, but for `restates`, none that closes a cycle among those kept. A lone one goes where its pair has an edge already."""
+
+    def __init__(self):
+        self.order, self.seen, self.pairs = Order(), set(), set()
+
+    def __call__(self, src, dst, kind, lone=False) -> bool:
+        new = src != dst and (src, dst, kind) not in self.seen and not (lone and (src, dst) in self.pairs) and (kind == "restates" or self.order.add(src, dst))
         if new:
-            seen.add((src, dst, kind))
-            pairs.add((src, dst))
-        keep.append(new)
-    return keep
+            self.seen.add((src, dst, kind))
+            self.pairs.add((src, dst))
+        return new
+
+
+def admitted(rows) -> list[bool]:
+    """Which of one document's edges (src, dst, kind, lone), in order, are kept, by Admission."""
+    admit = Admission()
+    return [admit(*row) for row in rows]
 
 
 def acyclic(edges: DataFrame, group: str = "doc") -> DataFrame:
-    """EDG-08: edges in order of (phase, place), each kept unless it closes a cycle among those kept; `restates` are exempt, and with a column `lone` those that have it give way to any edge of their pair. What is kept depends on all before it, so a document is one group; its edges stay Arrow rows."""
+    """EDG-08: edges in order of (phase, place), each kept unless it closes a cycle among those kept; `restates` are exempt, and with a column `lone` those that have it give way to any edge of their pair. What is kept depends on all before it, so a document is read in order by one task, which holds what it kept of one document at a time."""
     order = ["phase", "place", "src", "dst", "kind"]
     rule = ["src", "dst", "kind", *["lone"] * ("lone" in edges.columns)]
 
-    def fold(table):
-        table = table.sort_by([(c, "ascending") for c in order])
-        return table.filter(pa.array(admitted(zip(*(table.column(c).to_pylist() for c in rule), strict=True)), pa.bool_()))
-
-    return edges.groupBy(group).applyInArrow(fold, edges.schema)
+    def fold(batches):
+        now, admit = None, None
+        for batch in batches:
+            keep = []
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in [group, *rule]), strict=True):
+                if (key,) != now:
+                    now, admit = (key,), Admission()
+                keep.append(admit(*row))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return edges.repartition(group).sortWithinPartitions(group, *map(F.asc_nulls_last, order)).mapInArrow(fold, edges.schema)
 
 
 def title_pattern(title: Column) -> Column:

@@ -26,3 +26,10 @@ def test_many_keys_are_one_pass_of_a_task(spark):
     assert "FlatMapGroups" not in plan(out)
     assert sorted(map(tuple, out.select("k", "i", "batch").where("k IS NOT NULL").collect())) == sorted((k, i, i // 2) for k in (1, 2) for i in range(7))
     assert sorted(r["batch"] for r in out.where("k IS NULL").collect()) == [i // 2 for i in range(7)]
+
+
+def test_documents_are_admitted_in_one_pass_of_a_task(spark):
+    edges = [(d, 1, p, a, b, "depends_on") for d in (1, 2, None) for p, (a, b) in enumerate([(1, 2), (2, 3), (3, 1), (1, 2)])]
+    out = extract.acyclic(spark.createDataFrame(edges, "doc int, phase int, place int, src int, dst int, kind string").repartition(4))
+    assert "FlatMapGroups" not in plan(out)
+    assert sorted(map(str, (tuple(r) for r in out.select("doc", "src", "dst").collect()))) == sorted(map(str, ((d, a, b) for d in (1, 2, None) for a, b in ((1, 2), (2, 3)))))
