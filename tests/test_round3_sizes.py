@@ -33,3 +33,12 @@ def test_documents_are_admitted_in_one_pass_of_a_task(spark):
     out = extract.acyclic(spark.createDataFrame(edges, "doc int, phase int, place int, src int, dst int, kind string").repartition(4))
     assert "FlatMapGroups" not in plan(out)
     assert sorted(map(str, (tuple(r) for r in out.select("doc", "src", "dst").collect()))) == sorted(map(str, ((d, a, b) for d in (1, 2, None) for a, b in ((1, 2), (2, 3)))))
+
+
+def test_files_are_dealt_before_they_are_made_and_leave_in_batches(spark):
+    from folioweave.sources import pdf
+
+    files = spark.createDataFrame([(str(i), bytearray(b"no file")) for i in range(2500)], "path string, content binary").coalesce(1)
+    sizes = pdf.pages(files).mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 2500 and len(sizes) < 20
+    assert QUERIES["pdf_runs"](spark, FOLDER).count() > 0
