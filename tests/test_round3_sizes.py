@@ -42,3 +42,21 @@ def test_files_are_dealt_before_they_are_made_and_leave_in_batches(spark):
     sizes = pdf.pages(files).mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
     assert sum(r["n"] for r in sizes) == 2500 and len(sizes) < 20
     assert QUERIES["pdf_runs"](spark, FOLDER).count() > 0
+
+
+def test_one_timer_for_the_events_of_a_batch():
+    import pandas as pd
+
+    from folioweave.streaming import feeds
+
+    timers, calls = [], []
+
+    class Waiting:
+        def appendList(self, rows):
+            calls.append(rows)
+
+    ledger_ = feeds.Spending(100, 0)
+    ledger_.handle = type("Handle", (), {"registerTimer": staticmethod(timers.append)})
+    ledger_.waiting = Waiting()
+    list(ledger_.handleInputRows((1,), iter([pd.DataFrame({"at": [9, 5, 7], "id": [1, 1, 2], "kind": ["reserve"] * 3, "amount": [1, 2, 3]})]), None))
+    assert timers == [5] and len(calls) == 1
