@@ -30,6 +30,8 @@ from .retrieval import nearest, ranked
 
 SAMPLE, MOST_LISTS, PARTS, WORDS = 20_000, 4096, 8, 256
 PIECE, ASKED, ROUNDS = 50_000, 64, 12
+#: Rows of one batch of probes, and queries of a scope that one task holds for a list.
+PROBES, BLOCK = 4096, 20_000
 
 
 @dataclass
@@ -123,14 +125,22 @@ def candidates(file: DataFrame, queries: DataFrame, book: Book, lists: int, most
             score = x @ book.centroids.T if len(x) else np.zeros((0, len(book.centroids)))
             n = min(lists, score.shape[1])
             best = np.argpartition(-score, n - 1, 1)[:, :n]
-            some = pa.array(np.repeat(place, n))
-            unit = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * x.shape[1], pa.int32()), pa.array(np.repeat(x, n, 0).ravel()))
-            yield pa.record_batch({"scope": batch.column(0).take(some), "q": batch.column(1).take(some), "v": unit, "list": pa.array(best.ravel(), pa.int32()), "base": pa.array(np.take_along_axis(score, best, 1).ravel())})
+            # Probes leave in pieces, as a batch of queries times its lists may be large.
+            step = max(1, PROBES // n)
+            for at in range(0, len(place), step):
+                some, own = pa.array(np.repeat(place[at : at + step], n)), x[at : at + step]
+                unit = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * x.shape[1], pa.int32()), pa.array(np.repeat(own, n, 0).ravel()))
+                yield pa.record_batch({"scope": batch.column(0).take(some), "q": batch.column(1).take(some), "v": unit, "list": pa.array(best[at : at + step].ravel(), pa.int32()), "base": pa.array(np.take_along_axis(score[at : at + step], best[at : at + step], 1).ravel())})
 
     probes = asked.mapInArrow(near, f"scope {kinds['scope']}, q {kinds['q']}, v array<double>, list int, base double")
+    # A list's vectors and those who ask it are dealt into pieces and blocks; each block meets each piece, so a task's memory is bounded on both sides.
     pieces = file.groupBy("scope", "list").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
-    left = probes.join(pieces, ["scope", "list"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-    right = file.join(pieces, ["scope", "list"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).drop("pieces")
+    most_asked = asked.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    of = pieces.join(most_asked, "scope")
+    dealt = lambda c, n: F.pmod(F.xxhash64(c, F.lit("deal")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = probes.join(of, ["scope", "list"]).withColumn("piece", every("pieces")).withColumn("block", dealt("q", "blocks")).drop("pieces", "blocks")
+    right = file.join(of, ["scope", "list"]).withColumn("piece", dealt("id", "pieces")).withColumn("block", every("blocks")).drop("pieces", "blocks")
 
     def scored(a: pa.Table, b: pa.Table) -> pa.Table:
         out = []
@@ -140,16 +150,17 @@ def candidates(file: DataFrame, queries: DataFrame, book: Book, lists: int, most
             x = a["v"].combine_chunks().flatten().to_numpy().reshape(len(a), -1)
             x = np.pad(x, ((0, 0), (0, width * parts - x.shape[1]))).reshape(len(a), parts, width)
             base, n = a["base"].to_numpy(), min(most, len(codes))
-            for at in range(0, len(a), 256):
-                score = np.repeat(base[at : at + 256, None], len(codes), 1)
+            step = max(1, (4 << 20) // max(1, len(codes)))  # 32 MiB of scores at a time
+            for at in range(0, len(a), step):
+                score = np.repeat(base[at : at + step, None], len(codes), 1)
                 for m in range(parts):
-                    score += (x[at : at + 256, m] @ book.words[m].T)[:, codes[:, m]]
+                    score += (x[at : at + step, m] @ book.words[m].T)[:, codes[:, m]]
                 best = np.argpartition(-score, n - 1, 1)[:, :n]
                 out.append((np.repeat(np.arange(at, at + len(score)), n), best.ravel(), np.take_along_axis(score, best, 1).ravel()))
         q, i, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
         return pa.table({"q": a["q"].take(pa.array(q)), "id": b["id"].take(pa.array(i)), "score": pa.array(s)})
 
-    met = left.groupBy("scope", "list", "piece").cogroup(right.groupBy("scope", "list", "piece")).applyInArrow(scored, f"q {kinds['q']}, id {kinds['id']}, score double")
+    met = left.groupBy("scope", "list", "piece", "block").cogroup(right.groupBy("scope", "list", "piece", "block")).applyInArrow(scored, f"q {kinds['q']}, id {kinds['id']}, score double")
     return ranked(met, ["q"], most).select("q", "id")
 
 

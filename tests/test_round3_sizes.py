@@ -60,3 +60,20 @@ def test_one_timer_for_the_events_of_a_batch():
     ledger_.waiting = Waiting()
     list(ledger_.handleInputRows((1,), iter([pd.DataFrame({"at": [9, 5, 7], "id": [1, 1, 2], "kind": ["reserve"] * 3, "amount": [1, 2, 3]})]), None))
     assert timers == [5] and len(calls) == 1
+
+
+def test_probes_leave_in_pieces(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "id long, v array<double>").coalesce(1)
+    book = inverted_file.fit(v, lists=20)
+    before = inverted_file.PROBES, inverted_file.BLOCK
+    asked = v.withColumnRenamed("id", "q")
+    want = sorted(map(tuple, inverted_file.candidates(inverted_file.listed(v, book), asked, book, 20, 600).collect()))
+    try:
+        inverted_file.PROBES, inverted_file.BLOCK = 50, 100
+        got = sorted(map(tuple, inverted_file.candidates(inverted_file.listed(v, book), asked, book, 20, 600).collect()))
+    finally:
+        inverted_file.PROBES, inverted_file.BLOCK = before
+    assert got == want and len(got) == 600 * 600
