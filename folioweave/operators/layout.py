@@ -12,6 +12,19 @@ TICKS = 180
 LARGE, SMALL = (55.0, -85.0, 14.0), (115.0, -260.0, 42.0)
 #: How an undisturbed simulation cools down, and what a step leaves of a speed.
 COOLING, DRAG = 1 - 0.001 ** (1 / 300), 0.6
+#: Nodes that keep apart from all at once, and nodes that one product of NumPy holds against all.
+BLOCK, PART = 512, 64
+
+
+def beside(points: np.ndarray, low: int, high: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of each point low to before high with every other one whose x lies within reach: all that can be nearer than that."""
+    order = np.argsort(points[:, 0], kind="stable")
+    x = points[order, 0]
+    first, last = np.searchsorted(x, points[low:high, 0] - reach, "left"), np.searchsorted(x, points[low:high, 0] + reach, "right")
+    size = last - first
+    i = np.repeat(np.arange(low, high), size)
+    j = order[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)]
+    return i[i != j], j[i != j]
 
 
 def settled(n: int, links: np.ndarray, width: float = 800.0, height: float = 600.0, ticks: int = TICKS) -> np.ndarray:
@@ -24,27 +37,43 @@ def settled(n: int, links: np.ndarray, width: float = 800.0, height: float = 600
     a, b = links[:, 0], links[:, 1]
     degree = np.bincount(links.ravel(), minlength=n).astype(float)
     share = degree[a] / np.maximum(degree[a] + degree[b], 1)
+    links_ = list(zip(a.tolist(), b.tolist(), share.tolist(), strict=True))
     for _ in range(ticks):
         heat -= heat * COOLING
-        for source, target, weight in zip(a.tolist(), b.tolist(), share.tolist(), strict=True):
-            gap = at[target] + speed[target] - at[source] - speed[source]
-            far = max(float(np.hypot(*gap)), 1e-6)
-            push = gap * ((far - distance) / far * heat * 0.25)
-            speed[target] -= push * weight
-            speed[source] += push * (1 - weight)
-        for k in range(0, n, 512):  # 512 nodes against all, so memory grows with the nodes
-            gap = at[None] - at[k : k + 512, None]
-            square = (gap**2).sum(2)
-            square[np.arange(len(square)), k + np.arange(len(square))] = np.inf
-            speed[k : k + 512] += (gap * (charge * heat / np.maximum(square, 1.0))[:, :, None]).sum(1)
+        # Links in turn, on plain numbers: each sees the speeds that those before it left.
+        x, y, u, v = (c.tolist() for c in (at[:, 0], at[:, 1], speed[:, 0], speed[:, 1]))
+        for source, target, weight in links_:
+            dx, dy = x[target] + u[target] - x[source] - u[source], y[target] + v[target] - y[source] - v[source]
+            far = max(abs(complex(dx, dy)), 1e-6)
+            push = (far - distance) / far * heat * 0.25
+            u[target] -= dx * push * weight
+            v[target] -= dy * push * weight
+            u[source] += dx * push * (1 - weight)
+            v[source] += dy * push * (1 - weight)
+        speed = np.stack([u, v], 1)
+        for k in range(0, n, PART):  # PART nodes against all, so memory grows with the nodes
+            dx, dy = (at[:, c, None] - at[None, k : k + PART, c] for c in (0, 1))
+            pull = dx * dx
+            pull += dy * dy
+            np.maximum(pull, 1.0, out=pull)
+            np.divide(charge * heat, pull, out=pull)
+            # A node's own gap is zero, so it does not push itself.
+            dx *= pull
+            dy *= pull
+            speed[k : k + PART] += np.stack([dx.sum(0), dy.sum(0)], 1)
         at += middle - at.mean(0)
         speed += (middle - at) * (np.array([0.015, 0.1]) * heat)
-        for k in range(0, n, 512):
-            gap = (at + speed)[k : k + 512, None] - (at + speed)[None]
-            far = np.sqrt((gap**2).sum(2))
-            far[np.arange(len(far)), k + np.arange(len(far))] = 4 * radius
-            near = np.where(far < 2 * radius, (2 * radius - far) / np.maximum(far, 1e-6) / 2, 0.0)
-            speed[k : k + 512] += (gap * near[:, :, None]).sum(1)
+        for k in range(0, n, BLOCK):
+            here = at + speed
+            i, j = beside(here, k, min(k + BLOCK, n), 2 * radius)
+            far = np.sqrt(((here[i] - here[j]) ** 2).sum(1))
+            i, j, far = i[far < 2 * radius], j[far < 2 * radius], far[far < 2 * radius]
+            # In order of the nodes, so sums do not depend on where they are.
+            order = np.lexsort((j, i))
+            i, j, far = i[order], j[order], far[order]
+            gap, near = here[i] - here[j], (2 * radius - far) / np.maximum(far, 1e-6) / 2
+            for c in (0, 1):
+                speed[:, c] += np.bincount(i, gap[:, c] * near, n)
         speed *= DRAG
         at += speed
     return at

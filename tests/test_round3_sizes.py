@@ -77,3 +77,14 @@ def test_probes_leave_in_pieces(spark):
     finally:
         inverted_file.PROBES, inverted_file.BLOCK = before
     assert got == want and len(got) == 600 * 600
+
+
+def test_only_nodes_that_may_touch_are_compared():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    points = rng.random((900, 2)) * 3000
+    i, j = layout.beside(points, 512, 900, 28.0)
+    far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    near = {(a, b) for a, b in zip(*np.nonzero(far < 28.0), strict=True) if a != b and a >= 512}
+    assert near <= set(zip(i.tolist(), j.tolist(), strict=True)) and len(i) < 900 * 388 // 20
