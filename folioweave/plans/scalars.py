@@ -167,7 +167,7 @@ u AS (SELECT *, sum(length(shown)) OVER (PARTITION BY request ORDER BY rank)::BI
 )
 def viewport_answer(t):
     roots = t.part.orderBy(F.desc("p_retailprice"), "p_partkey").limit(3).select(F.lit(1).cast("long").alias("request"), F.col("p_partkey").alias("id"))
-    hops = G.trace_bfs(V.edges(t), roots)
+    hops = G.trace_bfs(V.edges(t), roots, simple=True)
     kind = F.when(F.col("p_type") == "PROMO", "proof").otherwise("theorem")
     nodes = t.part.select(F.col("p_partkey").alias("node"), kind.alias("kind"), F.col("p_name").alias("identity"), F.concat_ws(" ", "p_name", "p_brand").alias("statement"))
     return C.answer(hops, nodes)

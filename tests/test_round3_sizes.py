@@ -88,3 +88,18 @@ def test_only_nodes_that_may_touch_are_compared():
     far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
     near = {(a, b) for a, b in zip(*np.nonzero(far < 28.0), strict=True) if a != b and a >= 512}
     assert near <= set(zip(i.tolist(), j.tolist(), strict=True)) and len(i) < 900 * 388 // 20
+
+
+def test_tasks_of_the_edges_grow_with_the_lines(spark, monkeypatch):
+    t = Tables(spark, FOLDER)
+    want = sorted(map(tuple, adapters.edges(t).collect()))
+    monkeypatch.setattr(adapters, "LINES_A_TASK", 50)
+    df = adapters.edges(t)
+    assert "SortMergeJoin" not in plan(df) and f", {-(-t.lineitem.count() // 50)})" in plan(df)
+    assert sorted(map(tuple, df.collect())) == want
+
+
+def test_simple_edges_are_not_collapsed_again(spark):
+    edges = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.9)], "src long, dst long, confidence double")
+    assert "HashAggregate" not in plan(graph.strongest(edges, 1, simple=True))
+    assert sorted(map(tuple, graph.strongest(edges, 1, simple=True).collect())) == sorted(map(tuple, graph.strongest(edges, 1).collect()))
