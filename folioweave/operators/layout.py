@@ -93,4 +93,6 @@ def layout(nodes: DataFrame, edges: DataFrame, key: str = "corpus") -> DataFrame
         group = pa.array([table.column(key)[0].as_py()] * len(ids), table.schema.field(key).type)
         return pa.table([group, pa.array(ids, table.schema.field("a").type), pa.array(at[:, 0]), pa.array(at[:, 1])], [key, "id", "x", "y"])
 
-    return rows.groupBy(key).applyInArrow(place, f"`{key}` {kind[key]}, id {kind['id']}, x double, y double")
+    # A map is few bytes and much work, so by their bytes all maps would be put into one task.
+    tasks = min(4 * nodes.select(key).distinct().count(), 2000) or 1
+    return rows.repartition(tasks, key).groupBy(key).applyInArrow(place, f"`{key}` {kind[key]}, id {kind['id']}, x double, y double")

@@ -103,3 +103,9 @@ def test_simple_edges_are_not_collapsed_again(spark):
     edges = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.9)], "src long, dst long, confidence double")
     assert "HashAggregate" not in plan(graph.strongest(edges, 1, simple=True))
     assert sorted(map(tuple, graph.strongest(edges, 1, simple=True).collect())) == sorted(map(tuple, graph.strongest(edges, 1).collect()))
+
+
+def test_maps_are_tasks_of_their_own(spark):
+    nodes = spark.createDataFrame([(c, i) for c in range(9) for i in range(4)], "corpus int, id int")
+    out = layout.layout(nodes, spark.createDataFrame([(0, 1, 0)], "corpus int, src int, dst int"))
+    assert out.rdd.getNumPartitions() == 36 and out.count() == 36
