@@ -27,6 +27,20 @@ def test_links_stay_while_scores_move(spark, monkeypatch):
     got = {r["id"]: r["score"] for r in graph.pagerank(nodes, edges, rounds=5).collect()}
     assert np.allclose([got[i] for i in range(27)], score, rtol=0, atol=1e-12)
     cells = graph.Cells(edges.toDF("a", "b"), graph.numbered(nodes), 27, len(pairs))
+    assert cells.degrees().count() > 0
     shares = spark.createDataFrame([(0, bytearray(np.ones(4).tobytes()))], "c int, share binary")
     assert plan(cells.sums(shares)).count("ENSURE_REQUIREMENTS") == 1
     cells.close()
+
+
+def test_only_edges_of_the_parents_are_ranked(spark, monkeypatch):
+    seen, rank = [], graph.strongest
+    monkeypatch.setattr(graph, "strongest", lambda edges, *more: (seen.append(edges.count()), rank(edges, *more))[1])
+    edges = spark.createDataFrame([(a, a + b, 0.5) for a in range(100) for b in (1, 2)], "src long, dst long, confidence double")
+    out = graph.trace_bfs(edges, spark.createDataFrame([(1, 7)], "request long, id long"), depth=2)
+    assert sorted((r["node"], r["depth"]) for r in out.collect()) == [(7, 0), (8, 1), (9, 1), (10, 2), (11, 2)]
+    assert seen == [2, 4]
+
+
+def test_edges_are_dealt_by_the_end_that_ranks(spark):
+    assert "ENSURE_REQUIREMENTS" not in plan(graph.dependents(adapters.edges(Tables(spark, FOLDER), "dst"))).split("HashAggregate")[0]
