@@ -170,7 +170,9 @@ def operator_edges(nodes: DataFrame) -> DataFrame:
     commands = lambda p: F.regexp_extract_all("body", F.lit(f"(?=({p}))"), F.lit(1))
     parts = F.array_distinct(F.concat(commands(BRACED), commands(r"\\[A-Za-z]+(?![A-Za-z])"), words, F.transform(words, lambda x: F.regexp_replace(x, "s$", ""))))
     pattern = F.when(F.col("c") == OPERATOR, F.concat(F.lit("\\Q"), F.col("name"), F.when(F.col("name").endswith("}"), F.lit("\\E")).otherwise(F.lit("\\E(?![A-Za-z])")))).otherwise(F.concat(F.lit(r"(?i)(?<![\w-])\Q"), F.col("name"), F.lit(r"\Es?(?![\w-])")))
-    held = nodes.select("doc", "n", "kind", "body", F.explode(parts).alias("part")).join(wanted, ["doc", "part"]).where(F.regexp_like("body", pattern))
+    # Words move with the bodies' ids only; the few pairs then fetch their body.
+    met = nodes.select("doc", "n", F.explode(parts).alias("part")).join(wanted, ["doc", "part"]).select("doc", "n", "name", "c").distinct()
+    held = met.join(nodes.select("doc", "n", "kind", "body"), ["doc", "n"]).where(F.regexp_like("body", pattern))
     uses = held.select("doc", "name", F.struct("n", "kind", "c").alias("src"), F.col("n").alias("at"))
     last = relational.last_definition(uses, defined.select("doc", "name", "dst", F.col("dst").alias("at")), ["doc", "name"], "at")
     kind = F.when(F.col("src.kind").isin("definition", "notation"), "uses_notation").otherwise("depends_on")
