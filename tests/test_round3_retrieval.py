@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioweave.operators import retrieval
+from folioweave.operators import retrieval, segments
 
 FIELDS, BOOSTS = ["title", "body"], {"title": 3.0, "body": 1.0}
 
@@ -48,3 +48,23 @@ def test_pairs_of_queries_and_nodes_are_not_shuffled(spark):
     hits = retrieval.bm25(retrieval.counted(nodes, FIELDS), retrieval.field_sizes(nodes, FIELDS), queries, BOOSTS, 8)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan
+
+
+def test_segments_grow_in_pieces_and_leave_single_texts_where_they_are(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "ROWS_A_TASK", 5)
+    nodes = corpus(spark).where("id <> 3")
+    index = segments.Segments(spark, f"file://{tmp_path}/index", FIELDS, 2)
+    assert "Exchange" not in index._one_each(nodes)._jdf.queryExecution().executedPlan().toString()
+    index.add(nodes)
+    assert len(list(tmp_path.glob("index/*/postings/bucket=0/*.parquet"))) > 4
+    sizes, queries = retrieval.field_sizes(nodes, FIELDS), asked(spark)
+    assert rows(index.search(queries, BOOSTS, 8, digits=9)) == rows(retrieval.bm25(retrieval.index(nodes, FIELDS), sizes, queries, BOOSTS, 8, digits=9))
+
+
+def test_of_repeated_ids_the_least_counts(spark, tmp_path, monkeypatch):
+    index = segments.Segments(spark, f"file://{tmp_path}/index", FIELDS, 2)
+    nodes = corpus(spark)
+    for many in (100, 0):
+        monkeypatch.setattr(segments, "REPEATED", many)
+        got = sorted((r["id"], r["title"] or "", r["body"] or "") for r in index._one_each(nodes).collect())
+        assert len(got) == 62 and (3, "n0 n3", "w3") not in got and (3, "n0 n3", "w3 w6 w2 w5") in got
