@@ -31,6 +31,8 @@ than asked for are all returned; null ids take no part; other columns are ignore
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -48,6 +50,13 @@ TARGET, SAMPLE = 0.9, 256
 #: Queries, and vectors, of one block of the exact pass.
 CHUNK = 2048
 LISTS = "u long, ws array<long>, ds array<double>, new array<boolean>"
+#: Bytes of vectors, and nodes, that one block of nodes has in memory at most.
+HELD, MOST = 128 << 20, 65536
+#: What travels between blocks of nodes: a row is all that one task sends to one block, of one kind.
+PACK = "block int, kind int, dest int, a array<long>, b array<long>, d array<double>, new array<boolean>, vecs binary"
+NODES, FORWARD, BACK, FARS, MEMBERS, ASKED, VECTORS, ENTRIES, EXPAND, PAIRS, QUERIES = range(11)
+#: Pairs that a task gathers before it sends them on.
+GATHERED = 1 << 19
 #: Powers of two between the longest components of vectors that 32-bit numbers may hold.
 SPREAD = 40
 
@@ -71,23 +80,43 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return _rows(column.to_pylist(), dim)
 
 
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    first = np.zeros(len(sorted_keys[0]), bool)
+    first[:1] = True
+    for key in sorted_keys:
+        first[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(first)
+
+
+def _joint(a: np.ndarray, b: np.ndarray):
+    """One number for each pair, in the order of pairs, and what gives the pairs back: one sort of numbers is several times as fast as one by two keys."""
+    if not len(a) or (min(a.min(), b.min()) >= 0 and (int(a.max()) + 1) * (int(b.max()) + 1) < 1 << 63):
+        n = int(b.max(initial=0)) + 1
+        return a * n + b, lambda key: (key // n, key % n)
+    (ta, ia), (tb, ib) = (np.unique(c, return_inverse=True) for c in (a, b))
+    return ia * len(tb) + ib, lambda key: (ta[key // len(tb)], tb[key % len(tb)])
+
+
 def _top(u: np.ndarray, w: np.ndarray, d: np.ndarray, new: np.ndarray, k: int):
     """Of each u the k nearest distinct w; an entry that was there before stays not new."""
-    order = np.lexsort((new, d, w, u))
-    u, w, d, new = u[order], w[order], d[order], new[order]
-    keep = np.ones(len(u), bool)
-    keep[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+    if not len(u):
+        return u, w, d, new
+    key, pairs = _joint(u, w)
+    order = np.argsort(key)
+    key = key[order]
     # An old entry and a new one of the same pair may differ in the last bits: the pair is old if any is.
-    first = np.flatnonzero(keep)
-    if len(first):
-        new = np.logical_and.reduceat(new, first)
-        u, w, d = u[first], w[first], d[first]
-    order = np.lexsort((w, d, u))
-    u, w, d, new = u[order], w[order], d[order], new[order]
-    start = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
-    rank = np.arange(len(u)) - np.repeat(start, np.diff(np.append(start, len(u))))
-    keep = rank < k
-    return u[keep], w[keep], d[keep], new[keep]
+    first = _starts(key)
+    new, d = np.logical_and.reduceat(new[order], first), np.minimum.reduceat(d[order], first)
+    u, w = pairs(key[first])
+    start = _starts(u)
+    size = np.diff(np.append(start, len(u)))
+    # Pairs are in order, so stable sorts leave equally near ones by w; of 16 bits they take no comparisons.
+    order = np.argsort(d, kind="stable")
+    rank = np.repeat(np.arange(len(start), dtype=np.uint16 if len(start) <= 1 << 16 else np.int64), size)
+    order = order[np.argsort(rank[order], kind="stable")]
+    order = order[np.arange(len(u)) - np.repeat(start, size) < k]
+    return u[order], w[order], d[order], new[order]
 
 
 def _lists(u, w, d, new) -> pa.RecordBatch:
@@ -133,125 +162,421 @@ def _in_block(dim: int, k: int):
     return run
 
 
-def _groups(batches, key: str):
-    """Tables of whole runs of equal keys, a few thousand rows at a time."""
-    held: list[pa.RecordBatch] = []
+def _home(u: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of a node; two moduli, so that no step between ids sends them all to one."""
+    return ((np.mod(u, 2147483647) * 1103515245 + np.mod(u, 2147483629) * 1664525) >> 15) % blocks
+
+
+def _pack(kind: int, block: np.ndarray, a: np.ndarray, b=None, d=None, new=None, x=None, dest: int = 0):
+    """A batch with one row for each block that something goes to; none, if nothing does."""
+    if not len(a):
+        return
+    order = np.argsort(block, kind="stable")
+    start = _starts(block[order])
+    ends = np.append(start, len(a))
+    lists = lambda c, t: pa.nulls(len(start), pa.list_(t)) if c is None else pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c[order], t))
+    vecs = pa.nulls(len(start), pa.binary()) if x is None else pa.array([x[order[i:j]].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    one = lambda v: pa.array(np.full(len(start), v), pa.int32())
+    yield pa.record_batch(
+        [pa.array(block[order][start], pa.int32()), one(kind), one(dest), lists(a, pa.int64()), lists(b, pa.int64()), lists(d, pa.float64()), lists(new, pa.bool_()), vecs],
+        ["block", "kind", "dest", "a", "b", "d", "new", "vecs"],
+    )
+
+
+def _unpacked(batches) -> tuple[int, dict]:
+    """The block of a task, and its rows by kind."""
+    block, held = 0, {k: [] for k in range(11)}
+    for batch in batches:
+        if batch.num_rows:
+            kinds, block = batch.column(1).to_numpy(), batch.column(0)[0].as_py()
+            for kind in np.unique(kinds).tolist():
+                held[kind].append(batch.filter(pa.array(kinds == kind)))
+    return block, held
+
+
+def _flat(rows: list, *names: str) -> list[np.ndarray]:
+    kinds = {"a": np.int64, "b": np.int64, "d": np.float64, "new": bool}
+    return [np.concatenate([np.zeros(0, kinds[c]), *(r[c].flatten().to_numpy(zero_copy_only=False) for r in rows)]).astype(kinds[c], copy=False) for c in names]
+
+
+def _held_vectors(rows: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ids of rows with vectors, each vector once in memory, and where each id's is."""
+    (ids,) = _flat(rows, "a")
+    x, at = None, 0
+    for batch in rows:
+        for one in batch["vecs"]:
+            raw = np.frombuffer(one.as_buffer(), np.uint8)
+            if x is None:
+                x = np.empty((len(ids), dim), np.float32 if len(raw) == 4 * dim * len(batch["a"][0]) else np.float64)
+            n = len(raw) // (dim * x.itemsize)
+            x[at : at + n], at = raw.view(x.dtype).reshape(n, dim), at + n
+        del one
+    return ids, np.zeros((0, dim), np.float32) if x is None else x
+
+
+def _places(ids: np.ndarray):
+    """A function from ids to their places; all must be there."""
+    order = np.argsort(ids)
+    there = ids[order]
+    return lambda u: order[np.searchsorted(there, u)]
+
+
+def _entries(batches):
+    """u, w, d, new of whole lists, GATHERED and a batch at most at a time."""
+    held, n = [], 0
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) < 4000:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        keys = table[key].to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if cut:
-            yield table.slice(0, cut)
-            held = table.slice(cut).to_batches()
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _compare(dim: int, best: int):
-    """Rows (v, u, new, vec, far) sorted by v: for each u of a v the nearest others of that v, if nearer than far."""
+        ws = batch.column(1)
+        size = ws.value_lengths().to_numpy(zero_copy_only=False)
+        held.append((np.repeat(batch.column(0).to_numpy(), size), ws.flatten().to_numpy(), batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(bool)))
+        n += len(held[-1][0])
+        if n >= GATHERED:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _send_nodes(dim: int, blocks: int):
+    """Nodes (u, vec) to their blocks."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= 4 * BLOCK:
+                yield from send(held)
+                held, n = [], 0
+        if n:
+            yield from send(held)
+
+    def send(held):
+        u = np.concatenate([b.column(0).to_numpy() for b in held])
+        return _pack(NODES, _home(u, blocks), u, x=np.concatenate([_matrix(b.column(1), dim) for b in held]))
+
+    return run
+
+
+def _send_neighbours(blocks: int):
+    """Each list to its node's block, and each node to those of its neighbours."""
+
+    def run(batches):
+        for u, w, _, new in _entries(batches):
+            yield from _pack(FORWARD, _home(u, blocks), u, w, new=new)
+            yield from _pack(BACK, _home(w, blocks), w, u, new=new)
+
+    return run
+
+
+def _send_lists(blocks: int, fresh: bool = False):
+    """Each list to its node's block: as entries to merge, which were there before unless fresh."""
+
+    def run(batches):
+        for u, w, d, new in _entries(batches):
+            yield from _pack(ENTRIES, _home(u, blocks), u, w, d, new & fresh)
+
+    return run
+
+
+def _send_fars(blocks: int, degree: int):
+    """How far the last of a full list is."""
+
+    def run(batches):
+        for u, _, d, _ in _entries(batches):
+            start = _starts(u)
+            size = np.diff(np.append(start, len(u)))
+            far = np.where(size >= degree, np.maximum.reduceat(d, start), np.inf)
+            yield from _pack(FARS, _home(u[start], blocks), u[start], d=far)
+
+    return run
+
+
+def _members(blocks: int, turn: int):
+    """Of each node v of a block the neighbours u and REVERSE of those that have it as one, where any is new; and which vectors that block needs, each once."""
 
     def run(batches):
-        for table in _groups(batches, "v"):
-            v, u, new, far = (table[c].to_numpy() for c in ("v", "u", "new", "far"))
-            x = _matrix(table["vec"].combine_chunks() if table["vec"].num_chunks != 1 else table["vec"].chunk(0), dim)
-            start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-            us, ws, ds = [], [], []
-            for a, b in zip(start.tolist(), [*start[1:].tolist(), len(v)], strict=True):
-                if b - a < 2 or not new[a:b].any():
-                    continue
-                d = _squared(x[a:b], x[a:b])
-                d[~(new[a:b, None] | new[None, a:b]) | (u[a:b, None] == u[None, a:b])] = np.inf
-                k = min(best, b - a - 1)
-                at = np.argpartition(d, k - 1, 1)[:, :k]
-                near = np.take_along_axis(d, at, 1)
-                i, j = np.nonzero(near < far[a:b, None])
-                us.append(u[a + i])
-                ws.append(u[a + at[i, j]])
-                ds.append(near[i, j])
-            if us and sum(map(len, us)):
-                uu, ww, dd = map(np.concatenate, (us, ws, ds))
-                yield _lists(*_top(uu, ww, dd, np.ones(len(uu), bool), DEGREE))
+        block, held = _unpacked(batches)
+        v, u, new = _flat(held[FORWARD], "a", "b", "new")
+        to, by, late = _flat(held[BACK], "a", "b", "new")
+        # The sample of reverse neighbours bounds what one node compares; new ones come first.
+        chance = (np.mod(by, 2147483647) * 1103515245 + turn * 12345678 >> 7) * 2654435761 % 4294967291
+        order = np.argsort(np.unique(to, return_inverse=True)[1] << 33 | ~late * (1 << 32) | chance)
+        to, by, late = to[order], by[order], late[order]
+        start = _starts(to)
+        keep = np.arange(len(to)) - np.repeat(start, np.diff(np.append(start, len(to)))) < REVERSE
+        v, u, new = np.concatenate([v, to[keep]]), np.concatenate([u, by[keep]]), np.concatenate([new, late[keep]])
+        if not len(v):
+            return
+        key, pairs = _joint(v, u)
+        order = np.argsort(key)
+        first = _starts(key[order])
+        new = np.logical_or.reduceat(new[order], first)
+        v, u = pairs(key[order][first])
+        start = _starts(v)
+        keep = np.repeat(np.logical_or.reduceat(new, start), np.diff(np.append(start, len(v))))
+        v, u, new = v[keep], u[keep], new[keep]
+        need = np.unique(u)
+        yield from _pack(ASKED, _home(need, blocks), need, dest=block)
+        for a in range(0, len(v), GATHERED):
+            some = slice(a, a + GATHERED)
+            yield from _pack(MEMBERS, np.full(len(v[some]), block), v[some], u[some], new=new[some])
+
+    return run
+
+
+def _fetch(dim: int):
+    """A block's vectors, with how far its nodes' lists reach, to the blocks that asked for them."""
+
+    def run(batches):
+        _, held = _unpacked(batches)
+        ids, x = _held_vectors(held[NODES], dim)
+        place, far = _places(ids), np.full(len(ids), np.inf)
+        u, d = _flat(held[FARS], "a", "d")
+        far[place(u)] = d
+        for rows in held[ASKED]:
+            for dest, asked in zip(rows["dest"].to_pylist(), rows["a"], strict=True):
+                asked = asked.values.to_numpy()
+                for a in range(0, len(asked), 4 * BLOCK):
+                    some = asked[a : a + 4 * BLOCK]
+                    at = place(some)
+                    yield from _pack(VECTORS, np.full(len(some), dest), some, d=far[at], x=x[at])
+
+    return run
+
+
+def _compare(dim: int, best: int, blocks: int):
+    """For each member u of a node the nearest others of that node, if nearer than u's list reaches; to the block of u."""
+
+    def near(x, far, at, new, size):
+        """The places (i, j) and squared distances of pairs of members of the nodes with these members, one row of at (padded) each."""
+        y = x[at]
+        if x.dtype == np.float64:
+            d = np.stack([((y - y[:, i : i + 1]) ** 2).sum(2) for i in range(y.shape[1])], 1)
+        else:
+            y -= y[:, :1].copy()
+            square = np.einsum("nij,nij->ni", y, y)
+            d = np.maximum(square[:, :, None] + square[:, None] - 2 * np.matmul(y, y.transpose(0, 2, 1)), 0)
+        inside = np.arange(at.shape[1]) < size[:, None]
+        ok = (d < far[at][:, :, None]) & (new[:, :, None] | new[:, None]) & inside[:, :, None] & inside[:, None]
+        i = np.arange(at.shape[1])
+        ok[:, i, i] = False
+        many = ok.sum(2) > best
+        if many.any():
+            rows = np.where(ok[many], d[many], np.inf)
+            kept = np.zeros(rows.shape, bool)
+            np.put_along_axis(kept, np.argpartition(rows, best - 1, 1)[:, :best], True, 1)
+            ok[many] &= kept
+        n, i, j = np.nonzero(ok)
+        return at[n, i], at[n, j], d[n, i, j]
+
+    def run(batches):
+        _, held = _unpacked(batches)
+        ids, x = _held_vectors(held[VECTORS], dim)
+        (far,) = _flat(held.pop(VECTORS), "d")
+        v, u, new = _flat(held.pop(MEMBERS), "a", "b", "new")
+        order = np.argsort(v, kind="stable")
+        v, at, new = v[order], _places(ids)(u[order]), new[order]
+        start = _starts(v)
+        size = np.diff(np.append(start, len(v)))
+        # Nodes of about as many members together.
+        turn = np.argsort(size, kind="stable")
+        start, size = start[turn], size[turn]
+        found, n = [], 0
+
+        def learned():
+            i, j, d = (np.concatenate(c) for c in zip(*found, strict=True))
+            one, other, d, _ = _top(i, j, d, np.ones(len(i), bool), DEGREE)
+            return _pack(ENTRIES, _home(ids[one], blocks), ids[one], ids[other], d, np.ones(len(one), bool))
+
+        many = max(1, (1 << 20) // (dim * x.itemsize * int(size.max(initial=1))))
+        for a in range(0, len(start), many):
+            some, most = size[a : a + many], int(size[a : a + many].max())
+            place = np.minimum(start[a : a + many, None] + np.arange(most), len(v) - 1)
+            found.append(near(x, far, at[place], new[place], some))
+            n += len(found[-1][0])
+            if n >= 2 * GATHERED:
+                yield from learned()
+                found, n = [], 0
+        if n:
+            yield from learned()
 
     return run
 
 
 def _merge(k: int):
-    """Lists sorted by u: one list of the k nearest for each u."""
+    """Entries of a block's lists: one list of the k nearest for each node, GATHERED times eight at a time beside the lists."""
 
     def run(batches):
-        for table in _groups(batches, "u"):
-            size = np.diff(np.concatenate([[0], np.cumsum(table["ws"].combine_chunks().value_lengths().to_numpy() if table["ws"].num_chunks == 1 else np.concatenate([c.value_lengths().to_numpy() for c in table["ws"].chunks]))]))
-            u = np.repeat(table["u"].to_numpy(), size)
-            flat = [np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks]) for name in ("ws", "ds", "new")]
-            yield _lists(*_top(u, flat[0], flat[1], flat[2].astype(bool), k))
+        held, n, least = [], 0, 8 * GATHERED
+        for batch in batches:
+            held.append(_flat([batch], "a", "b", "d", "new"))
+            n += len(held[-1][0])
+            if n >= least:
+                held = [_top(*(np.concatenate(c) for c in zip(*held, strict=True)), k)]
+                n = len(held[0][0])
+                least = n + 8 * GATHERED
+        if not n:
+            return
+        u, w, d, new = _top(*(np.concatenate(c) for c in zip(*held, strict=True)), k)
+        ends = np.append(_starts(u), len(u))
+        for a in range(0, len(ends) - 1, 2 * BLOCK):
+            some = slice(ends[a], ends[min(a + 2 * BLOCK, len(ends) - 1)])
+            yield _lists(u[some], w[some], d[some], new[some])
 
     return run
 
 
-def neighbour_graph(nodes: DataFrame, count: int, dim: int, degree: int = DEGREE):
-    """Lists (u, ws, ds, new) of near nodes. nodes: u, vec (float32 bytes)."""
-    parts = max(8, -(-count // (2 * BLOCK)))
+def _packs(df: DataFrame, run) -> DataFrame:
+    return df.mapInArrow(run, PACK)
+
+
+def _dealt(blocks: int, *packs: DataFrame) -> DataFrame:
+    """Each block one partition."""
+    return reduce(DataFrame.unionByName, packs).repartitionById(blocks, F.col("block"))
 
-    def merged(lists: DataFrame, label: str):
-        return stage(lists.repartition(parts, "u").sortWithinPartitions("u").mapInArrow(_merge(degree), LISTS), label)
 
+def block_count(nodes: DataFrame, count: int, size: int, degree: int) -> int:
+    """As few blocks of nodes as keep all cores at work and what one needs, its own nodes and the vectors of all their members, in bounds: a vector that several nodes of a block need goes there once."""
+    least = max(6, nodes.sparkSession.sparkContext.defaultParallelism, -(-count // MOST))
+    fit, reach = HELD // size, degree + REVERSE
+    return least if count <= fit else max(least, int(np.ceil(reach / -np.log1p(-fit / count))))
+
+
+def neighbour_graph(nodes: DataFrame, count: int, dim: int, degree: int = DEGREE):
+    """Lists (u, ws, ds, new) of near nodes. nodes: u, vec (float32 or float64 bytes)."""
+    blocks = block_count(nodes, count, 8 * dim if count and len(nodes.first()["vec"]) == 8 * dim else 4 * dim, degree)
     begin = None
     for seed in ("a", "b"):
         lists = nodes.repartition(max(1, -(-count // BLOCK)), F.xxhash64("u", F.lit(seed))).sortWithinPartitions("u").mapInArrow(_in_block(dim, degree // 2), LISTS)
         begin = lists if begin is None else begin.unionByName(lists)
-    graph = merged(begin, "graph-0")
+    there = stage(_packs(nodes, _send_nodes(dim, blocks)), "graph-nodes")
+    graph = stage(_dealt(blocks, _packs(begin, _send_lists(blocks, True))).mapInArrow(_merge(degree), LISTS), "graph-0")
     turn, changed = 0, count * degree
     # Lists only get nearer, so the changes come to an end.
     while changed > ENOUGH * degree * count:
         turn += 1
-        pairs = graph.df.select("u", F.explode(F.arrays_zip("ws", "new")).alias("e")).select("u", F.col("e.ws").alias("w"), F.col("e.new").alias("new"))
-        # The sample of reverse neighbours bounds what one node compares; new ones come first.
-        back = pairs.withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy(F.desc("new"), F.xxhash64("u", F.lit(turn))))).where(F.col("r") <= REVERSE)
-        members = pairs.select(F.col("u").alias("v"), F.col("w").alias("u"), "new").unionByName(back.select(F.col("w").alias("v"), "u", "new"))
-        known = nodes.join(graph.df.select("u", F.when(F.size("ws") >= degree, F.array_max("ds")).otherwise(F.lit(float("inf"))).alias("far")), "u")
-        joined = members.join(known, "u").select("v", "u", "new", "vec", "far").repartition(parts, "v").sortWithinPartitions("v")
-        learned = stage(joined.mapInArrow(_compare(dim, 8), LISTS), "learned")
-        old = graph.df.select("u", "ws", "ds", F.transform("ws", lambda _: F.lit(False)).alias("new"))
-        following = merged(old.unionByName(learned.df), f"graph-{turn}")
-        learned.drop()
+        members = stage(_packs(_dealt(blocks, _packs(graph.df, _send_neighbours(blocks))), _members(blocks, turn)), "members")
+        asked, wanted = (members.df.where(F.col("kind") == k) for k in (ASKED, MEMBERS))
+        vectors = _packs(_dealt(blocks, there.df, _packs(graph.df, _send_fars(blocks, degree)), asked), _fetch(dim))
+        learned = _packs(_dealt(blocks, vectors, wanted), _compare(dim, 8, blocks))
+        following = stage(_dealt(blocks, learned, _packs(graph.df, _send_lists(blocks))).mapInArrow(_merge(degree), LISTS), f"graph-{turn}")
+        members.drop()
         graph.drop()
         graph = following
         changed = graph.df.agg(F.sum(F.size(F.filter("new", lambda x: x)))).first()[0] or 0
+    there.drop()
     return graph
 
 
-def _update(dim: int, width: int, step: int):
-    """Rows (q, kind 0 state: qvec, ids, ds, done; kind 1: w, vec) sorted by q, kind: the next states, with what to expand."""
+def _send_expanded(blocks: int):
+    """Rows (q, expand): each node to expand, with its query, to the node's block."""
+
+    def run(batches):
+        for batch in batches:
+            us = batch.column(1)
+            u, q = us.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), us.value_lengths().to_numpy(zero_copy_only=False))
+            yield from _pack(EXPAND, _home(u, blocks), u, q)
+
+    return run
+
+
+def _send_queries(blocks: int):
+    """Rows (q, qvec, far): the queries to each block."""
+
+    def run(batches):
+        for batch in batches:
+            q, n = batch.column(0).to_numpy(), batch.num_rows
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1)
+            for block in range(blocks):
+                yield from _pack(QUERIES, np.full(n, block), q, d=batch.column(2).to_numpy(), x=x)
+
+    return run
+
+
+def _follow(blocks: int):
+    """The neighbours of the nodes that queries expand, to their own blocks."""
+
+    def run(batches):
+        _, held = _unpacked(batches)
+        at, to = _flat(held[ENTRIES], "a", "b")
+        order = np.argsort(at, kind="stable")
+        at, to = at[order], to[order]
+        u, q = _flat(held[EXPAND], "a", "b")
+        low = np.searchsorted(at, u)
+        size = np.searchsorted(at, u, "right") - low
+        ends = np.cumsum(size)
+        a = 0
+        while a < len(u):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 2 * GATHERED)))
+            n = size[a:b]
+            w = to[np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            key, pairs = _joint(w, np.repeat(q[a:b], n))
+            w, by = pairs(np.unique(key))
+            yield from _pack(PAIRS, _home(w, blocks), w, by)
+            a = b
+
+    return run
+
+
+FOUND = "q long, kind int, qvec binary, ids array<long>, ds array<double>, done array<boolean>"
+
+
+def _measure(dim: int):
+    """Where the vectors are: for each query the nodes it came to that are nearer than the last of its list."""
+
+    def run(batches):
+        _, held = _unpacked(batches)
+        ids, x = _held_vectors(held.pop(NODES), dim)
+        asked, y = _held_vectors(held[QUERIES], dim)
+        (far,) = _flat(held[QUERIES], "d")
+        w, q = _flat(held.pop(PAIRS), "a", "b")
+        if not len(w):
+            return
+        key, pairs = _joint(q, w)
+        q, w = pairs(np.unique(key))
+        left, right = _places(asked)(q), _places(ids)(w)
+        some = max(1, (1 << 20) // (dim * x.itemsize))
+        d = np.concatenate([((x[right[a : a + some]] - y[left[a : a + some]]) ** 2).sum(1) for a in range(0, len(q), some)])
+        near = d < far[left]
+        q, w, d = q[near], w[near], d[near].astype(float)
+        ends = np.append(_starts(q), len(q))
+        for a in range(0, len(ends) - 1, 200):
+            at = ends[a : a + 201]
+            n, part = len(at) - 1, slice(at[0], at[-1])
+            lists = lambda c, t: pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(c, t))  # noqa: B023, E731
+            yield pa.record_batch([pa.array(q[at[:-1]]), pa.array(np.ones(n), pa.int32()), pa.nulls(n, pa.binary()), lists(w[part], pa.int64()), lists(d[part], pa.float64()), pa.nulls(n, pa.list_(pa.bool_()))], ["q", "kind", "qvec", "ids", "ds", "done"])
+
+    return run
+
+
+def _update(width: int, step: int):
+    """Rows (q, kind 0 state: qvec, ids, ds, done; kind 1 what was found: ids, ds) sorted by q, kind: the next states, with what to expand."""
     kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
 
     def state(q, qvec, ids, ds, done, fresh, rows):
         if fresh:
-            w = np.array([i for i, _ in fresh], np.int64)
+            w, d = (np.concatenate(c) for c in zip(*fresh, strict=True))
             w, first = np.unique(w, return_index=True)
             unseen = ~np.isin(w, ids)
-            w, first = w[unseen], first[unseen]
-            x = _rows([fresh[i][1] for i in first.tolist()], dim)
-            d = ((x - _rows([qvec], dim)) ** 2).sum(1)
+            w, d = w[unseen], d[first[unseen]]
             ids, ds, done = np.concatenate([ids, w]), np.concatenate([ds, d]), np.concatenate([done, np.zeros(len(w), bool)])
         order = np.lexsort((ids, ds))[:width]
         ids, ds, done = ids[order], ds[order], done[order]
         expand = np.flatnonzero(~done)[:step]
         done[expand] = True
-        rows.append((q, qvec, ids.tolist(), ds.tolist(), done.tolist(), ids[expand].tolist()))
+        rows.append((q, qvec, ids, ds, done, ids[expand]))
 
     def run(batches):
         now, fresh, rows = None, [], []
         for batch in batches:
-            for q, kind, qvec, ids, ds, done, w, vec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, (q, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                ids, ds = (batch.column(c)[i].values.to_numpy() for c in (3, 4))
                 if now is None or q != now[0]:
                     if now:
                         state(*now, fresh, rows)
-                    now, fresh = (q, qvec, np.array(ids, np.int64), np.array(ds, np.float64), np.array(done, bool)), []
+                    now, fresh = (q, batch.column(2)[i].as_py(), ids, ds, batch.column(5)[i].values.to_numpy(zero_copy_only=False).astype(bool)), []
                 if kind:
-                    fresh.append((w, vec))
+                    fresh.append((ids, ds))
             if len(rows) >= 200:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["q", "qvec", "ids", "ds", "done", "expand"])
                 rows = []
@@ -274,6 +599,10 @@ def brute_force(nodes: DataFrame, asked: list, dim: int, k: int) -> DataFrame:
             u, y = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
             d = np.stack([((y - q) ** 2).sum(1) for q in x])
             d[ids[:, None] == u[None]] = np.inf
+            if ds.shape[1] >= k:
+                # Only nodes that some query may keep are sorted.
+                some = (d <= ds[:, k - 1 : k]).any(0)
+                u, d = u[some], d[:, some]
             us, ds = np.concatenate([us, np.broadcast_to(u, d.shape)], 1), np.concatenate([ds, d], 1)
             order = np.lexsort((us, ds), axis=1)[:, :k]
             us, ds = np.take_along_axis(us, order, 1), np.take_along_axis(ds, order, 1)
@@ -354,7 +683,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     nodes = stage(rows.join(node_of.where("vec_id = u").select("vec_id"), "vec_id").select("vec_id", "v").mapInArrow(_vec(exponent, kind), "u long, vec binary"), "nodes").df
     count = nodes.count()
     graph = neighbour_graph(nodes, count, dim)
-    lists = graph.df.select("u", "ws", "ds")
+    # Vectors and lists stay in blocks while queries, in number a share of them, come to each.
+    blocks = max(6, spark.sparkContext.defaultParallelism, -(-count // MOST), -(-count * dim * kind().itemsize // HELD))
+    there = stage(_packs(nodes, _send_nodes(dim, blocks)), "search-nodes").df
+    lists = stage(_packs(graph.df, _send_lists(blocks)), "search-lists").df
     asked = stage(node_of.where(is_query).select(F.col("u").alias("q")).distinct(), "asked").df
     empty = F.array().cast("array<long>")
     start = asked.join(nodes, F.col("q") == F.col("u")).select("q", F.col("vec").alias("qvec"), F.array("q").alias("ids"), F.array(F.lit(0.0)).alias("ds"), F.array(F.lit(True)).alias("done"), F.array("q").alias("expand"))
@@ -376,10 +708,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
             states.drop()
             states = following
         turn += 1
-        frontier = states.df.select("q", F.explode("expand").alias("u")).join(lists, "u").select("q", F.explode("ws").alias("w")).distinct()
-        fresh = frontier.join(nodes.withColumnRenamed("u", "w"), "w").select("q", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("qvec"), empty.alias("ids"), F.array().cast("array<double>").alias("ds"), F.array().cast("array<boolean>").alias("done"), "w", "vec")
-        now = states.df.select("q", F.lit(0).alias("kind"), "qvec", "ids", "ds", "done", F.lit(None).cast("long").alias("w"), F.lit(None).cast("binary").alias("vec"))
-        following = stage(now.unionByName(fresh).repartition(parts, "q").sortWithinPartitions("q", "kind").mapInArrow(_update(dim, width, step), state_cols), f"search-{turn}")
+        going = states.df.where(F.size("expand") > 0)
+        last = F.when(F.size("ids") >= width, F.array_max("ds")).otherwise(F.lit(float("inf")))
+        pairs = _packs(_dealt(blocks, lists, _packs(going.select("q", "expand"), _send_expanded(blocks))), _follow(blocks))
+        queries = _packs(going.select("q", "qvec", last.alias("far")), _send_queries(blocks))
+        fresh = _dealt(blocks, pairs, queries, there).mapInArrow(_measure(dim), FOUND)
+        now = states.df.select("q", F.lit(0).alias("kind"), "qvec", "ids", "ds", "done")
+        following = stage(now.unionByName(fresh).repartition(parts, "q").sortWithinPartitions("q", "kind").mapInArrow(_update(width, step), state_cols), f"search-{turn}")
         states.drop()
         states = following
     if not reached:
