@@ -6,11 +6,14 @@ copies is exact. The graph starts from the nearest nodes in two random blocks.
 Each round of NN-descent joins every node's neighbours and (a sample of) those
 that have it as a neighbour with their vectors, compares them with each other,
 and gives each the nearer ones it learns of; rounds end when the graph has
-converged: hardly a list entry changes, however many rounds that takes.
+converged: hardly a list entry changes, however many rounds that takes. Nodes are
+dealt into blocks, a task each: a vector that several nodes of a block need goes
+there once, and what travels between two blocks is one row.
 
 Queries are rows of the table, so each starts from its own node's list. All
-queries search at once: the nearest nodes that were not expanded join the graph
-and the vectors, round by round, until the `width` nearest known are expanded.
+queries search at once: the nearest nodes that were not expanded meet the graph
+and the vectors, round by round, until the `width` nearest known are expanded;
+queries come to the blocks of vectors, only nearer nodes go back to them.
 A sample of the queries is also answered by brute force. While the search finds
 too few of its true neighbours, the width doubles for all queries and the search
 goes on, up to WIDEST times the first width, which bounds what a query holds; where
