@@ -7,24 +7,19 @@ from pyspark.sql import functions as F
 from folioweave.llm import ann
 
 
-def _shuffled(spark) -> dict[int, int]:
-    """Bytes that each stage of the session has written for shuffles."""
-    context = spark.sparkContext
-    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
-    return {s.stageId(): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
-
-
-def test_a_vector_goes_once_to_a_block_that_needs_it(spark, monkeypatch):
-    """Rounds and searches move a few copies of the table's vectors each, not one for each of a node's 48 members or of a query's candidates."""
-    x = np.random.default_rng(21).normal(size=(3000, 96)).astype(np.float32)
-    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(3000)], "vec_id long, embedding array<float>").cache()
-    rounds, before = [], _shuffled(spark)
-    monkeypatch.setattr(ann, "stage", lambda table, label, there=ann.stage: rounds.append(label) or there(table, label))
-    got = ann.nearest(df, F.col("vec_id") % 60 == 0, 10).collect()
-    assert len(got) == 500
-    moved = sum(n for stage, n in _shuffled(spark).items() if stage not in before)
-    turns = sum(label.startswith(("graph-", "search-")) for label in rounds)
-    assert moved < 10 * turns * x.nbytes
+def test_a_block_asks_for_a_vector_once():
+    """However many of its nodes have it as a member."""
+    rng, blocks = np.random.default_rng(21), 6
+    u, w = np.repeat(np.arange(600), 28), rng.integers(0, 600, 600 * 28)
+    lists = ann._lists(*ann._top(u, w, rng.random(len(u)), np.ones(len(u), bool), 28))
+    sent = list(ann._send_neighbours(blocks)([lists]))
+    for block in range(blocks):
+        mine = [p.filter(p["block"].to_numpy() == block) for p in sent]
+        out = list(ann._members(blocks, 1)(mine))
+        asked = np.concatenate([p["a"].flatten().to_numpy() for p in out if p["kind"][0].as_py() == ann.ASKED])
+        members = np.concatenate([p["b"].flatten().to_numpy() for p in out if p["kind"][0].as_py() == ann.MEMBERS])
+        assert sorted(asked.tolist()) == sorted(set(members.tolist()))
+        assert len(members) > 5 * len(asked)
 
 
 @pytest.mark.parametrize("blocks", [1, 7, 560])
