@@ -22,16 +22,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tables
+from .relational import small
 from .retrieval import nearest, ranked
 
 SAMPLE, MOST_LISTS, PARTS, WORDS = 20_000, 4096, 8, 256
 PIECE, ASKED, ROUNDS = 50_000, 64, 12
-#: Rows of one batch of probes, and queries of a scope that one task holds for a list.
-PROBES, BLOCK = 4096, 20_000
+#: Queries whose lists are found at a time, queries of a scope that one task holds for a piece, and values of either side at most.
+PROBES, BLOCK, VALUES = 4096, 20_000, 1 << 22
 
 
 @dataclass
@@ -114,67 +116,93 @@ def listed(vectors: DataFrame, book: Book, scope: str | None = None) -> DataFram
     return kept.mapInArrow(run, f"scope {kinds['scope']}, list int, id {kinds['id']}, code binary")
 
 
-def candidates(file: DataFrame, queries: DataFrame, book: Book, lists: int, most: int, scope: str | None = None) -> DataFrame:
-    """(q, id): the best `most` of each query by their codes, from its nearest lists. queries: q, v and the scope."""
+def _met(file: DataFrame, queries: DataFrame, book: Book, lists: int, most: int, keep: int, scope: str | None) -> DataFrame:
+    """(q, id, score): of each piece of a query's nearest lists the best `most` by their codes, of which the best `keep` stay, by the exact cosine where the file has vectors v, else by the codes.
+
+    A query goes once to each piece that has lists of its own, and a row of the file once to each block of its scope's
+    queries, so what moves does not grow with the lists or candidates of a query.
+    """
     asked = queries.select((F.col(scope) if scope else F.lit(1)).alias("scope"), "q", F.col("v").cast("array<double>").alias("v"))
     kinds = dict(asked.dtypes) | {"id": dict(file.dtypes)["id"]}
-
-    def near(batches):
+    width, n_lists = book.centroids.shape[1], len(book.centroids)
+    piece, block = (max(1, min(n, VALUES // width)) for n in (PIECE, BLOCK))
+    # Lists side by side are one group, so many groups that a scope's share of one is a piece or so; one row a list.
+    per_list = np.zeros(n_lists, np.int64)
+    for r in file.groupBy("list").count().collect():
+        per_list[r["list"]] = r["count"]
+    largest = file.groupBy("scope").count().agg(F.max("count")).first()[0] or 0
+    group = (np.cumsum(per_list) - per_list) * min(n_lists, -(-largest // piece)) // max(1, per_list.sum())
+    near = min(lists, n_lists)
+
+    def nearest_lists(x: np.ndarray) -> np.ndarray:
+        return np.argpartition(-(x @ book.centroids.T), near - 1, 1)[:, :near]
+
+    def probing(batches):
         for batch in batches:
-            place, x = _unit(batch.column(2), book.centroids.shape[1])
-            score = x @ book.centroids.T if len(x) else np.zeros((0, len(book.centroids)))
-            n = min(lists, score.shape[1])
-            best = np.argpartition(-score, n - 1, 1)[:, :n]
-            # Probes leave in pieces, as a batch of queries times its lists may be large.
-            step = max(1, PROBES // n)
-            for at in range(0, len(place), step):
-                some, own = pa.array(np.repeat(place[at : at + step], n)), x[at : at + step]
-                unit = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * x.shape[1], pa.int32()), pa.array(np.repeat(own, n, 0).ravel()))
-                yield pa.record_batch({"scope": batch.column(0).take(some), "q": batch.column(1).take(some), "v": unit, "list": pa.array(best[at : at + step].ravel(), pa.int32()), "base": pa.array(np.take_along_axis(score[at : at + step], best[at : at + step], 1).ravel())})
-
-    probes = asked.mapInArrow(near, f"scope {kinds['scope']}, q {kinds['q']}, v array<double>, list int, base double")
-    # A list's vectors and those who ask it are dealt into pieces and blocks; each block meets each piece, so a task's memory is bounded on both sides.
-    pieces = file.groupBy("scope", "list").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
-    most_asked = asked.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    of = pieces.join(most_asked, "scope")
+            for at in range(0, batch.num_rows, PROBES):
+                some = batch.slice(at, PROBES)
+                place, x = _unit(some.column(2), width)
+                pairs = np.unique(np.repeat(np.arange(len(x)), near) * n_lists + group[nearest_lists(x)].ravel()) if len(x) else np.zeros(0, np.int64)
+                row = pa.array(place[pairs // n_lists])
+                yield pa.record_batch({"scope": some.column(0).take(row), "q": some.column(1).take(row), "v": some.column(2).take(row), "group": pa.array(pairs % n_lists, pa.int32())})
+
+    probes = asked.mapInArrow(probing, f"scope {kinds['scope']}, q {kinds['q']}, v array<double>, group int")
+    of_list = F.element_at(F.lit(group.tolist()).cast("array<int>"), F.col("list") + 1).alias("group")
+    # A group of a scope and those who ask it are dealt into pieces and blocks; each block meets each piece, so a task's memory is bounded on both sides.
+    pieces = file.groupBy("scope", of_list).agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces"))
+    blocks = asked.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    of = small(pieces.join(blocks, "scope"))
     dealt = lambda c, n: F.pmod(F.xxhash64(c, F.lit("deal")), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = probes.join(of, ["scope", "list"]).withColumn("piece", every("pieces")).withColumn("block", dealt("q", "blocks")).drop("pieces", "blocks")
-    right = file.join(of, ["scope", "list"]).withColumn("piece", dealt("id", "pieces")).withColumn("block", every("blocks")).drop("pieces", "blocks")
+    # Rows that Python made look as few as those that it read, so they are never left to be broadcast by their size.
+    left = probes.hint("merge").join(of, ["scope", "group"]).withColumn("piece", every("pieces")).withColumn("block", dealt("q", "blocks")).drop("pieces", "blocks")
+    right = file.select("*", of_list).hint("merge").join(of, ["scope", "group"]).withColumn("piece", dealt("id", "pieces")).withColumn("block", every("blocks")).drop("pieces", "blocks")
 
     def scored(a: pa.Table, b: pa.Table) -> pa.Table:
         out = []
         if len(a) and len(b):
-            parts, _, width = book.words.shape
+            # By list, then by id, so that equal scores are in order of ids.
+            b = b.sort_by([("list", "ascending"), ("id", "ascending")])
+            parts, _, size = book.words.shape
             codes = np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(-1, parts)
-            x = a["v"].combine_chunks().flatten().to_numpy().reshape(len(a), -1)
-            x = np.pad(x, ((0, 0), (0, width * parts - x.shape[1]))).reshape(len(a), parts, width)
-            base, n = a["base"].to_numpy(), min(most, len(codes))
-            step = max(1, (4 << 20) // max(1, len(codes)))  # 32 MiB of scores at a time
-            for at in range(0, len(a), step):
-                score = np.repeat(base[at : at + step, None], len(codes), 1)
-                for m in range(parts):
-                    score += (x[at : at + step, m] @ book.words[m].T)[:, codes[:, m]]
-                best = np.argpartition(-score, n - 1, 1)[:, :n]
-                out.append((np.repeat(np.arange(at, at + len(score)), n), best.ravel(), np.take_along_axis(score, best, 1).ravel()))
+            begin = np.searchsorted(b["list"].to_numpy(), np.arange(n_lists + 1))
+            order = pc.rank(b["id"], tiebreaker="first").to_numpy()
+            own = _unit(b["v"], width)[1] if "v" in b.column_names else None
+            for at in range(0, len(a), PROBES):
+                _, x = _unit(a["v"].slice(at, PROBES), width)
+                probed, base = nearest_lists(x), x @ book.centroids.T
+                cut = np.pad(x, ((0, 0), (0, size * parts - width))).reshape(len(x), parts, size)
+                for i in range(len(x)):
+                    runs = [np.arange(begin[j], begin[j + 1]) for j in np.sort(probed[i]) if begin[j] < begin[j + 1]]
+                    if not runs:
+                        continue
+                    best = np.concatenate(runs)
+                    if own is None or len(best) > most:
+                        score = np.repeat(base[i], np.diff(begin))[best]
+                        for m in range(parts):
+                            score += (book.words[m] @ cut[i, m])[codes[best, m]]
+                        some = np.argpartition(-score, most - 1)[:most] if len(best) > most else slice(None)
+                        best, score = best[some], score[some]
+                    if own is not None:
+                        score = (own[best] * x[i]).sum(1)
+                    first = np.lexsort((order[best], -score))[:keep]
+                    out.append((np.full(len(first), at + i), best[first], score[first]))
         q, i, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
         return pa.table({"q": a["q"].take(pa.array(q)), "id": b["id"].take(pa.array(i)), "score": pa.array(s)})
 
-    met = left.groupBy("scope", "list", "piece", "block").cogroup(right.groupBy("scope", "list", "piece", "block")).applyInArrow(scored, f"q {kinds['q']}, id {kinds['id']}, score double")
-    return ranked(met, ["q"], most).select("q", "id")
+    keys = ["scope", "group", "piece", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scored, f"q {kinds['q']}, id {kinds['id']}, score double")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, w: u * w), F.lit(0.0), lambda s, u: s + u)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def candidates(file: DataFrame, queries: DataFrame, book: Book, lists: int, most: int, scope: str | None = None) -> DataFrame:
+    """(q, id): the best `most` of each query by their codes, from its nearest lists. queries: q, v and the scope."""
+    return ranked(_met(file.drop("v"), queries, book, lists, most, most, scope), ["q"], most).select("q", "id")
 
 
 def search(vectors: DataFrame, file: DataFrame, queries: DataFrame, book: Book, k: int, lists: int, most: int, scope: str | None = None) -> DataFrame:
-    """(q, id, score, rank): the k nearest of each query's candidates by the exact cosine, ties by id; its own id is left out."""
-    pairs = candidates(file, queries, book, lists, most + 1, scope).where("q <> id")
-    # Only ids were shuffled so far; the candidates' vectors come by id.
-    wide = pairs.join(queries.select("q", F.col("v").cast("array<double>").alias("_a")), "q").join(vectors.select("id", F.col("v").cast("array<double>").alias("_b")), "id")
-    return ranked(wide.select("q", "id", cosine(F.col("_a"), F.col("_b")).alias("score")), ["q"], k)
+    """(q, id, score, rank): the k nearest of each query's candidates by the exact cosine, ties by id; its own id is left out. Candidates' vectors never move to a query: each vector moves with its code, and k rows of a piece go on."""
+    held = file.join(vectors.select("id", F.col("v").cast("array<double>").alias("v")).hint("merge"), "id")
+    return ranked(_met(held, queries, book, lists, most + 1, k + 1, scope).where("q <> id"), ["q"], k)
 
 
 def nearest_listed(vectors: DataFrame, queries: DataFrame, k: int = 8, scope: str | None = None, recall: float = 0.95, seed: int = 7) -> Found:
