@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from folioweave.operators import inverted_file, tables
+from folioweave.operators import extract, inverted_file, tables
 
 
 def broadcast(df):
@@ -27,3 +27,22 @@ def test_probes_of_lists_are_never_broadcast(spark):
     hits = inverted_file.search(v, file, v.withColumnRenamed("id", "q"), book, 3, 8, 400)
     assert not [x for x in broadcast(hits) if "MapInArrow" in x or "CoGroup" in x]
     assert hits.count() == 1200
+
+
+def moved(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x and "REPARTITION_BY_NUM" not in x]
+
+
+def test_rules_of_documents_move_no_statement_that_is_held(spark):
+    """Joins by document and another key meet where the document is."""
+    rows = [(d, n, "definition" if n % 4 == 0 else "lemma", f"A normal form $x$ is {n}." if n % 4 == 0 else "It has a normal form.") for d in range(20) for n in range(8)]
+    nodes = spark.createDataFrame(rows, "doc long, n int, kind string, body string")
+    want = sorted(map(tuple, extract.operator_edges(nodes).collect()))
+
+    def build(keep):
+        edges = extract.operator_edges(keep(nodes.repartition(3, "doc")).hint("merge"))
+        assert not moved(edges)
+        return edges
+
+    assert sorted(map(tuple, tables.in_place(spark, build, "edges").collect())) == want and want
+    assert moved(extract.operator_edges(nodes.repartition(3, "doc").hint("merge")))
